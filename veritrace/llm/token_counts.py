@@ -60,7 +60,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     are ignored; an empty table gives an empty one.
     """
     coded = chunks.encode(docs.select("doc_id", "text", F.lit(False).alias("train")), lambda text: pre_tokens(text, tokenizer_path))
-    words = chunks.dictionary(coded).drop("freq")
+    # one shuffle by word serves both the distinct words and the join back to the chunks
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = chunks.dictionary(coded).drop("freq").repartition(n, "word")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(tokenizer_path)
