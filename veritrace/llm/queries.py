@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veritrace.llm import licenses
+from veritrace.llm.licenses import op1_license_scans
+from veritrace.llm.quality_rules import op2_quality_rules
 from veritrace.llm.token_counts import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
+    "op2_quality_rules": op2_quality_rules,
     "op5_token_counts": op5_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_license_scans": licenses.ORACLE}
