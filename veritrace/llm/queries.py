@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veritrace.llm import licenses
 from veritrace.llm.licenses import op1_license_scans
+from veritrace.llm.packing import op7_best_fit_packing
 from veritrace.llm.quality_rules import op2_quality_rules
+from veritrace.llm.simhash import op8_simhash
 from veritrace.llm.token_counts import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_quality_rules": op2_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_simhash": op8_simhash,
 }
 ORACLES: dict[str, str] = {"op1_license_scans": licenses.ORACLE}
