@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veritrace.llm import licenses
+from veritrace.llm.language_id import op10_language_id
 from veritrace.llm.licenses import op1_license_scans
 from veritrace.llm.packing import op7_best_fit_packing
+from veritrace.llm.quality_classifier import op6_quality_classifier
 from veritrace.llm.quality_rules import op2_quality_rules
 from veritrace.llm.simhash import op8_simhash
 from veritrace.llm.token_counts import op5_token_counts
@@ -17,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_quality_rules": op2_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash": op8_simhash,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {"op1_license_scans": licenses.ORACLE}

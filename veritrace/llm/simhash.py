@@ -39,15 +39,16 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, *extra): fp is the fingerprint as a signed long; extra are columns of longs to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(x) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *(b.column(i) for i in range(2, b.num_columns))], names=["doc_id", "fp", *extra])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra)
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {x} long" for x in extra))
 
 
 def _signed(mask: int) -> int:
@@ -226,21 +227,34 @@ def link(fps: DataFrame, distance: int = 2) -> DataFrame:
     return edges
 
 
-def simhash_groups(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs (doc_id, text).
+def simhash_groups(docs: DataFrame, distance: int = 2, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, group, *extra) of every row of docs (doc_id, text); group is a fingerprint that names the component.
 
     component_id is the smallest doc_id reachable by links, itself included. Equal fingerprints are
     one node, so copies never pair up. A null, empty or wordless text has fingerprint 0 and links
     like others; repeated rows keep their rows; a null doc_id is no component's smallest unless its
     component has no other; other columns are ignored; no rows give no rows.
     """
-    fp = materialize(fingerprints(docs), "fingerprints")
+    fp = materialize(fingerprints(docs, extra), "fingerprints")
     nodes = materialize(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     comps = connected_components(link(nodes.select("fp"), distance)).withColumnRenamed("node", "n")
     tied = nodes.join(comps, nodes["fp"] == comps["n"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     least = tied.groupBy(F.col("c").alias("of")).agg(F.min("least").alias("component_id"))
-    named = tied.join(least, F.col("c") == F.col("of")).select(F.col("fp").alias("f"), "component_id")
-    return fp.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    named = tied.join(least, F.col("c") == F.col("of")).select(F.col("fp").alias("f"), F.col("c").alias("group"), "component_id")
+    return fp.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id", "group", *extra)
+
+
+def one_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) without near-duplicates: of each group the smallest doc_id's, once.
+
+    A group whose doc_ids are all null keeps the row of smallest hash.
+    """
+    keyed = docs.withColumns({"row_hash": F.xxhash64("doc_id", "text"), "text_hash": F.hash("text").cast("long")})
+    groups = simhash_groups(keyed, distance, ("row_hash", "text_hash"))
+    best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "text_hash")).alias("b"))
+    best = best.select(F.col("b.row_hash").alias("r"), F.col("b.text_hash").alias("t")).distinct()
+    left = keyed.join(best, (F.col("row_hash") == F.col("r")) & (F.col("text_hash") == F.col("t")), "left_semi")
+    return left.dropDuplicates(["row_hash", "text_hash"]).select(docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
