@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veritrace.llm import licenses
+from veritrace.llm.embedding_dedup import op4_embedding_dedup
 from veritrace.llm.language_id import op10_language_id
 from veritrace.llm.licenses import op1_license_scans
 from veritrace.llm.packing import op7_best_fit_packing
@@ -18,6 +19,7 @@ from veritrace.llm.token_counts import op5_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_quality_rules": op2_quality_rules,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
