@@ -60,18 +60,21 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     are ignored; an empty table gives an empty one.
     """
     coded = chunks.encode(docs.select("doc_id", "text", F.lit(False).alias("train")), lambda text: pre_tokens(text, tokenizer_path))
-    # one shuffle by word serves both the distinct words and the join back to the chunks
+    # all rows of a pre-token go to one task: there it is counted once, and the count joined to every chunk that has it
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = chunks.dictionary(coded).drop("freq").repartition(n, "word")
+    words = chunks.dictionary(coded).select("chunk", "pos", "word").repartition(n, "word")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(tokenizer_path)
+        t, known = tokenizer(tokenizer_path), {}
         for b in batches:
-            n = [len(e.ids) for e in t.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["word", "n"])
-
-    pieces = words.select("word").distinct().mapInArrow(count, "word string, n int")
-    told = words.join(pieces.hint("shuffle_hash"), "word").select("chunk", "pos", "n")
+            coded_words = b.column(2).dictionary_encode()
+            some = coded_words.dictionary.to_pylist()
+            new = [w for w in some if w not in known]
+            known.update(zip(new, (len(e.ids) for e in t.encode_batch(new, add_special_tokens=False)), strict=True))
+            n = pa.array([known[w] for w in some], pa.int32()).take(coded_words.indices)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=["chunk", "pos", "n"])
+
+    told = words.mapInArrow(count, "chunk long, pos int, n int")
 
     def total(doc: dict, ids, freqs, by_word) -> tuple:
         n = int((by_word[0][ids] * freqs).sum())
