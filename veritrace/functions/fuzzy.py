@@ -85,8 +85,9 @@ def partial(a: str, b: str) -> float:
     best, n, letters = 0.0, len(a), set(a)
     for i in range(1 - n, len(b)):
         lo, hi = max(i, 0), min(i + n, len(b))
-        # a best window begins and ends with a letter of the shorter text
-        if b[lo] in letters and b[hi - 1] in letters:
+        # a window that ends with a letter the shorter text lacks is no better than the one before it,
+        # and a rest of the longer text that begins with one no better than the next
+        if b[hi - 1 if i + n <= len(b) else lo] in letters:
             if 200.0 * min(n, hi - lo) / (n + hi - lo) > best:
                 best = max(best, ratio(a, b[lo:hi]))
     return best

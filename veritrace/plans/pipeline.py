@@ -36,10 +36,12 @@ RULES = [
 
 def rule_provider(entity: str, text: str) -> list[dict]:
     """Signals of a text by keyword: the sentence around the first use of each."""
-    out = []
+    out, text = [], text or ""
     for word, category, severity, polarity in RULES:
-        if m := re.search(rf"(?i)[^.\n]*\b{word}\b[^.\n]*", text or ""):
-            s = m[0].strip()
+        if m := re.search(rf"(?i)\b{word}\b", text):
+            start = max(text.rfind(".", 0, m.start()), text.rfind("\n", 0, m.start())) + 1
+            ends = [x for x in (text.find(".", m.end()), text.find("\n", m.end())) if x >= 0]
+            s = text[start : min(ends, default=len(text))].strip()
             out.append({"text": s, "snippet": s, "risk_category": category, "risk_subcategory": word, "severity": severity, "signal_polarity": polarity, "confidence": 0.5 + 0.05 * min(len(s) // 20, 8), "data_date": None})
     return out
 
