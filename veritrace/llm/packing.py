@@ -33,6 +33,15 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e¡-įı-ſ]*")
 #: Words whose ids a Python worker remembers.
 CACHE = 400_000
 _cache: dict[str, dict[str, bytes]] = {}
+_ends: dict[str, np.ndarray] = {}
+
+
+def _closes(path: str) -> np.ndarray:
+    """For each id, whether its token ends a word."""
+    if path not in _ends:
+        t = tokenizer(path)
+        _ends[path] = np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(t.get_vocab_size())])
+    return _ends[path]
 
 
 def id_bytes(texts: list[str], path: str) -> list[bytes]:
@@ -44,9 +53,13 @@ def id_bytes(texts: list[str], path: str) -> list[bytes]:
         cache.clear()
         new = set().union(*(w for w in plain if w))
     new = list(new)
-    for at in range(0, len(new), 10_000):
-        for w, e in zip(new[at : at + 10_000], t.encode_batch(new[at : at + 10_000], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+    for at in range(0, len(new), 2_000):  # a line of words is one call; every word ends in a token that says so
+        some = new[at : at + 2_000]
+        ids = np.array(t.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(_closes(path)[ids]) + 1
+        raw, at_byte = ids.tobytes(), (4 * stops).tolist()
+        for w, a, b in zip(some, [0, *at_byte], at_byte, strict=False):
+            cache[w] = raw[a:b]
     get = cache.__getitem__
     return [b"".join(map(get, w)) if w is not None else np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for w, x in zip(plain, texts, strict=True)]
 
