@@ -1,5 +1,6 @@
 import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,13 +222,17 @@ def test_pipeline(spark):
 def test_streams(spark, tmp_path):
     schema = "run_id string, kind string, id string, verdict string"
     src = str(tmp_path / "in")
-    stream = spark.readStream.schema(schema).parquet(src) if (spark.createDataFrame([], schema).write.parquet(src) or True) else None
-    q = runs.collect_verdicts(stream, 600).writeStream.outputMode("update").format("memory").queryName("verdicts").option("checkpointLocation", str(tmp_path / "ck")).start()
+    spark.createDataFrame([], schema).write.parquet(src)
+    got = []
+    changes = runs.collect_verdicts(spark.readStream.schema(schema).parquet(src), 600)
+    q = runs.fan_out(changes, [lambda df, n: got.extend(df.collect())], str(tmp_path / "ck")).start()
     try:
-        for batch in ([("r", "ask", "a", None), ("r", "ask", "b", None), ("r", "verdict", "x", "c")], [("r", "verdict", "a", "c")], [("r", "verdict", "b", "dismiss")]):
+        for k, batch in enumerate(([("r", "ask", "a", None), ("r", "ask", "b", None), ("r", "verdict", "x", "c")], [("r", "verdict", "a", "c")], [("r", "verdict", "b", "dismiss")]), 1):
             spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
-            q.processAllAvailable()
-        got = spark.table("verdicts").collect()
+            until = time.time() + 90
+            while len(got) < k and q.isActive and time.time() < until:
+                time.sleep(0.2)
+            assert len(got) == k
     finally:
         q.stop()
     assert {(r["status"], r["n_given"]) for r in got} == {("reviewing", 0), ("reviewing", 1), ("complete", 2)}
