@@ -59,3 +59,12 @@ def test_common_lines_and_depleted_documents(spark):
     check(out, docs)
     kept = {r["doc_id"]: r["kept"] for r in out}
     assert not any(kept[100 + i] for i in range(5)) and all(kept[200 + i] and kept[i] and kept[400 + i] for i in range(5)) and kept[300] and kept[301]
+
+
+def test_sql_agrees(spark):
+    import duckdb
+
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()  # noqa: F841  DuckDB reads it by name
+    want = duckdb.sql(q.ORACLE)
+    got = q.op2_quality_rules(spark, "/root/testdata/sf0.01").select(*want.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))

@@ -91,3 +91,22 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = rf"""
+with d as (select doc_id, coalesce(source, '') source, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+i as (select doc_id, w, unnest(range(0, len(w) - {WINDOW - 1})) i from d),
+g as (select doc_id, i, count(*) over (partition by doc_id, w[i + 1 : i + {WINDOW}]) n from i),
+c as (select doc_id, least({WINDOW}, i - lag(i) over (partition by doc_id order by i)) step from g where n > 1),
+r as (select doc_id, sum(coalesce(step, {WINDOW}))::bigint n_repeat_words from c group by doc_id),
+l as (select doc_id, source, text, unnest(string_split(text, chr(10))) line from d),
+n as (select *, trim(lower(regexp_replace(line, '{SPACE}', ' ', 'g'))) norm from l),
+u as (select doc_id, count(*) - count(distinct line) n_dup_lines from n where norm <> '' group by doc_id),
+h as (select source, greatest({float(MIN_TEXTS)}, count(distinct text) * {SHARE}) most from d group by source),
+k as (select source, norm from n join h using (source) where norm <> '' group by source, norm, most having count(distinct text) > most),
+x as (select doc_id, sum(length(replace(norm, ' ', '')))::bigint removed from n join k using (source, norm) group by doc_id),
+m as (select doc_id, len(w)::bigint n_words, coalesce(length(array_to_string(w, '')), 0)::bigint word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint n_symbols,
+      coalesce(n_dup_lines, 0)::bigint n_dup_lines, coalesce(n_repeat_words, 0)::bigint n_repeat_words, coalesce(removed, 0)::bigint removed_chars from d left join u using (doc_id) left join r using (doc_id) left join x using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {LEAST_WORDS} or n_repeat_words * 100 > n_words * {MOST_REPEATED} base_failed,
+not (n_words < {LEAST_WORDS} or n_repeat_words * 100 > n_words * {MOST_REPEATED}) and word_chars - removed_chars >= word_chars * {LEFT}::double kept, removed_chars from m
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrace.llm import licenses
+from veritrace.llm import licenses, quality_rules
 from veritrace.llm.embedding_dedup import op4_embedding_dedup
 from veritrace.llm.language_id import op10_language_id
 from veritrace.llm.language_model import op3_lm_scoring
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {"op1_license_scans": licenses.ORACLE}
+ORACLES: dict[str, str] = {"op1_license_scans": licenses.ORACLE, "op2_quality_rules": quality_rules.ORACLE}
