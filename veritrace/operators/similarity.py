@@ -69,17 +69,19 @@ def contradiction_candidates(signals: DataFrame, run: str, vector: str, threshol
     return j.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select(F.col(f"a_{run}").alias(run), F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), "sim", "rank")
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int = 3, by: str | None = None) -> DataFrame:
+def nearest(queries: DataFrame, index: DataFrame, k: int = 3, blocks: int = 8) -> DataFrame:
     """(query, item, sim, rank): the k items of highest inner product for each query.
 
-    queries (query, v), index (item, v), both with `by` if given. The index is a knowledge base of stated,
-    small size: without `by` every query meets every item of it.
+    queries (query, v) are a stated set, index (item, v) may be large: it is dealt into blocks, a
+    query goes to every block and takes the block's best k along, of which the best k stay.
     """
-    q, i = queries.withColumnRenamed("v", "qv"), index.withColumnRenamed("v", "iv")
+    q = queries.withColumnRenamed("v", "qv").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    i = index.withColumnRenamed("v", "iv").withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
     dot = F.aggregate(F.zip_with("qv", "iv", lambda p, x: p.cast("double") * x.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    pairs = q.join(i, by) if by else q.crossJoin(i)
-    order = W.partitionBy("query").orderBy(F.col("sim").desc(), F.col("item").asc())
-    return pairs.withColumn("sim", dot).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "item", "sim", "rank")
+    pairs = q.join(i, "block").select("query", "item", "block", dot.alias("sim"))
+    best = [F.col("sim").desc(), F.col("item").asc()]
+    some = pairs.withColumn("r", F.row_number().over(W.partitionBy("query", "block").orderBy(*best))).where(F.col("r") <= k)
+    return some.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*best))).where(F.col("rank") <= k).select("query", "item", "sim", "rank")
 
 
 def consistency(runs: DataFrame, subject: str, run: str, keys: str) -> DataFrame:
