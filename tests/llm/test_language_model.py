@@ -68,3 +68,14 @@ def test_seating_follows_the_rule():
             k += rng.random() < x / (x + i - d * k)
         plain.append(k)
     assert abs(t.mean() - np.mean(plain)) < 0.15 and t.min() >= 1 and t.max() <= c
+
+
+def test_long_unseen_words_cost_by_their_letters(spark):
+    rng = np.random.default_rng(2)
+    held = [d for d in range(1000) if zlib.crc32(str(d).encode()) % 10 == 0][:3]
+    train = [d for d in range(1000) if zlib.crc32(str(d).encode()) % 10][:20]
+    junk = ["".join(rng.choice(list("0123456789abcdef"), n)) for n in (400, 800, 1600)]
+    rows = [(d, "the cat sat on the mat") for d in train] + list(zip(held, junk, strict=True))
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a, b, c = (got[d] for d in held)
+    assert a < -400 and 1.8 < b / a < 2.2 and 1.8 < c / b < 2.2

@@ -219,12 +219,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w, c = [x.encode() for x in batch.column(0).to_pylist()], batch.column(1).to_numpy()
-            p = np.zeros(len(w))
+            log_p = np.full(len(w), -np.inf)
             if len(w):
-                for sweep, before, (tables, letters) in kept.value:
+                for sweep, before, (tables, letters) in kept.value:  # in logarithms: long words are far below the least float
                     t = _tables(w, c, before, discount, sweep)
-                    p += (np.maximum(c - discount * t, 0) + (THETA + discount * tables) * np.exp(log_p0(w, letters))) / (total + THETA)
-            log_p = np.log10(np.maximum(p / KEPT, 1e-300))
+                    with np.errstate(divide="ignore"):
+                        seated = np.log(np.maximum(c - discount * t, 0))
+                    log_p = np.logaddexp(log_p, np.logaddexp(seated, math.log(THETA + discount * tables) + log_p0(w, letters)))
+            log_p = (log_p - math.log(KEPT * (total + THETA))) / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log_p)], names=["word", "c", "log_p"])
 
     scored = words.select("word", "c").mapInArrow(score, "word string, c long, log_p double")
