@@ -71,3 +71,15 @@ def test_odd_rows(spark):
 def test_hadamard_is_orthonormal():
     h = e.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16)) and np.allclose(np.abs(h), 0.25)
+
+
+def test_a_pair_counts_once_whatever_the_order_of_rows_and_probes(spark):
+    keys = {1: [7, 5], 2: [5, 7]}  # the same two buckets, in other orders
+    for c, k in keys.items():
+        k += [100 * c + i for i in range(2 * e.TABLES - 2)]
+    row = lambda cls, key: (key, 0, False, cls, [1.0, 0.0], 1, keys[cls], key)
+    schema = "g long, b int, cross boolean, cls long, v array<double>, m long, keys array<long>, key long"
+    for order in ([(1, 5), (2, 5), (1, 7), (2, 7)], [(1, 5), (2, 5), (2, 7), (1, 7)], [(2, 5), (1, 5), (1, 7), (2, 7)], [(2, 5), (1, 5), (2, 7), (1, 7)]):
+        df = spark.createDataFrame([row(*x) for x in order], schema).coalesce(1)
+        got = e._compare(df, 0.98).where("links > 0").collect()
+        assert sorted((r["a"], r["links"]) for r in got) == [(1, 1), (2, 1)]

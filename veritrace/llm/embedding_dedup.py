@@ -98,11 +98,11 @@ def _compare(rows: DataFrame, cosine: float) -> DataFrame:
             near &= b[:, None] != b[None, :]
         i, j = np.nonzero(np.triu(near, 1))
         links = np.zeros(len(cls), np.int64)
-        for at in range(0, len(i), 20_000):  # a pair counts in the first bucket that both stand in
+        for at in range(0, len(i), 20_000):  # a pair counts in the smallest bucket that both stand in, whichever row is first
             p, q = i[at : at + 20_000], j[at : at + 20_000]
             same = (keys[p][:, :, :, None] == keys[q][:, :, None, :]).any(axis=3).reshape(len(p), -1)
-            first = keys[p].reshape(len(p), -1)[np.arange(len(p)), same.argmax(axis=1)]
-            own = first == key
+            least = np.where(same, keys[p].reshape(len(p), -1), np.iinfo(np.int64).max).min(axis=1)
+            own = least == key
             np.add.at(links, p[own], m[q[own]])
             np.add.at(links, q[own], m[p[own]])
         left, src, dst = np.unique(np.concatenate((i, j))), [], []
@@ -150,7 +150,7 @@ def _compare(rows: DataFrame, cosine: float) -> DataFrame:
             yield from told(held)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "a long, b long, links long")
+    return rows.repartition(n, "g").sortWithinPartitions("g", "cls").mapInArrow(run, "a long, b long, links long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
