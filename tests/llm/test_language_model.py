@@ -44,30 +44,164 @@ def test_odd_rows(odd, none, texts):
 
 
 def test_letters_are_a_distribution():
-    rng = np.random.default_rng(0)
     w = [b"abc", b"abd", b"", b"cab", b"\xc3\xa9"] * 3
     key, starts = lm.spelled(w)
     assert len(starts) == len(w) and key[starts[2]] % lm.SYMBOLS == lm.EDGE
     keys, counts = np.unique(key, return_counts=True)
-    m = lm.Letters(keys, counts, rng)
+    m = lm.Letters(keys, counts, 0)
     for context in [*np.unique(keys // lm.SYMBOLS)[:20], 5, 97 * lm.SYMBOLS + 98]:
         p = np.exp(m.log_p(context * lm.SYMBOLS + np.arange(lm.SYMBOLS)))
         assert abs(p.sum() - 1) < 1e-4 and (p > 0).all()
+    none = lm.Letters(keys[:0], counts[:0], 0)
+    assert np.allclose(np.exp(none.log_p(np.arange(500))), 1 / lm.SYMBOLS)
+
+
+def test_letters_fall_back_level_by_level():
+    keys, counts = np.unique(lm.spelled([b"abca", b"abd", b"xab", b"b"] * 4)[0], return_counts=True)
+    m = lm.Letters(keys, counts, 3)
+
+    def plain(key, k=0):
+        if k > lm.DEPTH:
+            return 1 / lm.SYMBOLS
+        cells, p, ctx, back = m.levels[k]
+        if key in cells:
+            return p[list(cells).index(key)]
+        above = plain(key % lm.SYMBOLS ** (lm.DEPTH - k), k + 1)
+        return above * back[list(ctx).index(key // lm.SYMBOLS)] if key // lm.SYMBOLS in ctx else above
+
+    rng = np.random.default_rng(0)
+    some = np.concatenate((keys, rng.integers(0, lm.SYMBOLS**3, 200), np.repeat(keys // lm.SYMBOLS * lm.SYMBOLS, 3) + rng.integers(0, 257, 3 * len(keys))))
+    assert np.allclose(np.exp(m.log_p(some)), [plain(int(k)) for k in some], rtol=1e-4)
 
 
-def test_seating_follows_the_rule():
+def test_tables_have_the_chances_of_all_seatings():
+    """Against the sum over all seatings, one by one and customer by customer."""
     rng = np.random.default_rng(1)
-    # expected tables of c customers by the rule, one at a time
-    c, w, d, runs = 30, 0.7, 0.4, 4000
-    t = lm.seat(np.full(runs, c), np.full(runs, w), np.full(runs, 0.2), d, rng)
-    plain = []
-    for _ in range(2000):
-        k = 1
-        for i in range(1, c):
-            x = w + 0.2 * k
-            k += rng.random() < x / (x + i - d * k)
-        plain.append(k)
-    assert abs(t.mean() - np.mean(plain)) < 0.15 and t.min() >= 1 and t.max() <= c
+    key = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    n, d, weight, slope = 20_000, 0.6, 0.5, 0.2
+    for c in (2, 3, 6):
+        want, todo = np.zeros(c + 1), [([], 0, 1.0)]
+        while todo:
+            sizes, seated, p = todo.pop()
+            if seated == c:
+                want[len(sizes)] += p
+                continue
+            todo.append(([*sizes, 1], seated + 1, p * ((weight + slope * len(sizes)) if sizes else 1)))
+            todo += [([*sizes[:i], x + 1, *sizes[i + 1 :]], seated + 1, p * (x - d)) for i, x in enumerate(sizes)]
+        t = lm.seat(np.full(n, c), np.full(n, weight), np.full(n, slope), d, key(n), 2)
+        assert np.abs(np.bincount(t, minlength=c + 1) / n - want / want.sum()).max() < 0.015
+    for c, weight, slope, d in ((200, 0.7, 0.3, 0.5), (300, 0.7, 0.3, 0.5), (400, 30.0, 0.5, 0.7), (400, 0.1, 0.01, 0.8), (300, 200.0, 0.9, 0.6)):
+        ways = np.zeros(c + 2)
+        ways[1] = 1.0
+        k = np.arange(c + 2)
+        for i in range(1, c):  # the next customer joins one of the tables or opens one
+            ways = np.maximum(i - d * k, 0) * ways + np.concatenate(([0], (ways * (weight + slope * k))[:-1]))
+            ways /= ways.sum()
+        mean = (ways * k).sum()
+        t = lm.seat(np.full(n, c), np.full(n, weight), np.full(n, slope), d, key(n), 2)
+        assert abs(t.mean() - mean) < 0.06 * mean and abs(t.std() - np.sqrt((ways * (k - mean) ** 2).sum())) < 0.1 * t.std() + 0.1
+
+
+class Restaurants:
+    """A plain Chinese-restaurant sampler of the same model: customers leave and come back one at a time, tables have sizes."""
+
+    def __init__(self, discounts, rng):
+        self.d, self.rng, self.sizes, self.n, self.t = discounts, rng, {}, Counter(), Counter()
+
+    def parent(self, r, dish):
+        """The customers that a table sends up: (restaurant, dish)."""
+        if r[0] == "pair":
+            return [(("word",), dish)]
+        if r[0] == "word":
+            s = [lm.EDGE] * lm.DEPTH + list(dish) + [lm.EDGE]
+            return [(("letter", *s[i : i + lm.DEPTH]), s[i + lm.DEPTH]) for i in range(len(dish) + 1)]
+        return [(("letter", *r[2:]), dish)] if len(r) > 1 else []
+
+    def p(self, r, dish):
+        up = self.parent(r, dish)
+        base = math.prod(self.p(*x) for x in up) if up else 1 / lm.SYMBOLS
+        d, own = self.d[r[0]], self.sizes.get((r, dish), ())
+        return (sum(own) - d * len(own) + (lm.THETA + d * self.t[r]) * base) / (self.n[r] + lm.THETA)
+
+    def add(self, r, dish):
+        up = self.parent(r, dish)
+        base = math.prod(self.p(*x) for x in up) if up else 1 / lm.SYMBOLS
+        d, own = self.d[r[0]], self.sizes.setdefault((r, dish), [])
+        w = [x - d for x in own] + [(lm.THETA + d * self.t[r]) * base]
+        k = self.rng.choice(len(w), p=np.array(w) / sum(w))
+        self.n[r] += 1
+        if k < len(own):
+            own[k] += 1
+        else:
+            own.append(1)
+            self.t[r] += 1
+            for x in up:
+                self.add(*x)
+
+    def remove(self, r, dish):
+        own = self.sizes[r, dish]
+        k = self.rng.choice(len(own), p=np.array(own) / sum(own))
+        own[k] -= 1
+        self.n[r] -= 1
+        if not own[k]:
+            own.pop(k)
+            self.t[r] -= 1
+            for x in self.parent(r, dish):
+                self.remove(*x)
+
+
+def test_scores_agree_with_a_plain_sampler(spark):
+    rng = np.random.default_rng(7)
+    nouns, verbs = ["cat", "dog", "bird", "fish", "horse"], ["sees", "likes", "hears"]
+    docs = [(i, " ".join(f"the {rng.choice(nouns)} {rng.choice(verbs)} a {rng.choice(nouns)}" for _ in range(rng.integers(1, 4)))) for i in range(90)]
+    docs += [(900 + i, "".join(rng.choice(list("abcde"), 6))) for i in range(10)]
+    pairs = {d: list(zip([lm.END, *lm.tokens(x)], [*lm.tokens(x), lm.END], strict=True)) for d, x in docs}
+    train = [d for d in pairs if zlib.crc32(str(d).encode()) % 10]
+    kinds = Counter(x for d in train for x in pairs[d])
+    words = Counter(w for _, w in kinds)
+    some = lambda c: lm.discount(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
+    r = Restaurants({"pair": some(kinds), "word": some(words), "letter": lm.LETTER_DISCOUNT}, rng)
+    seats = [(("pair", u), w) for d in train for u, w in pairs[d]]
+    for x in seats:
+        r.add(*x)
+    total = {d: np.zeros(len(x)) for d, x in pairs.items()}
+    for sweep in range(14):
+        for x in seats:
+            r.remove(*x)
+            r.add(*x)
+        if sweep >= 4:
+            for d, x in pairs.items():
+                total[d] += [r.p(("pair", u), w) for u, w in x]
+    want = {d: np.log10(x / 10).sum() for d, x in total.items()}
+    got = {x["doc_id"]: x["score"] for x in lm.lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert abs(sum(got.values()) / sum(want.values()) - 1) < 0.03
+    assert np.median([abs(got[d] / want[d] - 1) for d in want]) < 0.05 and max(abs(got[d] / want[d] - 1) for d in want) < 0.2
+
+
+def test_partitions_and_batches_do_not_matter(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs.coalesce(1)).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    for name, value in (("CHUNK_TOKENS", 3_000), ("BLOCK_TOKENS", 500), ("PART_CHARS", 20_000)):
+        monkeypatch.setattr(lm, name, value)
+    try:
+        other = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs.repartition(5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert one.keys() == other.keys() and all(abs(one[d] - other[d]) < 1e-6 for d in one)
+
+
+def test_word_order_matters(spark):
+    """A held-out text is likelier than its words in random order, and than by the words without context."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rng = np.random.default_rng(0)
+    held = [d for d in range(10**6, 10**6 + 4000) if zlib.crc32(str(d).encode()) % 10 == 0]
+    own = [r["text"] for r in docs if r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0][:60]
+    rows = [(r["doc_id"], r["text"]) for r in docs] + [(held[i], " ".join(rng.permutation(x.split()))) for i, x in enumerate(own)]
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    of = {r["text"]: got[r["doc_id"]] for r in docs}
+    true, mixed = sum(of[x] for x in own), sum(got[held[i]] for i in range(len(own)))
+    assert true > 0.9 * mixed
 
 
 def test_long_unseen_words_cost_by_their_letters(spark):

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritrace.llm.hashing import mix
 from veritrace.operators.graph import connected_components
 from veritrace.storage import materialize
 
@@ -35,12 +36,6 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(d)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
 def buckets(x: np.ndarray, salt: np.ndarray, axes: int, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
     """Bucket keys (rows, tables, probes) of the rows of x; salt keeps groups apart, axes are the hashes of a bucket."""
     n, d = x.shape
@@ -65,8 +60,8 @@ def buckets(x: np.ndarray, salt: np.ndarray, axes: int, tables: int = TABLES, pr
         for p in range(probes):
             key = salt ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
             for k in range(axes):
-                key = _mix(key) + codes[np.arange(n), k, choices[best[:, p], k]]
-            out[:, t, p] = _mix(key)
+                key = mix(key) + codes[np.arange(n), k, choices[best[:, p], k]]
+            out[:, t, p] = mix(key)
     return out
 
 
