@@ -7,25 +7,61 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-#: Folders of sessions that name none, by application.
+#: Folders of local sessions that name none, by application.
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Unset, a local session gets a temporary one; on a cluster, whose executors would each write to their own disk, that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="veritrace-")
     return _own[app]
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = _fresh(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Bucketed:
+    """A table in the shared folder, bucketed by a column and split into parts by another, to which rows can be appended.
+
+    Grouping or joining it by that column needs no shuffle, so rows that meet again and again stay where they are.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int, by: str, parts: str):
+        self.spark, self.buckets, self.by, self.parts = spark, buckets, by, parts
+        self.name, self.path = f"{name}_{uuid.uuid4().hex}", _fresh(spark, name)
+
+    def add(self, df: DataFrame) -> Bucketed:
+        out = df.write.mode("append").option("compression", "zstd").option("path", self.path)
+        out.partitionBy(self.parts).bucketBy(self.buckets, self.by).saveAsTable(self.name)
+        return self
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def forget(self, part: int | None = None) -> None:
+        """Delete a part of the table, or all of it, once nothing reads it any more."""
+        if part is None:
+            self.spark.sql(f"drop table if exists {self.name}")
+        release(self.spark, self.path if part is None else f"{self.path}/{self.parts}={part}")
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
