@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,68 +18,93 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: The fitted sample: so many documents of a language, lowest by hash, with so many letters each, and so many letters in all.
-SAMPLE_DOCS, DOC_LETTERS, LETTERS = 64, 600, 24_000
-#: Letters with a symbol of their own; the rest share one.
-SYMBOLS = 62
+#: The fitted sample: so many rows of a language, lowest by hash, of each a stretch of so many letters at a place given by its hash.
+SAMPLE_ROWS, ROW_LETTERS = 64, 400
+#: As many rows again set the limit beyond which a text is in no learned language: so many times their most phrases a letter, and phrases that any text may have.
+MARGIN, SLACK = 1.25, 8
+#: A model is at most about a megabyte a language; more labelled values than this are refused.
+MOST_LANGUAGES = 500
 #: Letters parsed in one stretch: a longer text is a row of stretches whose phrases add up.
 STRETCH = 512
 FOLD = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 4) = 2"
 
 
-def automaton(codes: np.ndarray, symbols: int) -> np.ndarray:
-    """The suffix automaton of codes as a flat table: entry [state + symbol] is next state * 4 + phrases that end here.
+class Automaton:
+    """The suffix automaton of codes, as rows laid over one another in one table.
 
-    States are stored times symbols. Where no phrase goes on, a new one starts at the root with the symbol.
+    The step from a state by a symbol is at slot place[state] + symbol, if the slot names the state;
+    it holds state << 32 | next state. So an alphabet of thousands of symbols costs no more than one
+    of thirty. root is the next state of each symbol from the start, 0 for a symbol not in codes.
     """
-    nxt: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
-    for c in codes.tolist():
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][c]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
-                clone = len(nxt)
-                nxt.append(dict(nxt[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = clone
-                    p = link[p]
-                link[q] = link[cur] = clone
-        last = cur
-    root = np.array([nxt[0].get(c, 0) * symbols * 4 for c in range(symbols)], np.int64)
-    seen = np.array([c in nxt[0] for c in range(symbols)])
-    table = np.tile(np.where(seen, root + 1, 2), (len(nxt), 1)).astype(np.int32)
-    table[0] = np.where(seen, root, 1)
-    for s, x in enumerate(nxt):
-        for c, t in x.items():
-            table[s, c] = t * symbols * 4
-    return table.ravel()
+
+    def __init__(self, codes: np.ndarray, symbols: int):
+        nxt: list[dict[int, int]] = [{}]
+        link, length, last = [-1], [0], 0
+        for c in codes.tolist():
+            cur = len(nxt)
+            nxt.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and c not in nxt[p]:
+                nxt[p][c] = cur
+                p = link[p]
+            if p >= 0:
+                q = nxt[p][c]
+                if length[p] + 1 == length[q]:
+                    link[cur] = q
+                else:
+                    clone = len(nxt)
+                    nxt.append(dict(nxt[q]))
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    while p >= 0 and nxt[p].get(c) == q:
+                        nxt[p][c] = clone
+                        p = link[p]
+                    link[q] = link[cur] = clone
+            last = cur
+        self.root = np.array([nxt[0].get(c, 0) for c in range(symbols)], np.int32)
+        self.unseen = (self.root == 0).astype(np.int32)
+        self.place, self.slots = self._laid(nxt, symbols)
+
+    @staticmethod
+    def _laid(nxt: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+        edges = sum(map(len, nxt))
+        slots = np.full(2 * edges + 4 * symbols + 1_024, -1, np.int64)
+        place, low, near = np.zeros(len(nxt), np.int32), symbols, symbols  # no row starts below 0
+        for s in sorted(range(len(nxt)), key=lambda s: -len(nxt[s])):
+            if not nxt[s]:
+                continue
+            c, to = np.array(list(nxt[s]), np.int64), np.array(list(nxt[s].values()), np.int64)
+            at, least = (max(low, near - 128) if len(c) > 1 else low), int(c.min())
+            while len(c) > 1:  # from near the row before on, the first place where none of the row's slots is taken; single steps fill the gaps
+                if at + 64 + symbols > len(slots):
+                    slots = np.concatenate((slots, np.full(len(slots), -1, np.int64)))
+                ok = (slots[at - least + np.arange(64)[:, None] + c] < 0).all(axis=1)
+                if ok.any():
+                    at = near = at + int(ok.argmax())
+                    break
+                at += 64
+            place[s] = at - least
+            slots[place[s] + c] = s << 32 | to
+            while slots[low] >= 0:
+                low += 1
+        return place, slots[: int(place.max()) + symbols + 1]
 
 
 def letter_codes(texts: list[str], lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All texts' codes, one after another, and how many each has: 0 for a run of other characters between letters."""
     raw = [lut[np.frombuffer(x.lower().encode("utf-32-le", "replace"), np.uint32)] for x in texts]
     owner = np.repeat(np.arange(len(raw)), [len(x) + 1 for x in raw])
-    flat = np.concatenate([np.append(x, 0) for x in raw]).astype(np.uint8) if raw else np.empty(0, np.uint8)
+    flat = np.concatenate([np.append(x, 0) for x in raw]).astype(np.uint16) if raw else np.empty(0, np.uint16)
     keep = np.ones(len(flat), bool)
     keep[1:] = (flat[1:] != 0) | (flat[:-1] != 0) & (owner[1:] == owner[:-1])
     keep[0:1] = flat[0:1] != 0
     return flat[keep], np.bincount(owner[keep], minlength=len(raw))
 
 
-def phrases(flat: np.ndarray, counts: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """Phrases of each text (row) in each table (column)."""
+def phrases(flat: np.ndarray, counts: np.ndarray, tables: list[Automaton]) -> np.ndarray:
+    """Phrases of each text (row) in each automaton (column)."""
     out = np.zeros((len(counts), len(tables)), np.int64)
     starts = np.cumsum(counts) - counts
     per = -(-counts // STRETCH)
@@ -95,83 +121,110 @@ def phrases(flat: np.ndarray, counts: np.ndarray, tables: list[np.ndarray]) -> n
         found = [np.zeros(len(o), np.int32) for _ in tables]
         for step, m in enumerate(active.tolist()):
             c = flat[b[:m] + step]
-            for s, f, t in zip(state, found, tables, strict=True):
-                x = t.take(s[:m] + c)
-                f[:m] += x & 3
-                np.right_shift(x, 2, out=s[:m])
+            for k, t in enumerate(tables):
+                s = state[k][:m]
+                x = t.slots.take(t.place.take(s) + c)
+                to = x.astype(np.int32)  # the lower half
+                off = np.flatnonzero(x >> 32 != s)  # no phrase goes on: one ends, unless none has begun, and one begins with the symbol
+                if len(off):
+                    d = c[off]
+                    to[off] = t.root.take(d)
+                    found[k][off] += (s[off] != 0) + t.unseen.take(d)
+                state[k][:m] = to
         for k, (s, f) in enumerate(zip(state, found, strict=True)):
             np.add.at(out[:, k], owner[o], f + (s != 0))
     return out
 
 
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, list[np.ndarray], np.ndarray]:
-    """(languages, code of each code point, automata, bits of a pointer) from labelled rows outside the held-out fold.
+@dataclass
+class Model:
+    """Languages in order of name, their automata, the bits of a pointer into each, the code of each code point, and the most phrases a letter."""
 
-    The sample is bounded by SAMPLE_DOCS documents of each language, whatever the table's size.
-    """
+    languages: list[str]
+    lut: np.ndarray
+    tables: list[Automaton]
+    bits: np.ndarray
+    limit: float
+
+
+def _sampled(docs: DataFrame) -> DataFrame:
+    """(lang, r, text): stretches of the sample, r from 1 to twice SAMPLE_ROWS in each language."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = rows.where(f"lang is not null and not ({FOLD})")
-    first = W.partitionBy("l").orderBy("o", "d")
-    chosen = rows.where("text is not null").select(F.col("doc_id").alias("d"), F.col("lang").alias("l"), F.xxhash64("doc_id").alias("o"))
-    chosen = chosen.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_DOCS).select("d", "l").distinct()
-    text = rows.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("lang") == F.col("l")), "left_semi")
-    told = text.select("lang", F.substring("text", 1, DOC_LETTERS * 2).alias("text"), F.xxhash64("doc_id").alias("o")).collect()
+    rows = rows.where(f"lang is not null and text is not null and not ({FOLD})").withColumn("o", F.xxhash64("doc_id", "text"))
+    place = F.expr(f"1 + pmod(o, greatest(1, length(text) - {2 * ROW_LETTERS} + 1))")
+    rows = rows.select("lang", "o", F.substring("text", place, F.lit(2 * ROW_LETTERS)).alias("text"))
+    first = W.partitionBy("lang").orderBy("o", "text")  # tasks send on no more than the first rows of each language
+    return rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 2 * SAMPLE_ROWS)
+
+
+def fit(docs: DataFrame) -> Model:
+    """Learn from labelled rows outside the held-out fold: SAMPLE_ROWS rows of each language, whatever the table's size."""
+    sample = _sampled(docs)
+    told = sample.select("lang", "r", "text").collect()
     by: dict[str, list[str]] = {}
-    for r in sorted(told, key=lambda r: (r["lang"], r["o"], r["text"])):
-        by.setdefault(r["lang"], []).append(r["text"].lower())
-    uses: dict[str, int] = {}
-    for texts in by.values():
-        for x in texts:
-            for c in x:
-                uses[c] = uses.get(c, 0) + c.isalpha()
-    own = sorted((c for c in uses if uses[c]), key=lambda c: (-uses[c], c))[:SYMBOLS]
-    lut = np.array([(SYMBOLS + 1) * (unicodedata.category(chr(c))[0] == "L") for c in range(0x110000)], np.uint8)
+    rest: list[str] = []
+    for r in sorted(told, key=lambda r: (r["lang"], r["r"])):
+        if r["r"] <= SAMPLE_ROWS:
+            by.setdefault(r["lang"], []).append(r["text"])
+        else:
+            rest.append(r["text"])
+    if len(by) > MOST_LANGUAGES:
+        raise ValueError(f"{len(by)} labelled languages; at most {MOST_LANGUAGES} can be learned at once")
+    own = sorted({c for texts in by.values() for x in texts for c in x.lower() if c.isalpha()})
+    lut = np.array([(len(own) + 1) * (unicodedata.category(chr(c))[0] == "L") for c in range(0x110000)], np.uint16)
     for k, c in enumerate(own, 1):
         lut[ord(c)] = k
     tables, bits, languages = [], [], []
     for lang in sorted(by):
         flat, counts = letter_codes(by[lang], lut)
         at = np.cumsum(counts) - counts
-        codes = np.concatenate([flat[a : a + min(n, DOC_LETTERS)] for a, n in zip(at, counts, strict=True)])[:LETTERS]
+        codes = np.concatenate([flat[a : a + min(n, ROW_LETTERS)] for a, n in zip(at, counts, strict=True)])
         if (codes > 0).any():
             languages.append(lang)
-            tables.append(automaton(codes, SYMBOLS + 2))
+            tables.append(Automaton(codes, len(own) + 2))
             bits.append(math.log2(len(codes) + 1))
-    return languages, lut, tables, np.array(bits)
+    model = Model(languages, lut, tables, np.array(bits), math.inf)
+    if languages and rest:
+        _, _, _, rate = text_languages(rest, model)
+        model.limit = MARGIN * float(rate.max())
+    return model
 
 
-def text_languages(texts: list[str | None], model) -> tuple[list[str], np.ndarray]:
-    """(language, score) of each text; `und` at 0 without a letter."""
-    languages, lut, tables, bits = model
-    named, scores, at = [], [np.zeros(0)], 0
+def text_languages(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, known, rate) of each text; `und` at 0 without a letter. rate: phrases a letter, beyond the first few, in the language."""
+    named, told, at = [], [np.zeros((0, 2))], 0
     while at < len(texts):
         part, letters = [], 0
         while at < len(texts) and (not part or letters + len(texts[at] or "") <= 8_000_000):
             part.append(texts[at] or "")
             letters += len(part[-1])
             at += 1
-        flat, counts = letter_codes(part, lut)
+        flat, counts = letter_codes(part, model.lut)
         some = np.bincount(np.repeat(np.arange(len(part)), counts), flat > 0, len(part)) > 0
-        lang, score = np.full(len(part), "und", object), np.zeros(len(part))
-        if languages:
-            cost = phrases(flat, counts, tables) * bits
-            lang[some] = np.array(languages, object)[cost.argmin(axis=1)[some]]
+        lang, score, rate = np.full(len(part), "und", object), np.zeros(len(part)), np.zeros(len(part))
+        if model.languages:
+            n = phrases(flat, counts, model.tables)
+            cost = n * model.bits
+            best = cost.argmin(axis=1)
+            lang[some] = np.array(model.languages, object)[best[some]]
             two = np.sort(cost, axis=1)[:, :2]
-            score[some] = 1.0 if len(languages) == 1 else (two[:, 1] / np.maximum(two.sum(axis=1), 1))[some]
+            score[some] = 1.0 if len(model.languages) == 1 else (two[:, 1] / np.maximum(two.sum(axis=1), 1))[some]
+            rate = np.maximum(n[np.arange(len(part)), best] - SLACK, 0) / np.maximum(counts, 1)
         named += lang.tolist()
-        scores.append(score)
-    return named, np.concatenate(scores)
+        told.append(np.stack((score, rate), axis=1))
+    score, rate = np.concatenate(told).T
+    return named, score, (np.array(named, object) != "und") & (rate <= model.limit), rate
 
 
-def predicted(spark: SparkSession, model):
-    """A function of a text column: (lang_pred, score)."""
+def predicted(spark: SparkSession, model: Model):
+    """A function of a text column: (lang_pred, score, known)."""
     shipped = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            lang, score = text_languages(x.tolist(), shipped.value)
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
+            lang, score, known, _ = text_languages(x.tolist(), shipped.value)
+            yield pd.DataFrame({"lang_pred": lang, "score": score, "known": known})
 
     return predict
 
@@ -180,13 +233,30 @@ def language_id(docs: DataFrame) -> DataFrame:
     """Predicted language of every row of docs (doc_id, text, lang).
 
     score is the loser's share of the two best costs: 0.5 is a tie, which the first language by name
-    wins. A text that is null or without a letter is `und` at 0, as is all text when nothing is
-    labelled. Rows with null lang are only predicted; repeated rows and null doc_ids keep their
-    rows; other columns are ignored; no rows give no rows.
+    wins. known is false for a text that takes clearly more phrases a letter in the winner's text
+    than labelled texts do: one in no learned language. A text that is null or without a letter is
+    `und` at 0 and not known, as is all text when nothing is labelled. Rows with null lang are only
+    predicted; repeated rows and null doc_ids keep their rows; other columns are ignored; no rows
+    give no rows.
     """
     predict = predicted(docs.sparkSession, fit(docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(FOLD).alias("held_out"), predict(F.col("text").cast("string")).alias("p"))
-    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
+    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.known")
+
+
+def accepted(docs: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """The rows of docs (doc_id, text, lang, ...) that are known to be in one of languages (all learned ones by default).
+
+    A null lang becomes the predicted one. Other rows, those without text or letters among them, go;
+    repeated rows and null doc_ids stay each by its own text; other columns are handed on, whatever
+    their names; no rows give no rows.
+    """
+    predict = predicted(docs.sparkSession, fit(docs))
+    p = predict(F.col("text").cast("string"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), p.alias("p"))
+    held = held.where("p.known" if languages is None else F.col("p.known") & F.col("p.lang_pred").isin(languages))
+    columns = [F.coalesce("row.lang", "p.lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns]
+    return held.select(*columns)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the average of learned vectors of its hashed words, their character n-grams and
-repeated-word pairs; a softmax layer over the average gives the classes. Vectors and layer are
-trained together by stochastic gradient descent in numpy on a bounded sample of labelled rows.
+pairs of neighbouring words that are equal; a softmax layer over the average gives the classes.
+Vectors and layer are trained together by stochastic gradient descent in numpy on a bounded sample
+of labelled rows.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 
 from veritrace.llm.chunks import Numbering
 
-#: The fitted sample: so many labelled documents, lowest by hash.
-SAMPLE = 4_000
+#: The fitted sample: so many labelled rows, lowest by hash, of each a stretch of so many characters at a place given by its hash.
+SAMPLE, STRETCH = 4_000, 20_000
 BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 8, 8, 0.4
+#: Steps of the vectors to those of the layer: a unit's gradient is its share of the text, which is small.
+VECTORS = 20
 #: Lengths of character n-grams, in bytes, with the marks around a word.
 GRAMS = (2, 3, 4)
 #: The bucket of a word that repeats the one before it.
@@ -85,20 +88,21 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
             back = w @ p
             w -= rate * np.outer(h, p)
             bias -= rate * p * 0.1
-            if len(u):
-                # a unit's step is not divided by the text's length, or long texts would teach nothing
-                v[u] -= rate * np.outer(np.minimum(share * 20, 1), back)
+            v[u] -= rate * VECTORS * np.outer(share, back)
     return (v @ (w[:, 1] - w[:, 0])).astype(np.float64), float(bias[1] - bias[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Train on at most SAMPLE labelled documents outside the held-out fold; without any the bias alone is 0."""
+    """Train on at most SAMPLE labelled rows outside the held-out fold; without any the bias alone is 0."""
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     told = told.where(f"doc_id is not null and quality in (0, 1) and not ({FOLD})").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("q"))
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # the sample is chosen by narrow rows; texts join it, and repeated rows do not make it grow
     chosen = told.join(rows.select(F.col("d").alias("doc_id")), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    got = rows.join(F.broadcast(chosen), F.col("d") == F.col("doc_id")).select("d", "text", "q").collect()
-    got = sorted({(r["d"], r["text"], r["q"]) for r in got})[: 2 * SAMPLE]
+    place = F.expr(f"1 + pmod(xxhash64(text), greatest(1, length(text) - {STRETCH} + 1))")
+    some = rows.join(F.broadcast(chosen), F.col("d") == F.col("doc_id")).select("d", F.substring("text", place, F.lit(STRETCH)).alias("text"), "q")
+    got = some.distinct().orderBy(F.xxhash64("d", "text"), "d", "text").limit(SAMPLE).collect()
+    got = sorted((r["d"], r["text"], r["q"]) for r in got)
     if not got:
         return np.zeros(BUCKETS), 0.0
     return train([x for _, x, _ in got], [q for _, _, q in got])

@@ -14,6 +14,8 @@ from veritrace.llm import chunks
 
 #: Fixed by byte-level BPE: how a text is cut before merging.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pre-tokens, over all chunks, that one task counts at most on average.
+TASK_WORDS = 500_000
 #: Texts of these characters are cut by PRE_TOKEN here, others by the library, whose tables for other scripts may differ.
 PLAIN = r"[\t\n\r\x20-\x7E¡-ɏ]*+"
 
@@ -60,8 +62,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     are ignored; an empty table gives an empty one.
     """
     coded = chunks.encode(docs.select("doc_id", "text", F.lit(False).alias("train")), lambda text: pre_tokens(text, tokenizer_path))
-    # all rows of a pre-token go to one task: there it is counted once, and the count joined to every chunk that has it
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # All rows of a pre-token go to one task: there it is counted once, and the count joined to every chunk that has it.
+    # A chunk has a pre-token once, so none is hot: even the commonest has one row in the many thousands of every chunk.
+    rows = coded.agg(F.coalesce(F.sum(F.size("freqs").cast("long")), F.lit(0))).first()[0]
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + rows // TASK_WORDS)
     words = chunks.dictionary(coded).select("chunk", "pos", "word").repartition(n, "word")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
