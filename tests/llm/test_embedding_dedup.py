@@ -83,3 +83,20 @@ def test_a_pair_counts_once_whatever_the_order_of_rows_and_probes(spark):
         df = spark.createDataFrame([row(*x) for x in order], schema).coalesce(1)
         got = e._compare(df, 0.98).where("links > 0").collect()
         assert sorted((r["a"], r["links"]) for r in got) == [(1, 1), (2, 1)]
+
+
+def test_pairs_share_a_bucket_of_any_width():
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(1_500, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b = 0.98 * a + math.sqrt(1 - 0.98**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    salt = np.zeros(len(a), np.uint64)
+    for axes in range(1, 6):
+        x, y = (e.buckets(v, salt, axes) for v in (a, b))
+        met = (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3))
+        assert met.mean() >= 0.99
+        if axes > 1:
+            other = (x[:, :, :, None] == np.roll(y, 1, axis=0)[:, :, None, :]).any(axis=(1, 2, 3))
+            assert other.mean() < 0.08

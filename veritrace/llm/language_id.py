@@ -195,7 +195,7 @@ def text_languages(texts: list[str | None], model: Model) -> tuple[list[str], np
     named, told, at = [], [np.zeros((0, 2))], 0
     while at < len(texts):
         part, letters = [], 0
-        while at < len(texts) and (not part or letters + len(texts[at] or "") <= 8_000_000):
+        while at < len(texts) and (not part or letters + len(texts[at] or "") <= 2_000_000):
             part.append(texts[at] or "")
             letters += len(part[-1])
             at += 1

@@ -1,11 +1,12 @@
 """Best-fit packing of token pieces into sequences of fixed size.
 
-Bulk-synchronous best-fit: pieces are range-sorted by length and ranked within it; open gaps are
-kept sorted by size. In a round every piece looks for its successor, the smallest gap that holds
-it, larger pieces first; pieces of one length that want gaps of one size are matched by rank; the
-gaps shrink and the next round begins. Pieces without a gap open sequences. Lengths and gaps are
-whole numbers up to the size, so a sweep runs over run-length-coded order (at most `size` lengths,
-whatever the number of pieces), and only ranking and placing touch the pieces.
+Bulk-synchronous best-fit: pieces are range-sorted by length and ranked within it. Pieces of one
+length with ranks in a row, and sequences in a row with gaps of one size, are runs; a round is one
+Spark job over the runs, dealt by ranges of size. In its range every piece, larger ones first, looks
+for its successor, the smallest gap that holds it; pieces that want the same gaps are matched by
+rank; a piece without a gap goes on in the next range, and the gaps that shrank go to theirs. Pieces
+that no range could hold open sequences, the longest first, for a part of their tokens, and the next
+round begins. In the end the pieces meet the runs that hold their ranks.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import unicodedata
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritrace.llm.token_counts import tokenizer
@@ -52,11 +55,17 @@ def id_bytes(texts: list[str], path: str) -> list[bytes]:
     if len(cache) + len(new) > CACHE:
         cache.clear()
         new = set().union(*(w for w in plain if w))
-    new = list(new)
+    letters = [w for w in new if w.isascii() and w.isalpha()]  # the model's own symbols: no byte needs another
+    model = t.model
+    for w in letters:
+        cache[w] = np.array([x.id for x in model.tokenize(w)], "<u4").tobytes()
+    new = [w for w in new if not (w.isascii() and w.isalpha())]
     for at in range(0, len(new), 2_000):  # a line of words is one call; every word ends in a token that says so
         some = new[at : at + 2_000]
         ids = np.array(t.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
         stops = np.flatnonzero(_closes(path)[ids]) + 1
+        if len(stops) != len(some):
+            raise ValueError(f"{len(some)} words end {len(stops)} times: the tokenizer cuts them otherwise")
         raw, at_byte = ids.tobytes(), (4 * stops).tolist()
         for w, a, b in zip(some, [0, *at_byte], at_byte, strict=False):
             cache[w] = raw[a:b]
@@ -85,59 +94,93 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sweep(counts: list[int], size: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, rank, n, sequence, offset): the n pieces of a length from a rank on go to as many sequences, from one on, at one offset.
+#: Ranges of sizes, and the part of the tokens without a gap for which a round opens sequences: less packs tighter, in more rounds.
+RANGES, OPENED = 2, 0.5
+#: Kinds of runs.
+PIECES, GAPS, PLACED = 0, 1, 2
+RUNS = "kind int, range int, at int, length int, first long, n long, sequence long, offset int"
 
-    counts: the number of pieces by length, 0 to size.
+
+def range_of(at: int, size: int) -> int:
+    return at * RANGES // (size + 1) if at <= size else RANGES
+
+
+def sweep(runs: list[dict], size: int, number: int) -> list[tuple]:
+    """The runs after a round, of those of one range; number is the first of the sequences that may be opened.
+
+    PIECES: n pieces of a length with ranks from first on, which need a gap of at least `at`. GAPS: n
+    sequences from `sequence` on with a gap of `at`. PLACED: n pieces, as many sequences, one offset.
     """
-    left, done, runs, opened = list(counts), [0] * (size + 1), [], 0
+    out: list[tuple] = []
+    gap = lambda at, sequence, n: out.append((GAPS, range_of(at, size), at, 0, 0, n, sequence, 0)) if at and n else None
+    wait = lambda at, length, first, n: out.append((PIECES, range_of(at, size), at, length, first, n, 0, 0)) if n else None
+    todo = sorted(((r["length"], r["at"], r["first"], r["n"]) for r in runs if r["kind"] == PIECES), key=lambda x: (-x[0], -x[1], x[2]))
+    if runs[0]["range"] == RANGES:
+        opened = max(1, int(sum(length * n for length, _, _, n in todo) / size * OPENED))
+        for length, _, first, n in todo:
+            each = size // length
+            for take, times in ((min(n // each, opened), each), (min(1, opened - n // each), n % each)):
+                if take > 0 and times:
+                    for i in range(times):
+                        out.append((PLACED, -1, 0, length, first, take, number, i * length))
+                        first, n = first + take, n - take
+                    gap(size - times * length, number, take)
+                    opened, number = opened - take, number + take
+            wait(length, length, first, n)
+        return out
     gaps: dict[int, list[tuple[int, int]]] = {}
+    for r in sorted((r for r in runs if r["kind"] == GAPS), key=lambda r: -r["sequence"]):
+        gaps.setdefault(r["at"], []).append((r["sequence"], r["n"]))
+    sizes = sorted(gaps)
+    after = -(-(runs[0]["range"] + 1) * (size + 1) // RANGES)  # the least size of the next range
+    for length, at, first, n in todo:
+        while n and (k := bisect_left(sizes, max(length, at))) < len(sizes):
+            held = sizes[k]
+            sequence, m = gaps[held].pop()
+            take = min(m, n)
+            times = min(held // length, n // m) if take == m else 1
+            if take < m:
+                gaps[held].append((sequence + take, m - take))
+            for i in range(times):
+                out.append((PLACED, -1, 0, length, first, take, sequence, size - held + i * length))
+                first, n = first + take, n - take
+            gap(held - times * length, sequence, take)
+            if not gaps[held]:
+                del gaps[held]
+                sizes.pop(k)
+        wait(after if after <= size else size + 1, length, first, n)
+    for at, held in gaps.items():
+        for sequence, m in held:
+            gap(at, sequence, m)
+    return out
+
+
+def _placed(lengths: DataFrame, size: int) -> DataFrame:
+    """(length, first, n, sequence, offset): where n pieces of a length go; lengths has (length, n).
+
+    A sequence's number is its round, or for a piece of over half the size its length, and a count.
+    """
+    zero, large = F.lit(0), F.col("length") > size // 2  # no two of these share a sequence: they open one each
+    own = F.shiftleft(F.col("length").cast("long"), 40)
+    run = lambda kind, at, length, first, sequence: F.struct(F.lit(kind).alias("kind"), F.when(at > size, RANGES).otherwise(F.floor(at * RANGES / (size + 1))).cast("int").alias("range"), at.cast("int").alias("at"), length.cast("int").alias("length"), first.cast("long").alias("first"), F.col("n"), sequence.cast("long").alias("sequence"), F.lit(0).alias("offset"))
+    both = F.array(run(PLACED, zero, F.col("length"), zero, own), run(GAPS, size - F.col("length"), zero, zero, own))
+    first = lengths.select(F.explode(F.when(large, both).otherwise(F.array(run(PIECES, F.col("length"), F.col("length"), zero, zero)))).alias("r")).select("r.*")
+    rounds = [materialize(first.where("kind <> 1 or at > 0"), "runs")]
+    names = [x.split()[0] for x in RUNS.split(", ")]
+    types = [{"int": pa.int32(), "long": pa.int64()}[x.split()[1]] for x in RUNS.split(", ")]
 
-    def place(length: int, n: int, first: int, gap: int, times: int, to: dict) -> None:
-        """times pieces of a length into each of n sequences from first on."""
-        for _ in range(times):
-            runs.append((length, done[length], n, first, size - gap))
-            done[length] += n
-            left[length] -= n
-            gap -= length
-        if gap:
-            to.setdefault(gap, []).append((first, n))
-
-    def open_for(length: int) -> None:
-        nonlocal opened
-        each = size // length
-        full, rest = divmod(left[length], each)
-        for n, times in ((full, each), (1, rest)):
-            if n and times:
-                place(length, n, opened, size, times, gaps)
-                opened += n
-
-    for length in range(size, size // 2, -1):  # no two of these share a sequence
-        if left[length]:
-            open_for(length)
-    while True:
-        moved: dict[int, list[tuple[int, int]]] = {}
-        sizes = sorted(gaps)
-        for length in range(size // 2, 0, -1):
-            while left[length] and (k := bisect_left(sizes, length)) < len(sizes):
-                gap = sizes[k]
-                first, n = gaps[gap].pop()
-                take = min(n, left[length])
-                times = min(gap // length, max(1, left[length] // n)) if take == n else 1
-                if take < n:
-                    gaps[gap].append((first + take, n - take))
-                place(length, take, first, gap, times, moved)
-                if not gaps[gap]:
-                    del gaps[gap]
-                    sizes.pop(k)
-        for gap, runs_of in moved.items():
-            gaps.setdefault(gap, []).extend(runs_of)
-        if not moved:
-            most = max((x for x in range(size // 2, 0, -1) if left[x]), default=0)
-            if not most:
-                return runs
-            if not any(g >= most for g in gaps):
-                open_for(most)
+    def step(number: int):
+        def run(t: pa.Table) -> pa.Table:
+            rows = sweep(t.to_pylist(), size, number)
+            return pa.table([pa.array([r[i] for r in rows], x) for i, x in enumerate(types)], names=names)
+
+        return run
+
+    while not rounds[-1].where(F.col("kind") == PIECES).isEmpty():
+        left = rounds[-1].where(F.col("kind") < PLACED).groupBy("range")
+        rounds.append(materialize(left.applyInArrow(step((size + len(rounds)) << 40), RUNS), "runs"))
+    done = [r.where(F.col("kind") == PLACED).select("length", "first", "n", "sequence", "offset") for r in rounds]
+    return materialize(reduce(DataFrame.union, done), "placed")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, size: int = 2048) -> DataFrame:
@@ -150,31 +193,17 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, size: int = 2048) ->
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = materialize(pieces(docs, tokenizer_path, size), "pieces")
     ranged = cut.repartitionByRange(n_parts, "length", "doc_id", "piece", "ids_crc32").sortWithinPartitions("length", "doc_id", "piece")
-    ranged = materialize(ranged.withColumn("at", F.monotonically_increasing_id()), "ranged")
+    ranged = materialize(ranged.withColumn("place", F.monotonically_increasing_id()), "ranged").withColumn("part", F.shiftright("place", 33))
     # a row for each length of each range: as many as ranges and lengths together
-    held = ranged.groupBy(F.shiftright("at", 33).alias("part"), "length").agg(F.min("at").alias("first"), F.count("*").alias("n")).collect()
-    counts = [0] * (size + 1)
-    first, before = [], []
-    for r in sorted(held, key=lambda r: r["first"]):
-        first.append(r["first"])
-        before.append(counts[r["length"]])
-        counts[r["length"]] += r["n"]
-    runs = sorted(sweep(counts, size))
-    plan = [np.array(x, np.int64) for x in (first, before)] + [np.array([r[i] for r in runs], np.int64) for i in range(5)]
-    shipped = docs.sparkSession.sparkContext.broadcast(plan)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, before, length, rank, _, sequence, offset = shipped.value
-        key = (length << 44) + rank  # ranks stay below 2 to the 44th
-        for b in batches:
-            at, n = b.column(b.schema.get_field_index("at")).to_numpy(), b.column(b.schema.get_field_index("length")).to_numpy()
-            k = np.searchsorted(first, at, "right") - 1
-            own = at - first[k] + before[k]
-            r = np.searchsorted(key, (n << 44) + own, "right") - 1
-            cols = [b.column(i) for i in range(5)] + [pa.array(sequence[r] + own - rank[r]), pa.array(offset[r])]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return ranged.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    held = ranged.groupBy("part", "length").agg(F.min("place").alias("least"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    held = materialize(held.withColumn("before", before), "lengths")
+    placed = _placed(held.groupBy("length").agg(F.sum("n").alias("n")), size)
+    ranked = ranged.join(held.select(F.col("part").alias("p"), F.col("length").alias("l"), "least", "before"), (F.col("part") == F.col("p")) & (F.col("length") == F.col("l")))
+    ranked = ranked.withColumn("rank", F.col("place") - F.col("least") + F.col("before"))
+    runs = placed.select(F.col("length").alias("of"), "first", "n", "sequence", F.col("offset").cast("long").alias("offset"))
+    out = ranked.join(runs, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

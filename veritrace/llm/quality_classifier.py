@@ -114,7 +114,7 @@ def text_scores(texts: list[str | None], model: tuple[np.ndarray, float]) -> np.
     z, at = [], 0
     while at < len(texts):
         number, rows, letters = Numbering(), [], 0
-        while at < len(texts) and letters < 4_000_000:
+        while at < len(texts) and letters < 1_000_000:
             w = (texts[at] or "").split()
             rows.append(np.fromiter(map(number.__getitem__, w), np.int64, len(w)))
             letters += len(texts[at] or "")
