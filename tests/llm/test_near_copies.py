@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from veritrace.llm import near_copies as nc
+from veritrace.llm.simhash import plan_wide
 
 
 def plain(text, k=5):
@@ -15,7 +16,31 @@ def test_shingles_are_sets():
     for x in ("a b c d e f g a b c d e", "a b", "", " \n", "A B"):
         assert len(nc.shingles(x)) == len(plain(x))
     assert nc.shingles(None).size == 0 and (nc.shingles("a b") == nc.shingles("A  B")).all()
-    assert nc.bands([nc.shingles(""), nc.shingles("a b")])[0] == []
+
+
+def test_wide_fingerprints_are_majorities():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 255, 256, 1000):
+        h = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        got = nc.wide_fingerprint(h)
+        for k in (0, 7):
+            with np.errstate(over="ignore"):
+                own = nc.mix(h ^ nc.mix(np.array([k + 1], np.uint64) << np.uint64(32)))
+            assert int(got[k]) == sum(1 << j for j in range(64) if 2 * int((own >> np.uint64(j) & np.uint64(1)).sum()) > n)
+
+
+def test_plan_misses_few_pairs(spark):
+    """Pairs of sets at Jaccard 0.8 that share no probed value, against the stated share."""
+    rng = np.random.default_rng(4)
+    pairs = []
+    for _ in range(1_500):
+        x = rng.integers(0, 1 << 63, 330).astype(np.uint64)
+        pairs.append((nc.wide_fingerprint(x[:300]), nc.wide_fingerprint(np.concatenate((x[:267], x[300:])))))  # 267 of 333
+    df = spark.createDataFrame([(x.view(np.int64).tolist(),) for p in pairs for x in p], "fp array<long>")
+    plan = plan_wide(df, 0.8)
+    key = lambda x: [int(x[word]) & mask for word, mask, _ in plan]
+    near = lambda a, b: any(int(u ^ v).bit_count() <= t for u, v, (_, _, t) in zip(key(a), key(b), plan, strict=True))
+    assert np.mean([near(a, b) for a, b in pairs]) >= 0.985 and np.mean([int(a[0] ^ b[0]).bit_count() <= nc.FAR for a, b in pairs]) >= 0.995
 
 
 def test_near_copies_of_medium_length_go(spark, monkeypatch):
@@ -55,3 +80,12 @@ def test_odd_rows(odd, none):
     rows = nc.one_of_each(odd).collect()
     assert sum(r["doc_id"] in (2, 3, 4) for r in rows) == 1 and sum(r["doc_id"] == 1 for r in rows) == 1
     assert nc.one_of_each(none).count() == 0
+
+
+def test_other_columns_have_any_names(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i % 3, f"the same text {i % 3} with a few words more") for i in range(9)], "doc_id long, text string")
+    df = df.withColumns({x: F.lit(x) for x in ("r", "t", "row", "row_hash", "text_hash", "cls", "fp", "group", "node", "component", "key", "a.b")})
+    out = nc.one_of_each(df)
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2]

@@ -3,6 +3,10 @@
 Links are found by the generalised pigeonhole: the 64 bits are grouped by correlation into
 partitions, each partition gets its own threshold by dynamic programming over estimated candidate
 counts, fingerprints are probed by partition value, and every candidate pair is verified on all bits.
+
+For a similarity instead of a distance (near_copies) fingerprints are WIDE words long: at Jaccard
+0.8 two differ in 15 % of their bits, and the thresholds are those of least cost at which a pair
+misses all partitions in at most MISSED of the cases.
 """
 
 from __future__ import annotations
@@ -12,14 +16,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritrace.llm.hashing import mix
 from veritrace.operators.graph import connected_components
 from veritrace.storage import materialize
 
 #: Most fingerprints that share a probed value in one task; larger buckets are probed on further bits.
 BUCKET = 8_192
+#: Words of 64 bits of a wide fingerprint, and how often a pair at the similarity may share no probed value.
+WIDE, MISSED = 16, 0.005
+#: Candidates that cost as much as a probed row.
+PAIRS_A_ROW = 500
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -39,6 +48,16 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE words of the bits set in over half of the hashes of a set, each word by its own mixing of them."""
+    ones = np.zeros(64 * WIDE, np.int64)
+    salts = mix(np.arange(1, WIDE + 1, dtype=np.uint64) << np.uint64(32))
+    for at in range(0, len(hashes), 255):  # counts of so many fit a byte
+        x = mix(hashes[at : at + 255, None] ^ salts)
+        ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
 def fingerprints(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, fp, *extra): fp is the fingerprint as a signed long; extra are columns of longs to keep."""
 
@@ -55,23 +74,26 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of fingerprints and how many have both bits set, for each two bits."""
+def _bit_counts(fps: DataFrame, words: int = 1) -> tuple[int, np.ndarray]:
+    """The number of fingerprints (fp, an array of words if there are several) and how many have both bits set, for each two bits of each word."""
+    cells = 4096 * words + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, both = 0, np.zeros((64, 64))
+        n, both = 0, np.zeros((words, 64, 64))
         for b in batches:
-            x = np.unpackbits(np.ascontiguousarray(b.column(0).to_numpy()).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            both += x.T @ x
+            column = b.column(0) if words == 1 else b.column(0).flatten()
+            x = np.unpackbits(np.ascontiguousarray(column.to_numpy()).view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little").astype(np.float32)
+            for k in range(words):
+                both[k] += x[:, 64 * k : 64 * k + 64].T @ x[:, 64 * k : 64 * k + 64]
             n += len(x)
-        cells = np.append(both.ravel(), n).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4097, dtype=np.int32)), pa.array(cells)], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells, dtype=np.int32)), pa.array(np.append(both.ravel(), n).astype(np.int64))], names=["cell", "n"])
 
     told = fps.select("fp").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    flat = np.zeros(4097)
+    flat = np.zeros(cells)
     for r in told:
         flat[r["cell"]] = r["n"]
-    return int(flat[4096]), flat[:4096].reshape(64, 64)
+    both = flat[:-1].reshape(words, 64, 64)
+    return int(flat[-1]), both[0] if words == 1 else both
 
 
 def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
@@ -130,6 +152,56 @@ def plan_probes(fps: DataFrame, distance: int) -> list[tuple[int, int]]:
     return [(sum(1 << j for j in own), t) for own, t in zip(options[m], ts, strict=True) if t >= 0]
 
 
+def likeliest(costs: list[list[float]], gains: list[list[float]], need: float) -> list[int]:
+    """The thresholds, from -1 (not probed) on, of least cost whose gains add up to need; costs[i][t + 1] and gains[i][t + 1] are of threshold t in part i."""
+    step = need / 400  # gains are rounded down to so fine steps
+    best: list[tuple[float, list[int]] | None] = [(0.0, [])] + [None] * 400
+    for cost, gain in zip(costs, gains, strict=True):
+        after: list[tuple[float, list[int]] | None] = [None] * 401
+        for s, got in enumerate(best):
+            if got is not None:
+                for t, (c, g) in enumerate(zip(cost, gain, strict=True), -1):
+                    to = min(400, s + int(g / step))
+                    if after[to] is None or got[0] + c < after[to][0]:
+                        after[to] = (got[0] + c, [*got[1], t])
+        best = after
+    if best[-1] is None:
+        raise ValueError("the fingerprints are too short for the similarity")
+    return best[-1][1]
+
+
+def plan_wide(fps: DataFrame, similarity: float) -> list[tuple[int, int, int]]:
+    """(word, mask, threshold) of the partitions of wide fingerprints to probe for pairs of at least that Jaccard similarity."""
+    n, both = _bit_counts(fps, WIDE)
+    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    choices = []
+    for m in (3, 4):
+        parts, costs, gains = [], [], []
+        for word in range(WIDE):
+            p = np.diag(both[word]) / max(n, 1)
+            agree = np.clip(p * p + (1 - p) * (1 - p), 1e-6, 1)
+            for own in group_bits(n, both[word], m):
+                w, odds = len(own), ((1 - agree[own]) / agree[own]).sum()
+                pairs = n * n / 2 * float(np.prod(agree[own])) / PAIRS_A_ROW
+                none = (1 - differ) ** w
+                one = none + w * differ * (1 - differ) ** (w - 1)
+                parts.append((word, sum(1 << j for j in own)))
+                costs.append([0.0, n + pairs, n * (1 + w) + pairs * (1 + odds)])
+                gains.append([0.0, -np.log1p(-none), -np.log1p(-one)])
+        ts = likeliest(costs, gains, -np.log(MISSED))
+        choices.append((sum(c[t + 1] for c, t in zip(costs, ts, strict=True)), [(*part, t) for part, t in zip(parts, ts, strict=True) if t >= 0]))
+    return min(choices, key=lambda x: x[0])[1]
+
+
+def wide_keys(plan: list[tuple[int, int, int]]) -> Column:
+    """An array of the values that a wide fingerprint (fp) probes."""
+    keys = []
+    for word, mask, t in plan:
+        for flip in _flips(mask, t):
+            keys.append(F.xxhash64(F.lit(word), F.lit(_signed(mask)), F.get("fp", F.lit(word)).bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(flip)))))
+    return F.array(*keys)
+
+
 def _flips(mask: int, t: int) -> list[int]:
     bits = [j for j in range(64) if mask >> j & 1]
     out = [0]
@@ -210,7 +282,7 @@ def link(fps: DataFrame, distance: int = 2) -> DataFrame:
             keys.append(F.struct(F.xxhash64(F.lit(mask % (1 << 62)), value).alias("key"), F.lit(_signed(~mask & (1 << 64) - 1)).alias("free")))
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("x")).select("x.key", "fp", "x.free")
     edges = None
-    for level in range(8):
+    for level in range(64):
         rows = materialize(rows, "probes")
         hot = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select(F.col("key").alias("hot")), "hot")
         cold = rows.join(hot, rows["key"] == hot["hot"], "left_anti").select("key", "fp")
@@ -219,12 +291,12 @@ def link(fps: DataFrame, distance: int = 2) -> DataFrame:
         frees = [r["free"] for r in rows.join(hot, rows["key"] == hot["hot"], "left_semi").select("free").distinct().collect()]
         if not frees:
             return edges
-        parts = distance + 1 if level < 7 else 1
+        parts = distance + 1
         cuts = [(f, _signed(m), _signed(f % (1 << 64) & ~m)) for f in frees for m in _thirds(f % (1 << 64), parts)]
         cut = F.broadcast(spark.createDataFrame(cuts, "free long, mask long, rest long"))
         rows = rows.join(hot, rows["key"] == hot["hot"], "left_semi").join(cut, "free")
         rows = rows.select(F.xxhash64("key", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", F.col("rest").alias("free"))
-    return edges
+    raise RuntimeError("buckets did not get small")
 
 
 def simhash_groups(docs: DataFrame, distance: int = 2, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -244,19 +316,6 @@ def simhash_groups(docs: DataFrame, distance: int = 2, extra: tuple[str, ...] =
     return fp.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id", "group", *extra)
 
 
-def one_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """The rows of docs (doc_id, text, ...) without near-duplicates: of each group the smallest doc_id's, once.
-
-    A group whose doc_ids are all null keeps the row of smallest hash.
-    """
-    keyed = docs.withColumns({"row_hash": F.xxhash64("doc_id", "text"), "text_hash": F.hash("text").cast("long")})
-    groups = simhash_groups(keyed, distance, ("row_hash", "text_hash"))
-    best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "text_hash")).alias("b"))
-    best = best.select(F.col("b.row_hash").alias("r"), F.col("b.text_hash").alias("t")).distinct()
-    left = keyed.join(best, (F.col("row_hash") == F.col("r")) & (F.col("text_hash") == F.col("t")), "left_semi")
-    return left.dropDuplicates(["row_hash", "text_hash"]).select(docs.columns)
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
