@@ -158,8 +158,10 @@ def test_fan_in(spark):
     a = spark.createDataFrame([("e", i, f"u{i}", "t", None) for i in range(12)], schema)
     b = spark.createDataFrame([("e", 0, None, None, "timeout")], schema)
     c = spark.createDataFrame([], schema)
-    docs, status = connectors.fan_in({"web": a, "news": b, "registry": c})
-    assert docs.count() == 10 and rows(status, "source", "status", "n_docs") == [("news", "failed", 0), ("web", "consulted", 12)]
+    e = spark.createDataFrame([("e",), ("f",)], "entity string")
+    docs, status = connectors.fan_in(e, {"web": a, "news": b, "registry": c})
+    want = [("e", "news", "failed", 0), ("e", "registry", "consulted", 0), ("e", "web", "consulted", 12), *(("f", x, "consulted", 0) for x in ("news", "registry", "web"))]
+    assert docs.count() == 10 and rows(status, "entity", "source", "status", "n_docs") == want
 
 
 def test_markdown_chunks(spark, tmp_path):

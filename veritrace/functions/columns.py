@@ -60,19 +60,19 @@ def aliases(canonical: Column | str, raw: Column | str, tickers: Column | None =
 
 
 def host_of(url: Column | str) -> Column:
-    """Between :// and /, without port and leading www., lower case; without a scheme all of it."""
-    low = F.lower(F.trim(_c(url)))
-    host = F.regexp_extract(low, r"^[a-z][a-z0-9+.-]*://([^/]*)", 1)
-    host = F.regexp_replace(F.when(host == "", low).otherwise(host), r":\d+$", "")
+    """Between http(s):// and /, up to the first colon, without leading www., lower case; without such a scheme all up to the colon."""
+    low = F.lower(F.trim(F.coalesce(_c(url), F.lit(""))))
+    host = F.regexp_extract(low, r"^https?://([^/]+)", 1)
+    host = F.substring_index(F.when(host == "", low).otherwise(host), ":", 1)
     return F.regexp_replace(host, r"^www\.", "")
 
 
 def registrable_domain(url: Column | str) -> Column:
-    """The last two labels of the host, or three where the last two are a public suffix."""
-    labels = F.split(host_of(url), r"\.")
+    """The last two labels of the host that are not empty, or three where the last two are a public suffix."""
+    labels = F.array_remove(F.split(host_of(url), r"\."), "")
     last = F.concat_ws(".", F.slice(labels, -2, 2))
     three = F.concat_ws(".", F.slice(labels, -3, 3))
-    return F.when(F.size(labels) <= 2, host_of(url)).when(last.isin(fixed.TWO_LEVEL_TLDS), three).otherwise(last)
+    return F.when(F.size(labels) <= 2, F.concat_ws(".", labels)).when(last.isin(fixed.TWO_LEVEL_TLDS), three).otherwise(last)
 
 
 def simple_domain(url: Column | str) -> Column:
@@ -155,7 +155,8 @@ def dashed_accession(x: Column | str) -> Column:
 
 
 def retryable(message: Column | str) -> Column:
-    return F.upper(_c(message)).rlike("429|500|503|RESOURCE_EXHAUSTED|UNAVAILABLE|INTERNAL|DEADLINE")
+    """Whether an error's message names a code or a condition that passes."""
+    return F.upper(_c(message)).rlike(fixed.PASSING)
 
 
 def verdict(x: Column | str) -> Column:

@@ -54,3 +54,6 @@ PRICES = [("gemini-2.5-flash-lite", 0.10e-6, 0.40e-6), ("gemini-2.5-flash", 0.07
 FALLBACK_PRICE = (0.075e-6, 0.30e-6)
 VERDICTS = {"c": "CONFIRMED", "confirm": "CONFIRMED", "d": "DISMISSED", "dismiss": "DISMISSED", "i": "NEEDS_INVESTIGATION", "investigate": "NEEDS_INVESTIGATION"}
 PRIORITIES = ["IMMEDIATE", "SHORT_TERM", "MONITOR"]
+
+#: What an error that passes names: codes and conditions of an overloaded service.
+PASSING = "429|500|502|503|504|UNAVAILABLE|RESOURCE_EXHAUSTED|INTERNAL|DEADLINE|OVERLOADED"

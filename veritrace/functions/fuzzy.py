@@ -9,6 +9,7 @@ import html.parser
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,6 +98,34 @@ def token_sort(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
+def best_token_sort(names: list[str], titles: list[str], cutoff: float) -> list[tuple[int, int, float]]:
+    """(name, title, score): the first title of best token-sort ratio for each name that has one of at least cutoff.
+
+    No ratio exceeds that of the letters two texts have in common, so others are not compared.
+    """
+    own = [" ".join(sorted(x.split())) for x in (*names, *titles)]
+    number = {c: i for i, c in enumerate(sorted(set("".join(own))))}
+    held = np.zeros((len(own), len(number)), np.int32)
+    for row, x in zip(held, own, strict=True):
+        for c in x:
+            row[number[c]] += 1
+    a, b, size = own[: len(names)], own[len(names) :], held.sum(axis=1)
+    out = []
+    for i, x in enumerate(a):
+        both = np.minimum(held[i], held[len(a) :]).sum(axis=1)
+        most = 200.0 * both / np.maximum(size[i] + size[len(a) :], 1)
+        best, at = cutoff, -1
+        for k in np.argsort(-most, kind="stable").tolist():
+            if most[k] < best:
+                break
+            score = ratio(x, b[k])
+            if score > best or score == best and (at < 0 or k < at):
+                best, at = score, k
+        if at >= 0:
+            out.append((i, at, best))
+    return out
+
+
 def token_set(a: str, b: str) -> float:
     """The best ratio among the shared words and the shared words with either rest; 100 if one has no rest."""
     x, y = set(a.split()), set(b.split())

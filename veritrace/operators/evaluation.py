@@ -2,31 +2,89 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritrace.functions import columns as C
-from veritrace.functions import fixed
+from veritrace.functions import fixed, fuzzy
+from veritrace.operators.blocks import meet, unit, vectors
+from veritrace.operators.ranking import first_rows
+
+
+def _best_of(left: DataFrame, right: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """(by, a, b, score): for each row of left (by, a, v) the right row (by, b, v) of highest cosine, the first of equals; null and 0 without one."""
+    kinds = [left.schema[by].dataType.simpleString(), left.schema[a].dataType.simpleString(), right.schema[b].dataType.simpleString()]
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y = y.sort_values(b)
+        sim = unit(vectors(x["v"])) @ unit(vectors(y["v"])).T
+        at = sim.argmax(axis=1)
+        return pd.DataFrame({by: x[by], a: x[a], b: y[b].to_numpy()[at], "score": sim[np.arange(len(x)), at]})
+
+    some = meet(left.select(by, a, "v"), right.select(by, b, "v"), best, f"{by} {kinds[0]}, {a} {kinds[1]}, {b} {kinds[2]}, score double", (by,))
+    top = first_rows(some, [by, a], [F.col("score").desc(), F.col(b).asc()], 1)
+    return left.select(by, a).join(top, [by, a], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def best_matches(truth: DataFrame, predicted: DataFrame, by: str, threshold: float = fixed.MATCH_COSINE) -> DataFrame:
     """(by, truth_id, pred_id, score, found): the best prediction of each truth, the first of equals.
 
-    truth (by, truth_id, v), predicted (by, pred_id, v); both sides meet within `by` only.
+    truth (by, truth_id, v), predicted (by, pred_id, v); both sides meet within `by` only, block by block.
     """
-    t, p = truth.withColumnRenamed("v", "tv"), predicted.withColumnRenamed("v", "pv")
-    j = t.join(p, by, "left").withColumn("score", F.coalesce(C.cosine("tv", "pv"), F.lit(0.0)))
-    best = j.groupBy(by, "truth_id").agg(F.max(F.struct("score", (-F.col("pred_id")).alias("p"))).alias("b"))
-    return best.select(by, "truth_id", (-F.col("b.p")).alias("pred_id"), F.col("b.score").alias("score"), (F.col("b.score") >= threshold).alias("found"))
+    return _best_of(truth, predicted, by, "truth_id", "pred_id").withColumn("found", F.col("score") >= threshold)
 
 
 def best_truths(truth: DataFrame, predicted: DataFrame, by: str, threshold: float = fixed.MATCH_COSINE) -> DataFrame:
     """(by, pred_id, truth_id, matched): for each prediction the best truth, the first of equals."""
-    t, p = truth.withColumnRenamed("v", "tv"), predicted.withColumnRenamed("v", "pv")
-    j = p.join(t, by, "left").withColumn("score", F.coalesce(C.cosine("tv", "pv"), F.lit(0.0)))
-    best = j.groupBy(by, "pred_id").agg(F.max(F.struct("score", (-F.col("truth_id")).alias("t"))).alias("b"))
-    return best.select(by, "pred_id", (-F.col("b.t")).alias("truth_id"), (F.col("b.score") >= threshold).alias("matched"))
+    best = _best_of(predicted, truth, by, "pred_id", "truth_id")
+    return best.select(by, "pred_id", "truth_id", (F.col("score") >= threshold).alias("matched"))
+
+
+def lexical_matches(truth: DataFrame, predicted: DataFrame, threshold: float, by: str = "run_id") -> DataFrame:
+    """(by, truth_id, pred_id, score, found): for each truth the prediction of best lexical score, the first of equals.
+
+    truth (by, truth_id, text), predicted (by, pred_id, text); they meet by a shared key word of the
+    run, without which no score counts; a truth without one is not found.
+    """
+    word = lambda df, c: df.select(by, c, F.explode(C.key_tokens("text")).alias("word"))
+    pairs = word(truth, "truth_id").join(word(predicted, "pred_id"), [by, "word"]).select(by, "truth_id", "pred_id").distinct()
+    j = pairs.join(truth.withColumnRenamed("text", "_t"), [by, "truth_id"]).join(predicted.withColumnRenamed("text", "_p"), [by, "pred_id"])
+    j = j.withColumn("score", fuzzy.match_score("_p", "_t")).select(by, "truth_id", "pred_id", "score")
+    top = first_rows(j, [by, "truth_id"], [F.col("score").desc(), F.col("pred_id").asc()], 1)
+    out = truth.select(by, "truth_id").join(top, [by, "truth_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return out.withColumn("found", F.col("score") >= threshold)
+
+
+def quote_checks(quotes: DataFrame) -> DataFrame:
+    """quotes (quote, text, traps array) with `verbatim`, whether the quote stands in the text but for case and spaces, and `trapped`, whether a trap does in the quote."""
+    low = C.collapse_lower
+    trap = F.exists(F.coalesce("traps", F.array().cast("array<string>")), lambda t: F.contains(low("quote"), F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))))
+    return quotes.withColumns({"verbatim": F.coalesce((F.trim("quote") != "") & F.contains(low("text"), low("quote")), F.lit(False)), "trapped": F.coalesce(trap, F.lit(False))})
+
+
+def judged(statements: DataFrame, questions: DataFrame, by: str = "run_id") -> DataFrame:
+    """(by, faithfulness, answer_relevancy) of judged reports: the share of statements (by, supported) that are, and the mean of relevancies (by, relevancy); null without any."""
+    f = statements.groupBy(by).agg(F.avg(F.col("supported").cast("double")).alias("faithfulness"))
+    r = questions.groupBy(by).agg(F.avg("relevancy").alias("answer_relevancy"))
+    return f.join(r, by, "full")
+
+
+def company_metrics(runs: DataFrame, matches: DataFrame, matched: DataFrame, by: str = "run_id") -> DataFrame:
+    """A row of metrics for each run: recall of its truths, share of predictions matched, rejection, guardrails and latency.
+
+    runs (by, extracted, rejected, calls, cost, seconds, tier, expected_tier), matches (by, found), matched (by, matched).
+    """
+    r = share(matches, [by], "found", "recall").select(by, "recall", F.col("total").alias("n_truths"))
+    p = share(matched, [by], "matched", "precision").select(by, "precision", F.col("total").alias("n_predictions"))
+    out = runs.join(r, by, "left").join(p, by, "left")
+    rate = F.coalesce(F.col("rejected") / F.nullif(F.col("extracted"), F.lit(0)), F.lit(0.0))
+    return out.select(
+        by, "recall", "precision", F.coalesce("n_truths", F.lit(0)).alias("n_truths"), F.coalesce("n_predictions", F.lit(0)).alias("n_predictions"), rate.alias("rejection_rate"),
+        (F.col("tier") == F.col("expected_tier")).alias("sufficiency_exact"), C.guardrail_compliant("calls", "cost").alias("compliant"), "seconds",
+    )
 
 
 def share(rows: DataFrame, by: list[str], flag: str, name: str, empty: float | None = 0.0) -> DataFrame:

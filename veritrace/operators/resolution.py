@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,18 +53,27 @@ def resolve(names: DataFrame, hits: DataFrame, picks: DataFrame | None = None, r
     return out.withColumns({"canonical_name": F.coalesce("canonical_name", F.upper(F.trim(raw))), "status": status}).drop("_how")
 
 
-def match_filers(names: DataFrame, filers: DataFrame, raw: str = "raw", cutoff: float = 70.0, prefix: int = 1) -> DataFrame:
-    """(raw, cik, title, score): the filer of best token-sort ratio, if its first word is the name's.
+def match_filers(names: DataFrame, filers: DataFrame, raw: str = "raw", cutoff: float = 70.0, block: int = 2_000) -> DataFrame:
+    """(raw, cik, title, score): the filer of best token-sort ratio, if its first word is the name's; the first cik of equals.
 
-    A best match with another first word is refused, so only filers that share it can win; those
-    that share its first letters are compared, the others could only veto. With prefix=0 all are.
+    The best of all filers counts, so one with another first word refuses the name. Names are a
+    stated set: they and the filers are dealt into blocks of about `block` rows, and two blocks meet
+    in one task, where only pairs that have letters enough in common are compared.
     """
-    q = names.select(F.col(raw), C.filer_name(raw).alias("q"))
-    f = filers.select("cik", C.filer_name("title").alias("title"))
-    on = (F.substring("q", 1, prefix) == F.substring("title", 1, prefix)) if prefix else F.lit(True)
-    j = q.join(f, on).withColumn("score", fuzzy.token_sort_ratio("q", "title")).where(F.col("score") >= cutoff)
-    best = first_rows(j, [raw], [F.col("score").desc(), F.col("cik").asc()], 1)
-    return best.where(F.substring_index("q", " ", 1) == F.substring_index("title", " ", 1)).select(raw, C.pad_cik("cik").alias("cik"), "title", "score")
+    q = names.select(F.col(raw).cast("string").alias("raw"), C.filer_name(raw).alias("q")).where("q is not null").distinct()
+    f = filers.select(F.col("cik").cast("string").alias("cik"), C.filer_name("title").alias("title")).where("title is not null")
+    m, n = (1 + df.count() // block for df in (q, f))
+    q = q.withColumn("i", F.pmod(F.xxhash64("raw"), F.lit(m)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    f = f.withColumn("j", F.pmod(F.xxhash64("cik", "title"), F.lit(n)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(["cik", "title"])
+        rows = fuzzy.best_token_sort(left["q"].tolist(), right["title"].tolist(), cutoff)
+        return pd.DataFrame([(left["raw"].iat[i], left["q"].iat[i], right["cik"].iat[k], right["title"].iat[k], s) for i, k, s in rows], columns=["raw", "q", "cik", "title", "score"])
+
+    found = q.groupBy("i", "j").cogroup(f.groupBy("i", "j")).applyInPandas(best, "raw string, q string, cik string, title string, score double")
+    top = first_rows(found, ["raw"], [F.col("score").desc(), F.col("cik").asc()], 1)
+    return top.where(F.substring_index("q", " ", 1) == F.substring_index("title", " ", 1)).select(F.col("raw").alias(raw), C.pad_cik("cik").alias("cik"), "title", "score")
 
 
 def enrich(entities: DataFrame, uk_hits: DataFrame, filers: DataFrame, raw: str = "raw") -> DataFrame:

@@ -27,8 +27,8 @@ def severity_gate(signals: DataFrame) -> DataFrame:
 
 
 def category_scores(signals: DataFrame, *by: str) -> DataFrame:
-    """(*by, risk_category, n, score): the mean of weight, confidence and recency, on a scale to 10."""
-    s = C.severity_weight("severity") * F.col("confidence_score") * F.col("temporal_weight")
+    """(*by, risk_category, n, score): the mean of weight, confidence and recency, on a scale to 10; a recency that is null or 0 counts as 1."""
+    s = C.severity_weight("severity") * F.col("confidence_score") * F.coalesce(F.nullif(F.col("temporal_weight"), F.lit(0.0)), F.lit(1.0))
     return signals.groupBy(*by, "risk_category").agg(F.count("*").alias("n"), F.round(F.least(F.lit(10.0), F.avg(s) * 10), 2).alias("score"))
 
 

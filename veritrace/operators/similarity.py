@@ -1,17 +1,20 @@
 """Similarity joins, clusters of near-duplicates, nearest neighbours and set similarity.
 
-Every pairwise join has an equality in front (category, entity, run), so it shuffles on that key;
-the similarity is a residual condition. Clusters come from min-label propagation.
+Vectors of one group are compared block by block (operators/blocks.py); other pairwise joins have an
+equality in front. Clusters come from min-label propagation.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritrace.functions import columns as C
 from veritrace.functions import fixed
+from veritrace.operators.blocks import meet, meet_itself, unit, vectors
 from veritrace.operators.graph import connected_components
 
 
@@ -20,18 +23,24 @@ def _prefixed(df: DataFrame, p: str) -> DataFrame:
 
 
 def similar_pairs(rows: DataFrame, by: str | list[str], ident: str, vector: str, threshold: float = fixed.DEDUP_COSINE) -> DataFrame:
-    """(a, b, sim): pairs of one group with a < b and at least that cosine. Norms are taken once a row, not once a pair."""
+    """(a, b, sim): pairs of one group with a < b and at least that cosine; rows without a vector have no partner.
+
+    Groups are compared in blocks, so a group of any size is many tasks.
+    """
     by = [by] if isinstance(by, str) else by
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    v = rows.select(*by, F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    v = v.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    a, b = _prefixed(v, "a_"), _prefixed(v, "b_")
-    on = F.col("a_id") < F.col("b_id")
-    for k in by:
-        on = on & (F.col(f"a_{k}") == F.col(f"b_{k}"))
-    norm = F.col("a_norm") * F.col("b_norm")
-    sim = F.when(norm == 0, 0.0).otherwise(dot(F.col("a_v"), F.col("b_v")) / norm)
-    return a.join(b, on).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), sim.alias("sim")).where(F.col("sim") >= threshold)
+    kind = rows.schema[ident].dataType.simpleString()
+    v = rows.where(F.col(vector).isNotNull()).select(F.xxhash64(*by).alias("g"), F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        x, y = unit(vectors(left["v"])), unit(vectors(right["v"]))
+        sim = x @ y.T
+        i, j = np.nonzero(sim >= threshold)
+        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+        keep = a < b if same else a != b
+        a, b, sim = a[keep], b[keep], sim[i, j][keep]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim})
+
+    return meet_itself(v, compare, f"a {kind}, b {kind}, sim double", ("g",))
 
 
 def clusters(rows: DataFrame, ident: str, pairs: DataFrame) -> DataFrame:
@@ -59,29 +68,37 @@ def deduplicate(signals: DataFrame, by: list[str], vector: str, threshold: float
 
 def contradiction_candidates(signals: DataFrame, run: str, vector: str, threshold: float = fixed.CONTRADICTION_COSINE, cap: int = fixed.MAX_PAIRS) -> DataFrame:
     """(run, a, b, sim): of each run the cap most similar pairs of one entity that are alike, or opposed in one category."""
-    cols = [run, "ord", "entity_name", "risk_category", "signal_polarity", vector]
-    a, b = _prefixed(signals.select(*cols), "a_"), _prefixed(signals.select(*cols), "b_")
+    # vectors of length 1, once a row
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    own = F.transform(vector, lambda v: F.when(norm == 0, 0.0).otherwise(v.cast("double") / norm)).alias("_u")
+    one = signals.select(run, "ord", "entity_name", "risk_category", "signal_polarity", own)
+    a, b = _prefixed(one, "a_"), _prefixed(one, "b_")
     j = a.join(b, (F.col(f"a_{run}") == F.col(f"b_{run}")) & (F.col("a_entity_name") == F.col("b_entity_name")) & (F.col("a_ord") < F.col("b_ord")))
-    j = j.withColumn("sim", C.cosine(f"a_{vector}", f"b_{vector}"))
+    j = j.withColumn("sim", F.aggregate(F.zip_with("a__u", "b__u", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v))
     opposed = (F.col("a_risk_category") == F.col("b_risk_category")) & F.col("a_signal_polarity").isin("POSITIVE", "NEGATIVE") & F.col("b_signal_polarity").isin("POSITIVE", "NEGATIVE") & (F.col("a_signal_polarity") != F.col("b_signal_polarity"))
     j = j.where(opposed | (F.col("sim") >= threshold))
     order = W.partitionBy(f"a_{run}").orderBy(F.col("sim").desc(), F.col("a_ord").desc(), F.col("b_ord").desc())
     return j.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select(F.col(f"a_{run}").alias(run), F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), "sim", "rank")
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int = 3, blocks: int = 8) -> DataFrame:
-    """(query, item, sim, rank): the k items of highest inner product for each query.
+def nearest(queries: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
+    """(query, item, sim, rank): the k items of highest inner product for each query, at a tie the smaller item.
 
-    queries (query, v) are a stated set, index (item, v) may be large: it is dealt into blocks, a
-    query goes to every block and takes the block's best k along, of which the best k stay.
+    queries (query, v) are a stated set, index (item, v) may be large: both are dealt into blocks, two
+    blocks meet in one task and give the block's best k of each query, of which the best k stay.
     """
-    q = queries.withColumnRenamed("v", "qv").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    i = index.withColumnRenamed("v", "iv").withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
-    dot = F.aggregate(F.zip_with("qv", "iv", lambda p, x: p.cast("double") * x.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    pairs = q.join(i, "block").select("query", "item", "block", dot.alias("sim"))
-    best = [F.col("sim").desc(), F.col("item").asc()]
-    some = pairs.withColumn("r", F.row_number().over(W.partitionBy("query", "block").orderBy(*best))).where(F.col("r") <= k)
-    return some.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*best))).where(F.col("rank") <= k).select("query", "item", "sim", "rank")
+    kinds = queries.schema["query"].dataType.simpleString(), index.schema["item"].dataType.simpleString()
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("item")
+        sim = vectors(left["v"]) @ vectors(right["v"]).T
+        top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(left)), top.shape[1])
+        return pd.DataFrame({"query": left["query"].to_numpy()[rows], "item": right["item"].to_numpy()[top.ravel()], "sim": sim[rows, top.ravel()]})
+
+    some = meet(queries.select("query", "v"), index.select("item", "v"), best, f"query {kinds[0]}, item {kinds[1]}, sim double")
+    order = W.partitionBy("query").orderBy(F.col("sim").desc(), F.col("item").asc())
+    return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "item", "sim", "rank")
 
 
 def consistency(runs: DataFrame, subject: str, run: str, keys: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veritrace.functions import columns as C
 from veritrace.functions import fixed, fuzzy
-from veritrace.operators import evaluation, ranking, reports, resolution, review, scoring, similarity
+from veritrace.operators import evaluation, quotes, ranking, reports, resolution, review, scoring, similarity
 from veritrace.plans import pipeline as whole
 from veritrace.plans.inputs import NORM, RANK, SIGNALS, TODAY, WEIGHT, read, signals
 from veritrace.sources import connectors, tables
@@ -44,10 +44,10 @@ def _list(xs) -> str:
 TRUST = "least(1.0::double, source_credibility + 0.15::double * greatest(0, independent_source_count - 1))"
 ADJUSTED = f"adjusted as (select * replace (greatest(0.0::double, least(1.0::double, confidence_score * (0.4::double + 0.6::double * {TRUST}))) as confidence_score) from signals)"
 GATED = "severity in ('HIGH', 'CRITICAL') and credibility_tier in ('GENERAL', 'LOW') and independent_source_count < 2"
-SCORES = f"scores as (select run_id, risk_category, count(*) n, round(least(10.0::double, avg({WEIGHT} * confidence_score * temporal_weight) * 10), 2) score from adjusted group by all)"
+SCORES = f"scores as (select run_id, risk_category, count(*) n, round(least(10.0::double, avg({WEIGHT} * confidence_score * coalesce(nullif(temporal_weight, 0), 1)) * 10), 2) score from adjusted group by all)"
 
 
-@query(f"with {SIGNALS}, {ADJUSTED} select risk_category, count(*) n, round(least(10.0::double, avg({WEIGHT} * confidence_score * temporal_weight) * 10), 2) score from adjusted group by all")
+@query(f"with {SIGNALS}, {ADJUSTED} select risk_category, count(*) n, round(least(10.0::double, avg({WEIGHT} * confidence_score * coalesce(nullif(temporal_weight, 0), 1)) * 10), 2) score from adjusted group by all")
 def category_scores(spark, d):
     return scoring.category_scores(scoring.apply_credibility(signals(spark, d)))
 
@@ -57,7 +57,7 @@ def overall_scores(spark, d):
     return scoring.overall_score(scoring.category_scores(scoring.apply_credibility(signals(spark, d)), "run_id"), "run_id")
 
 
-@query(f"""with {SIGNALS}, {ADJUSTED}, s as (select risk_category, round(least(10.0::double, avg({WEIGHT} * confidence_score * temporal_weight) * 10), 2) score from adjusted group by all),
+@query(f"""with {SIGNALS}, {ADJUSTED}, s as (select risk_category, round(least(10.0::double, avg({WEIGHT} * confidence_score * coalesce(nullif(temporal_weight, 0), 1)) * 10), 2) score from adjusted group by all),
 c as (select unnest(range(0, 7))::int place, unnest(['FINANCIAL', 'LEGAL', 'REGULATORY', 'REPUTATIONAL', 'OPERATIONAL', 'CYBERSECURITY', 'ESG']) risk_category)
 select place, risk_category, round(coalesce(score, 0.0::double), 1) score, case when coalesce(score, 0) >= 7 then 'red' when coalesce(score, 0) >= 4 then 'yellow' else 'green' end band from c left join s using (risk_category)""")
 def category_radar(spark, d):
@@ -106,8 +106,8 @@ def review_queue(spark, d):
 
 # hosts and sources
 
-HOST = r"regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://([^/]*)', 1), ':\d+$', ''), '^www\.', '')"
-DOMAIN = f"""d as (select page_id, url, string_split({HOST}, '.') l from pages),
+HOST = r"regexp_replace(split_part(coalesce(nullif(regexp_extract(lower(trim(url)), '^https?://([^/]+)', 1), ''), lower(trim(url)), ''), ':', 1), '^www\.', '')"
+DOMAIN = f"""d as (select page_id, url, list_filter(string_split({HOST}, '.'), lambda x: x <> '') l from pages),
 r as (select page_id, url, case when len(l) <= 2 then array_to_string(l, '.') when array_to_string(l[-2:], '.') in {_list(fixed.TWO_LEVEL_TLDS)} then array_to_string(l[-3:], '.') else array_to_string(l[-2:], '.') end dom from d)"""
 
 
@@ -264,28 +264,33 @@ def cache_key(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", C.cache_key(F.concat(F.lit("https://x/"), F.col("s_suppkey").cast("string")), "s_name").alias("url_key"), C.entity_key(F.upper("s_name"), F.col("s_suppkey").cast("string"), F.lit(" US ")).alias("entity_key"))
 
 
-@query("""select d.doc_id from documents d where exists (select 1 from benchmark b where b.item_id % 20 = d.doc_id % 20 and contains(lower(d.text), lower(trim(b.text))))
-or not exists (select 1 from benchmark b where b.item_id % 20 = d.doc_id % 20)""")
+@query("""with b as (select *, 'src' || (item_id % 20) source from benchmark) select d.doc_id from documents d where exists (select 1 from b where b.source = d.source and contains(lower(d.text), lower(trim(b.text))))
+or not exists (select 1 from b where b.source = d.source and length(trim(b.text)) >= 4)""")
 def wrong_company_guard(spark, d):
-    names = read(spark, d, "benchmark").groupBy((F.col("item_id") % 20).alias("k")).agg(F.collect_list("text").alias("all"))
-    docs = read(spark, d, "documents").withColumn("k", F.col("doc_id") % 20).join(names, "k", "left")
+    """Documents that mention one of the names of their source's organisation, or whose organisation has no usable name."""
+    b = read(spark, d, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), "text")
+    names = b.groupBy("source").agg(F.collect_set("text").alias("all"))  # an organisation's names are few
+    docs = read(spark, d, "documents").join(names, "source", "left")
     usable = C.binding_names(F.lit(""), F.coalesce("all", F.array().cast("array<string>")))
     return docs.where(C.mentions("text", usable)).select("doc_id")
 
 
 # quotes
 
-ANCHORED = f"""q as (select b.item_id, d.doc_id, contains({NORM.format('d.text')}, {NORM.format('b.text')}) held from benchmark b join documents d on d.doc_id % 40 = b.item_id % 40)"""
+ANCHORED = f"""qw as (select item_id, string_split({NORM.format('text')}, ' ') w, {NORM.format('text')} q from benchmark), dw as (select doc_id, string_split({NORM.format('text')}, ' ') w, {NORM.format('text')} t from documents),
+qr as (select distinct item_id, array_to_string(w[i + 1 : i + 5], ' ') run from (select item_id, w, unnest(range(0, len(w) - 4)) i from qw)), dr as (select distinct doc_id, array_to_string(w[i + 1 : i + 5], ' ') run from (select doc_id, w, unnest(range(0, len(w) - 4)) i from dw)),
+p as (select distinct item_id, doc_id from qr join dr using (run)), q as (select item_id, doc_id, contains(t, q) held from p join qw using (item_id) join dw using (doc_id))"""
 
 
-def _quotes(spark, d):
-    b, docs = read(spark, d, "benchmark").withColumnRenamed("text", "quote"), read(spark, d, "documents")
-    return b.join(docs, F.col("doc_id") % 40 == F.col("item_id") % 40).select("item_id", "doc_id", "quote", "text")
+def _quotes(spark, d, quote="text"):
+    b = read(spark, d, "benchmark").select("item_id", F.expr(quote).alias("quote_text"))
+    return quotes.candidates(b, read(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
 @query(f"with {ANCHORED} select item_id, doc_id, case when held then 'PASS' else 'REJECT' end verdict from q")
 def quote_anchor_exact(spark, d):
-    score = F.when(F.contains(C.normalize_text("text"), C.normalize_text("quote")), 100.0).otherwise(0.0)
+    """Every benchmark passage against every document that shares five words in a row with it."""
+    score = F.when(F.contains(C.normalize_text("text"), C.normalize_text("quote_text")), 100.0).otherwise(0.0)
     return _quotes(spark, d).select("item_id", "doc_id", C.anchor_verdict(score).alias("verdict"))
 
 
@@ -297,10 +302,10 @@ def extraction_stats(spark, d):
 
 @query()
 def quote_anchor_fuzzy(spark, d):
-    """Quotes, every ninth letter dropped, against the documents that share at least half their key words."""
-    q = _quotes(spark, d).withColumn("quote", F.regexp_replace("quote", "(.{8}).", "$1")).withColumn("keys", C.key_tokens("quote"))
-    q = q.where(F.size(F.array_intersect("keys", C.key_tokens("text"))) >= F.size("keys") * 0.2)
-    return q.withColumn("score", fuzzy.anchor_score("quote", "text")).select("item_id", "doc_id", "score", C.anchor_verdict("score").alias("verdict"))
+    """Passages without their every ninth word, against every document that shares five words in a row with what is left."""
+    torn = "array_join(filter(split(text, ' '), (w, i) -> (i + 1) % 9 <> 0), ' ')"
+    q = _quotes(spark, d, torn)
+    return q.withColumn("score", fuzzy.anchor_score("quote_text", "text")).select("item_id", "doc_id", "score", C.anchor_verdict("score").alias("verdict"))
 
 
 @query()
@@ -363,12 +368,12 @@ def dedup_clusters(spark, d):
     return similarity.deduplicate(e, ["label"], "embedding", 0.30).select("cluster", "cluster_size", "id", "is_corroborated")
 
 
-@query("""with q as (select vec_id query, embedding::double[] v from embeddings where vec_id % 25 = 0), i as (select vec_id item, embedding::double[] v from embeddings),
+@query("""with q as (select vec_id query, embedding::double[] v from embeddings where vec_id % 20 = 0), i as (select vec_id item, embedding::double[] v from embeddings),
 s as (select query, item, list_dot_product(q.v, i.v) sim from q, i), r as (select *, row_number() over (partition by query order by sim desc, item) rank from s)
 select query, item, round(sim, 6) sim, rank::int rank from r where rank <= 3""")
 def kb_top3(spark, d):
     e = read(spark, d, "embeddings")
-    q, i = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
+    q, i = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
     return similarity.nearest(q, i).withColumn("sim", r6("sim"))
 
 

@@ -59,7 +59,7 @@ def hashing_embedder(texts: list[str], width: int = 64) -> list[list[float]]:
 
 def with_backoff(call: Callable, *args, retries: int = 2, wait: float = 1.0):
     """The call's answer; passing errors are tried again, each wait twice the one before and up to 30 % longer."""
-    passing = re.compile("429|500|503|RESOURCE_EXHAUSTED|UNAVAILABLE|INTERNAL|DEADLINE")
+    passing = re.compile(fixed.PASSING)
     for k in range(retries + 1):
         try:
             return call(*args)

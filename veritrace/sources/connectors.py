@@ -184,17 +184,21 @@ def company_filings(rows: DataFrame, category: str | None = None) -> DataFrame:
     return rows.where(F.lower("category") == category.lower()) if category else rows
 
 
-def fan_in(sources: dict[str, DataFrame], cap: int = fixed.DOCS_A_SOURCE, by: str = "entity") -> tuple[DataFrame, DataFrame]:
-    """(documents, status): all sources in their fixed order, the first cap of each, and a status row each.
+def fan_in(entities: DataFrame, sources: dict[str, DataFrame], cap: int = fixed.DOCS_A_SOURCE, by: str = "entity") -> tuple[DataFrame, DataFrame]:
+    """(documents, status): all sources in their fixed order, the first cap of each, and a status row for every entity and source.
 
-    A source (entity, ord, url, text, error) that has an error row has failed for the entity and gives no document.
+    A source (entity, ord, url, text, error) that has an error row has failed for the entity and
+    gives no document; one that has nothing for it was consulted all the same.
     """
     tagged = None
     for k, (name, df) in enumerate(sources.items()):
         one = df.select(by, "ord", "url", "text", "error").withColumns({"source": F.lit(name), "source_ord": F.lit(k)})
         tagged = one if tagged is None else tagged.unionByName(one)
-    status = tagged.groupBy(by, "source").agg(F.count_if(F.col("error").isNotNull()).alias("_e"), F.count_if(F.col("error").isNull()).alias("n_docs"))
-    status = status.select(by, "source", F.when(F.col("_e") > 0, "failed").otherwise("consulted").alias("status"), F.when(F.col("_e") > 0, 0).otherwise(F.col("n_docs")).alias("n_docs"))
+    found = tagged.groupBy(by, "source").agg(F.count_if(F.col("error").isNotNull()).alias("_e"), F.count_if(F.col("error").isNull()).alias("_n"))
+    asked = entities.select(by).distinct().select(by, F.explode(F.array(*map(F.lit, sources))).alias("source"))
+    status = asked.join(found, [by, "source"], "left")
+    broken = F.coalesce("_e", F.lit(0)) > 0
+    status = status.select(by, "source", F.when(broken, "failed").otherwise("consulted").alias("status"), F.when(broken, 0).otherwise(F.coalesce("_n", F.lit(0))).alias("n_docs"))
     failed = status.where("status = 'failed'").select(by, "source")
     docs = first_rows(tagged.where("error is null and text is not null").join(failed, [by, "source"], "left_anti"), [by, "source"], [F.col("ord").asc()], cap)
     return docs.drop("error"), status

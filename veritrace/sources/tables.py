@@ -50,9 +50,10 @@ def latest(rows: DataFrame, key: str, version: str = "created_at", *ties: str) -
     return first_rows(rows, [key], [F.col(version).desc(), *(F.col(t).desc() for t in ties)], 1)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """new rows in place of old ones of their key."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    """new rows in place of old ones of their key; of several new rows of a key the newest, or any where no version is named."""
+    one = new.dropDuplicates([key]) if version is None else latest(new, key, version)
+    return old.join(one.select(key), key, "left_anti").unionByName(one)
 
 
 def live(rows: DataFrame, now: str, expiry: str = "expires_at") -> DataFrame:

@@ -34,12 +34,14 @@ def collect_verdicts(rows: DataFrame, seconds: int, keep_partial: bool = True) -
     """(run_id, status, n_asked, n_given, verdicts) for each change of a review.
 
     rows (run_id, kind, id, verdict), kind ask or verdict. Verdicts for what was not asked are refused.
-    A review is complete when all are in, and timed out when none came for so many seconds; then
-    partial verdicts are kept or dropped.
+    A review is complete when all are in, and timed out so many seconds after it began, whatever came
+    in between; then partial verdicts are kept or dropped.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        asked, given = ([], {}) if not state.exists else (list(state.get[0]), dict(zip(state.get[1], state.get[2], strict=True)))
+        asked, given, deadline = [], {}, state.getCurrentProcessingTimeMs() + seconds * 1000
+        if state.exists:
+            asked, given, deadline = list(state.get[0]), dict(zip(state.get[1], state.get[2], strict=True)), state.get[3]
 
         def told(status: str, kept: dict) -> pd.DataFrame:
             return pd.DataFrame({"run_id": [key[0]], "status": [status], "n_asked": [len(asked)], "n_given": [len(kept)], "verdicts": [",".join(f"{k}={v}" for k, v in sorted(kept.items()))]})
@@ -61,12 +63,12 @@ def collect_verdicts(rows: DataFrame, seconds: int, keep_partial: bool = True) -
                 state.remove()
             yield told("complete", given)
         else:
-            state.update((asked, list(given), list(given.values())))
-            state.setTimeoutDuration(seconds * 1000)
+            state.update((asked, list(given), list(given.values()), deadline))
+            state.setTimeoutDuration(max(1, deadline - state.getCurrentProcessingTimeMs()))
             yield told("reviewing", given)
 
     return rows.groupBy("run_id").applyInPandasWithState(
-        step, "run_id string, status string, n_asked long, n_given long, verdicts string", "asked array<string>, ids array<string>, verdicts array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout
+        step, "run_id string, status string, n_asked long, n_given long, verdicts string", "asked array<string>, ids array<string>, verdicts array<string>, deadline long", "update", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
