@@ -163,6 +163,11 @@ def verdict(x: Column | str) -> Column:
     return lookup(F.lower(F.trim(_c(x))), fixed.VERDICTS, None)
 
 
+def step_index(status: Column | str) -> Column:
+    """The step that a state stands for; unknown ones are the first."""
+    return lookup(status, fixed.STEPS, 0)
+
+
 def binding_names(canonical: Column | str, others: Column) -> Column:
     names = F.transform(F.concat(F.array(_c(canonical)), others), lambda n: F.lower(F.trim(n)))
     return F.filter(names, lambda n: F.length(n) >= 4)

@@ -57,3 +57,6 @@ PRIORITIES = ["IMMEDIATE", "SHORT_TERM", "MONITOR"]
 
 #: What an error that passes names: codes and conditions of an overloaded service.
 PASSING = "429|500|502|503|504|UNAVAILABLE|RESOURCE_EXHAUSTED|INTERNAL|DEADLINE|OVERLOADED"
+
+#: Steps of a run's states as shown; the failed state stands before all.
+STEPS = {"queued": 0, "researching": 1, "extracting": 2, "analyzing": 3, "reviewing": 4, "synthesizing": 5, "complete": 6, "error": -1}

@@ -58,11 +58,16 @@ def lexical_matches(truth: DataFrame, predicted: DataFrame, threshold: float, by
     return out.withColumn("found", F.col("score") >= threshold)
 
 
-def quote_checks(quotes: DataFrame) -> DataFrame:
-    """quotes (quote, text, traps array) with `verbatim`, whether the quote stands in the text but for case and spaces, and `trapped`, whether a trap does in the quote."""
-    low = C.collapse_lower
-    trap = F.exists(F.coalesce("traps", F.array().cast("array<string>")), lambda t: F.contains(low("quote"), F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))))
-    return quotes.withColumns({"verbatim": F.coalesce((F.trim("quote") != "") & F.contains(low("text"), low("quote")), F.lit(False)), "trapped": F.coalesce(trap, F.lit(False))})
+def extraction_checks(signals: DataFrame) -> DataFrame:
+    """signals (snippet, claim, body, traps array) with `verbatim`, whether the snippet stands in the body, `trap`, whether a trap stands in snippet or claim, and `ok`.
+
+    Case and runs of white space do not count; an empty snippet stands everywhere.
+    """
+    low = lambda x: C.collapse_lower(F.coalesce(x, F.lit("")))
+    held = low(F.col("snippet"))
+    trap = F.exists(F.coalesce("traps", F.array().cast("array<string>")), lambda t: F.contains(held, low(t)) | F.contains(low(F.col("claim")), low(t)))
+    out = signals.withColumns({"verbatim": F.contains(low(F.col("body")), held), "trap": trap})
+    return out.withColumn("ok", F.col("verbatim") & ~F.col("trap"))
 
 
 def judged(statements: DataFrame, questions: DataFrame, by: str = "run_id") -> DataFrame:

@@ -533,6 +533,158 @@ def report_rows(spark, d):
     return r.select("run_id", "overall", F.size("risk_signals").cast("long").alias("n_risks"), F.size("positive_signals").cast("long").alias("n_strengths"), "signals_extracted")
 
 
+# single steps
+
+
+STEP = "case event_type when 'signup' then 'queued' when 'view' then 'researching' when 'click' then 'synthesizing' when 'purchase' then 'complete' when 'error' then 'error' else 'other' end"
+
+
+@query(f"select event_id, case {STEP} when 'queued' then 0 when 'researching' then 1 when 'synthesizing' then 5 when 'complete' then 6 when 'error' then -1 else 0 end::int step from events")
+def status_steps(spark, d):
+    status = C.lookup("event_type", {"signup": "queued", "view": "researching", "click": "synthesizing", "purchase": "complete", "error": "error"}, "other")
+    return read(spark, d, "events").select("event_id", C.step_index(status).alias("step"))
+
+
+@query("""select event_id, event_type = 'error' or event_id % 5 in (0, 1, 2) passes from events""")
+def retryable_errors(spark, d):
+    k = F.col("event_id") % 5
+    told = F.when(F.col("event_type") == "error", "Service Unavailable").when(k == 0, "HTTP 502").when(k == 1, "504 gateway").when(k == 2, "model overloaded").when(k == 3, "400 bad request").otherwise("not found")
+    return read(spark, d, "events").select("event_id", C.retryable(told).alias("passes"))
+
+
+@query("""select doc_id, 'https://n.example.com/' || doc_id url from documents where lang = 'en' and contains(lower(substr(text, 1, 40) || ' ' || text), 'the') and date '2024-01-01' + (doc_id % 365)::int between date '2024-03-01' and date '2024-09-30'
+order by doc_id % 365 desc, url limit 10""")
+def news_search(spark, d):
+    docs = read(spark, d, "documents").select(
+        "doc_id", F.substring("text", 1, 40).alias("title"), F.lit(None).cast("string").alias("description"), F.col("text").alias("content"), F.concat(F.lit("https://n.example.com/"), F.col("doc_id").cast("string")).alias("url"),
+        F.col("lang").alias("language"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("published_at"),
+    )
+    return connectors.search_news(docs, " The ", "2024-03-01", "2024-09-30").select("doc_id", "url")
+
+
+LOW = r"lower(trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g')))"
+
+
+@query(f"""with s as (select doc_id, case when doc_id % 3 = 0 then reverse(substr(text, 11, 40)) else substr(text, 11, 40) end snippet, substr(text, 1, 60) claim, text body, substr(text, 20 + (doc_id % 60)::int, 5) tr from documents)
+select doc_id, contains({LOW.format('body')}, {LOW.format('snippet')}) verbatim, contains({LOW.format('snippet')}, {LOW.format('tr')}) or contains({LOW.format('claim')}, {LOW.format('tr')}) trap,
+contains({LOW.format('body')}, {LOW.format('snippet')}) and not (contains({LOW.format('snippet')}, {LOW.format('tr')}) or contains({LOW.format('claim')}, {LOW.format('tr')})) ok from s""")
+def extraction_checks(spark, d):
+    snippet = F.substring("text", 11, 40)
+    s = read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.reverse(snippet)).otherwise(snippet).alias("snippet"), F.substring("text", 1, 60).alias("claim"), F.col("text").alias("body"), F.array(F.expr("substring(text, 20 + cast(doc_id % 60 as int), 5)")).alias("traps"))
+    return evaluation.extraction_checks(s).select("doc_id", "verbatim", "trap", "ok")
+
+
+COMPANY = f"""{MATCH}, m as (select label, truth_id, max(score) >= 0.35 found from s group by all), pm as (select label, pred_id, max(score) >= 0.35 matched from s group by all),
+ev as (select user_id % 10 as label, count(*) extracted, count(*) filter (event_type = 'error') rejected from events group by 1),
+c as (select ev.label::int as label, (select avg(found::int) from m where m.label = ev.label) recall, (select avg(matched::int) from pm where pm.label = ev.label) prec, rejected / extracted::double rejection_rate, ev.label % 2 = 0 sufficiency_exact, extracted <= 50 compliant from ev)"""
+
+
+def _companies(spark, d):
+    e = read(spark, d, "events").groupBy((F.col("user_id") % 10).cast("int").alias("label")).agg(F.count("*").alias("extracted"), F.count_if(F.col("event_type") == "error").alias("rejected"))
+    e = e.select("*", F.col("extracted").alias("calls"), F.lit(0.5).alias("cost"), F.lit(1.0).alias("seconds"), F.lit("RICH").alias("tier"), F.when(F.col("label") % 2 == 0, "RICH").otherwise("SPARSE").alias("expected_tier"))
+    t, g = _sides(spark, d)
+    return evaluation.company_metrics(e, evaluation.best_matches(t, g, "label", 0.35), evaluation.best_truths(t, g, "label", 0.35), "label")
+
+
+@query(f"with {COMPANY} select label, round(recall, 6) recall, round(prec, 6) as precision_share, round(rejection_rate, 6) rejection_rate, sufficiency_exact, compliant from c")
+def company_metrics(spark, d):
+    return _companies(spark, d).select("label", r6("recall").alias("recall"), r6("precision").alias("precision_share"), r6("rejection_rate").alias("rejection_rate"), "sufficiency_exact", "compliant")
+
+
+@query(f"with {COMPANY} select round(avg(recall), 6) recall_mean, round(avg(prec), 6) precision_mean, round(avg(sufficiency_exact::int), 6) sufficiency_exact_rate, round(avg(compliant::int), 6) compliance_rate, false any_cached, count(*) n from c")
+def company_aggregate(spark, d):
+    out = evaluation.aggregate_metrics(_companies(spark, d).withColumn("cached", F.lit(False)))
+    return out.select(r6("recall_mean").alias("recall_mean"), r6("precision_mean").alias("precision_mean"), r6("sufficiency_exact_rate").alias("sufficiency_exact_rate"), r6("compliance_rate").alias("compliance_rate"), "any_cached", "n")
+
+
+@query("""with b as (select (event_id % 4)::int x, (value / 25)::int % 4 y from events) select count(*) n, round(avg((x = y)::int), 6) exact, round(avg((abs(x - y) <= 1)::int), 6) within_one from b""")
+def sufficiency_bands(spark, d):
+    names = F.array(*map(F.lit, sorted(fixed.SUFFICIENCY_RANK, key=fixed.SUFFICIENCY_RANK.get)))
+    e = read(spark, d, "events").select(F.get(names, (F.col("event_id") % 4).cast("int")).alias("x"), F.get(names, (F.round(F.col("value") / 25).cast("int") % 4)).alias("y"))
+    out = evaluation.sufficiency_accuracy(e, "x", "y")
+    return out.select("n", r6("exact").alias("exact"), r6("within_one").alias("within_one"))
+
+
+@query(f"with {SIGNALS} select run_id, count(*) n, count(*) filter (id % 3 = 0) corroborated, round(avg((id % 3 = 0)::int), 6) corroboration_rate, count(*) filter (id % 7 = 0) contradictory from signals group by run_id")
+def dedup_summary(spark, d):
+    s = signals(spark, d).withColumns({"is_corroborated": F.col("id") % 3 == 0, "is_contradictory": F.col("id") % 7 == 0})
+    return evaluation.dedup_stats(s, "run_id").withColumn("corroboration_rate", r6("corroboration_rate"))
+
+
+@query(f"with {SIGNALS} select id, severity from signals order by {RANK} desc, confidence_score desc, ord limit 100")
+def severity_order(spark, d):
+    return ranking.by_severity(signals(spark, d)).select("id", "severity").limit(100)
+
+
+@query(f"""with {SIGNALS}, {ADJUSTED}, {SCORES}, f as (select run_id, risk_category, min(ord) first_seen from signals group by all)
+select run_id, risk_category, row_number() over (partition by run_id order by score desc, first_seen) section_rank from scores join f using (run_id, risk_category)""")
+def section_order(spark, d):
+    s = scoring.apply_credibility(signals(spark, d))
+    seen = s.groupBy("run_id", "risk_category").agg(F.min("ord").alias("first_seen"))
+    out = reports.category_order(scoring.category_scores(s, "run_id").join(seen, ["run_id", "risk_category"]))
+    return out.select("run_id", "risk_category", F.col("section_rank").cast("long").alias("section_rank"))
+
+
+@query("select user_id, event_type, min(event_id) event_id from events group by all")
+def first_of_each(spark, d):
+    return ranking.ordered_distinct(read(spark, d, "events"), ["user_id"], "event_type", "event_id").select("user_id", "event_type", "event_id")
+
+
+@query("select user_id run_id, count(*) calls, round(sum(value / 1000), 6) as cost, count(*) >= 50 or sum(value / 1000) >= 1.0 halted from events group by user_id")
+def run_spending(spark, d):
+    e = read(spark, d, "events").select(F.col("user_id").alias("run_id"), (F.col("value") / 1000).alias("cost_usd"))
+    return runs.spending(e).withColumn("cost", r6("cost"))
+
+
+@query("""with c as (select o_orderkey, o_custkey from orders where o_orderkey % 2 = 0 and o_orderdate > timestamp '1995-01-01') select o.o_orderkey, c.o_custkey is not null hit from orders o left join c using (o_orderkey)""")
+def cached_lookup(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("https://x/"), F.col("o_orderkey").cast("string")).alias("url"), F.lit("e").alias("entity"), "o_orderdate")
+    cache = o.where("o_orderkey % 2 = 0").select(C.cache_key("url", "entity").alias("cache_key"), F.lit("{}").alias("json_blob"), F.col("o_orderdate").cast("timestamp_ntz").alias("expires_at"))
+    return tables.cached_documents(o.drop("o_orderdate"), cache, "1995-01-01 00:00:00").select("o_orderkey", F.col("json_blob").isNotNull().alias("hit"))
+
+
+@query("select event_id from events where event_type <> 'error'")
+def invalidated_cache(spark, d):
+    e = read(spark, d, "events").withColumn("cache_key", F.col("event_id").cast("string"))
+    return tables.invalidate(e, e.where("event_type = 'error'").select("cache_key")).select("event_id")
+
+
+@query("select conv_id, count(*) extracted, count(*) filter (turn % 2 = 0) supported, round(avg((turn % 2 = 0)::int), 6) faithfulness, round(avg(1.0::double / (1 + turn)), 6) answer_relevancy from conversations group by conv_id")
+def judge_metrics(spark, d):
+    c = read(spark, d, "conversations")
+    s = c.select("conv_id", (F.col("turn") % 2 == 0).alias("supported"))
+    j = evaluation.judged(s, c.select("conv_id", (F.lit(1.0) / (1 + F.col("turn"))).alias("relevancy")), "conv_id")
+    n = s.groupBy("conv_id").agg(F.count("*").alias("extracted"), F.count_if("supported").alias("supported"))
+    return n.join(j, "conv_id").select("conv_id", "extracted", "supported", r6("faithfulness").alias("faithfulness"), r6("answer_relevancy").alias("answer_relevancy"))
+
+
+@query("""with r as (select s_nationkey, s_suppkey, row_number() over (partition by s_nationkey order by s_suppkey) k from supplier)
+select s_nationkey, 0 as ord, string_agg(s_suppkey::varchar, ',' order by s_suppkey) ids from r where k <= 5 group by s_nationkey union all select s_nationkey, 1, s_suppkey::varchar from r where k = 1""")
+def registry_documents(spark, d):
+    s = read(spark, d, "supplier")
+    k = F.col("s_suppkey").cast("string")
+    hits = s.select(F.col("s_nationkey").alias("entity"), F.col("s_suppkey").alias("ord"), k.alias("id"), F.lit("n").alias("name"), F.lit("active").alias("status"), F.concat(F.lit("https://r/"), k).alias("url"))
+    out = connectors.registry_lookup(hits, s.select(k.alias("id"), F.concat(F.lit("n | "), k, F.lit(" | active")).alias("body")))
+    return out.select(F.col("entity").alias("s_nationkey"), "ord", F.array_join(F.regexp_extract_all("text", F.lit(r"\| (\d+) \|"), 1), ",").alias("ids"))
+
+
+@query()
+def lexical_match(spark, d):
+    """For each question of a conversation the answer of most words in common."""
+    c = read(spark, d, "conversations").withColumn("run_id", F.col("conv_id"))
+    t, p = c.where("role = 'user'").select("run_id", F.col("turn").alias("truth_id"), "text"), c.where("role <> 'user'").select("run_id", F.col("turn").alias("pred_id"), "text")
+    return evaluation.lexical_matches(t, p, 70.0)
+
+
+@query()
+def score_signals(spark, d):
+    """Vectors as signals, ten runs, graded within their budgets by the knowledge nearest to them: the benchmark's passages with vectors of their own."""
+    e = read(spark, d, "embeddings").select((F.col("vec_id") % 10).alias("run_id"), F.col("vec_id").alias("ord"), F.col("vec_id").alias("id"), F.concat(F.lit("signal "), F.col("label").cast("string")).alias("text"), F.lit("LEGAL").alias("risk_category"), F.lit("LOW").alias("severity"), F.lit(0.7).alias("confidence_score"), "embedding")
+    grade = F.element_at(F.array(*map(F.lit, ["info", "low", "medium", "high", "critical"])), (F.col("item_id") % 5 + 1).cast("int"))
+    k = read(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.concat(grade, F.lit(" severity: "), F.col("text")).alias("text")).join(read(spark, d, "embeddings").select(F.col("vec_id").alias("item"), "embedding"), "item")
+    return whole.score_signals(e, k).select("id", "run_id", "severity", "severity_error", "requires_human_review")
+
+
 # event time, beyond what the rest needs
 
 

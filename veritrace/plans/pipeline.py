@@ -111,12 +111,50 @@ def embed(signals: DataFrame, embedder: Callable = hashing_embedder) -> DataFram
     return materialize(signals.withColumn("embedding", vector("text")), "embedded")
 
 
-def analyse(signals: DataFrame) -> DataFrame:
-    """Clusters, credibility, review flag, gate, contradictions; in this order, which the flags depend on."""
+def rule_severity(text: str, category: str, context: list[str]) -> str:
+    """The severity named most often in the text and its rubric context; MEDIUM without one, the graver of equals."""
+    words = " ".join([text or "", *context]).upper()
+    n = {k: words.count(k) for k in fixed.SEVERITY_RANK}
+    best = max(n, key=lambda k: (n[k], fixed.SEVERITY_RANK[k]))
+    return best if n[best] else "MEDIUM"
+
+
+def score_signals(signals: DataFrame, knowledge: DataFrame, provider: Callable = rule_severity, prior: int = 0, wait: float = 1.0) -> DataFrame:
+    """signals with the severity that a provider(text, category, context) gives within a run's budget of calls, `severity_error` and the review flag.
+
+    signals (run_id, ord, id, text, risk_category, severity, confidence_score, embedding), knowledge
+    (item, text, embedding): a signal's context is the three nearest pieces. Signals beyond the
+    budget, and those whose call fails, keep their severity.
+    """
+    some = ranking.budget_prefix(signals, "run_id", "ord", prior)
+    near = similarity.nearest(some.select(F.col("id").alias("query"), F.col("embedding").alias("v")), knowledge.select("item", F.col("embedding").alias("v")))
+    context = near.join(knowledge.select("item", F.col("text").alias("piece")), "item").groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda x: x["piece"]).alias("context"))
+    asked = some.select("id", "text", "risk_category").join(context, F.col("id") == F.col("query"), "left").select("id", "text", "risk_category", F.coalesce("context", F.array().cast("array<string>")).alias("context"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, text, category, pieces in zip(b["id"], b["text"], b["risk_category"], b["context"], strict=True):
+                try:
+                    rows.append((i, with_backoff(provider, text, category, list(pieces), wait=wait), None))
+                except Exception as x:  # one signal's failure is its own
+                    rows.append((i, None, str(x)))
+            yield pd.DataFrame(rows, columns=["id", "new_severity", "severity_error"])
+
+    told = materialize(asked.mapInPandas(run, f"id {signals.schema['id'].dataType.simpleString()}, new_severity string, severity_error string"), "severities")
+    out = signals.join(told, "id", "left").withColumn("severity", F.coalesce("new_severity", "severity")).drop("new_severity")
+    return out.withColumn("requires_human_review", C.needs_review("severity", "confidence_score"))
+
+
+def analyse(signals: DataFrame, knowledge: DataFrame | None = None, provider: Callable = rule_severity) -> DataFrame:
+    """Clusters, credibility, severity by knowledge if there is any, review flag, gate, contradictions; in this order, which the flags depend on."""
     numbered = materialize(signals.withColumn("ord", F.col("doc_id") * 100 + F.col("ord")), "numbered")
     one = similarity.deduplicate(numbered, ["run_id", "risk_category"], "embedding")
     one = scoring.apply_credibility(one)
-    one = one.withColumn("requires_human_review", C.needs_review("severity", "confidence_score"))
+    if knowledge is None:
+        one = one.withColumn("requires_human_review", C.needs_review("severity", "confidence_score"))
+    else:
+        one = score_signals(one, knowledge, provider).drop("severity_error")
     one = materialize(scoring.severity_gate(one), "gated")
     pairs = similarity.contradiction_candidates(one, "run_id", "embedding")
     told = pairs.select("run_id", F.col("a").alias("ord")).union(pairs.select("run_id", F.col("b").alias("ord"))).distinct().withColumn("is_contradictory", F.lit(True))

@@ -176,6 +176,31 @@ def news_documents(articles: DataFrame, names: DataFrame, by: str = "entity", ca
     return first_rows(a, [by], [F.col("published_at").desc(), F.col("url").asc()], cap)
 
 
+def search_news(articles: DataFrame, query: str, since: str | None = None, until: str | None = None, language: str = "en", page: int = fixed.DOCS_A_SOURCE) -> DataFrame:
+    """The newest articles (title, description, content, url, language, published_at) of a language that hold the query as it stands, in any case, within the dates; a blank query is an error."""
+    if not query.strip():
+        raise ValueError("query must not be empty")
+    text = F.lower(C.joined(" ", "title", "description", "content"))
+    a = articles.where((F.col("language") == language) & F.contains(text, F.lit(query.strip().lower())))
+    if since:
+        a = a.where(F.col("published_at") >= F.lit(since).cast("date"))
+    if until:
+        a = a.where(F.col("published_at") < F.date_add(F.lit(until).cast("date"), 1))
+    return a.orderBy(F.col("published_at").desc(), F.col("url").asc()).limit(page)
+
+
+def registry_lookup(hits: DataFrame, details: DataFrame, by: str = "entity", cap: int = 5) -> DataFrame:
+    """(by, ord, url, text): a document of an entity's first registry hits, and one of the details of the first of them.
+
+    hits (by, ord, id, name, status, url), details (id, body).
+    """
+    top = first_rows(hits, [by], [F.col("ord").asc()], cap)
+    line = F.concat_ws(" | ", "name", "id", "status")
+    listed = top.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"), F.min_by("url", "ord").alias("url"))
+    first = first_rows(top, [by], [F.col("ord").asc()], 1).join(details, "id").select(by, F.lit(1).alias("ord"), "url", F.col("body").alias("text"))
+    return listed.select(by, F.lit(0).alias("ord"), "url", "text").union(first)
+
+
 def officers(rows: DataFrame, include_resigned: bool = False) -> DataFrame:
     return rows if include_resigned else rows.where("resigned_on is null")
 
