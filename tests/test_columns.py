@@ -21,6 +21,17 @@ def value(spark, column):
         (lambda: C.registrable_domain(F.lit("http://sub.a.reuters.co.uk/y")), "reuters.co.uk"),
         (lambda: C.registrable_domain(F.lit("https://x/0")), "x"),
         (lambda: C.registrable_domain(F.lit("HTTPS://www.Example.com:8080/a")), "example.com"),
+        (lambda: C.registrable_domain(F.lit("https://www.example.com./x")), "example.com"),
+        (lambda: C.registrable_domain(F.lit("https://a.example.com:8080x/y")), "example.com"),
+        (lambda: C.registrable_domain(F.lit("ftp://a.example.com/y")), "ftp"),
+        (lambda: C.registrable_domain(F.lit("a..example.co.uk")), "example.co.uk"),
+        (lambda: C.registrable_domain(F.lit(None).cast("string")), ""),
+        (lambda: C.retryable(F.lit("HTTP 502 Bad Gateway")), True),
+        (lambda: C.retryable(F.lit("model is overloaded")), True),
+        (lambda: C.retryable(F.lit("504")), True),
+        (lambda: C.retryable(F.lit("400 bad request")), False),
+        (lambda: C.step_index(F.lit("error")), -1),
+        (lambda: C.step_index(F.lit("unheard of")), 0),
         (lambda: C.confidence_factor(F.lit(1.0), F.lit(1)), 1.0),
         (lambda: F.round(C.confidence_factor(F.lit(0.35), F.lit(1)), 9), 0.61),
         (lambda: F.round(C.confidence_factor(F.lit(0.35), F.lit(3)), 9), 0.79),

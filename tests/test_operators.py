@@ -243,3 +243,80 @@ def test_streams(spark, tmp_path):
     assert rows(runs.progress(u), "run_id", "pct") == [("r", 65)]
     u = spark.createDataFrame([("r", "k", "1", 1), ("r", "k", "2", 2)], "run_id string, key string, value string, seq long")
     assert rows(runs.run_state(u), "run_id", "value") == [("r", "2")]
+
+
+def test_a_recency_that_is_null_or_0_counts_as_1(spark):
+    s = signal_rows(spark, {"severity": "HIGH", "confidence_score": 1.0, "temporal_weight": None}, {"severity": "LOW", "confidence_score": 1.0, "temporal_weight": 0.0})
+    assert rows(scoring.category_scores(s), "n", "score") == [(2, 6.0)]
+
+
+def test_a_better_filer_with_another_first_word_refuses(spark):
+    names = spark.createDataFrame([("Global Power Systems",), ("Boeing Company",)], "raw string")
+    filers = spark.createDataFrame([("1", "Power Systems Global"), ("2", "Global Power Sys Corp"), ("12927", "BOEING CO")], "cik string, title string")
+    assert rows(resolution.match_filers(names, filers), "raw", "cik") == [("Boeing Company", "0000012927")]
+    assert rows(resolution.match_filers(names, filers, block=1), "raw", "cik") == [("Boeing Company", "0000012927")]
+
+
+def test_best_token_sort_is_the_best_of_all():
+    import random
+
+    from veritrace.functions import fuzzy
+
+    rng = random.Random(5)
+    words = ["ACME", "GLOBAL", "POWER", "BANK", "CO", "INC", "OF", "AMERICA", "SYSTEMS", "ENERGI"]
+    names, titles = ([" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(40)] for _ in range(2))
+    got = {i: (k, s) for i, k, s in fuzzy.best_token_sort(names, titles, 70.0)}
+    for i, x in enumerate(names):
+        all_ = [fuzzy.token_sort(x, y) for y in titles]
+        assert got.get(i) == ((all_.index(max(all_)), max(all_)) if max(all_) >= 70 else None)
+
+
+def test_blocks_compare_every_pair_once(spark):
+    import numpy as np
+
+    from veritrace.operators import similarity
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 6))
+    df = spark.createDataFrame([(i, i % 2, x.tolist()) for i, x in enumerate(v)], "id long, g int, v array<double>")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 2 == j % 2 and u[i] @ u[j] >= 0.3}
+    import veritrace.operators.blocks as blocks
+
+    for size in (2_000, 7):
+        defaults = blocks.meet_itself.__defaults__
+        blocks.meet_itself.__defaults__ = (*defaults[:-1], size)
+        try:
+            got = [(r["a"], r["b"]) for r in similarity.similar_pairs(df, "g", "id", "v", 0.3).collect()]
+        finally:
+            blocks.meet_itself.__defaults__ = defaults
+        assert len(got) == len(want) and set(got) == want
+    assert similarity.similar_pairs(df.limit(0), "g", "id", "v", 0.3).count() == 0
+
+
+def test_a_review_has_one_deadline(spark, tmp_path):
+    import time
+
+    from veritrace.streaming import runs
+
+    schema = "run_id string, kind string, id string, verdict string"
+    src, got = str(tmp_path / "in"), []
+    spark.createDataFrame([], schema).write.parquet(src)
+    q = runs.fan_out(runs.collect_verdicts(spark.readStream.schema(schema).parquet(src), 6), [lambda df, n: got.extend((time.time(), r) for r in df.collect())], str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    try:
+        asked = [("r", "ask", x, None) for x in "abcdefgh"]
+        spark.createDataFrame(asked, schema).coalesce(1).write.mode("append").parquet(src)
+        for k in range(8):  # verdicts keep coming, but never all
+            if any(r["status"] == "timed_out" for _, r in got) or not q.isActive:
+                break
+            spark.createDataFrame([("r", "verdict", "abcdefg"[k % 7], "c")], schema).coalesce(1).write.mode("append").parquet(src)
+            time.sleep(2.5)
+        until = time.time() + 60
+        while not any(r["status"] == "timed_out" for _, r in got) and q.isActive and time.time() < until:
+            spark.createDataFrame([("other", "ask", "a", None)], schema).coalesce(1).write.mode("append").parquet(src)
+            time.sleep(1)
+    finally:
+        q.stop()
+    first = min(t for t, r in got if r["run_id"] == "r")
+    ended = [(t, r) for t, r in got if r["run_id"] == "r" and r["status"] == "timed_out"]
+    assert ended and ended[0][1]["n_given"] < 8 and ended[0][0] - first < 40
