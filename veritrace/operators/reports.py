@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrace.functions import columns as C
@@ -12,16 +12,17 @@ from veritrace.functions import fixed
 from veritrace.operators.ranking import first_rows
 
 
-def format_signals(signals: DataFrame, by: str = "run_id") -> DataFrame:
-    """(by, block): numbered signals as the text that a synthesis prompt shows."""
+def format_signals(signals: DataFrame, by: str | list[str] = "run_id") -> DataFrame:
+    """(by, block): numbered signals as the text that a synthesis prompt shows. The layout of a signal is a fixed format."""
+    by = [by] if isinstance(by, str) else by
     note = F.when(F.coalesce("is_unverified", F.lit(False)), " | UNVERIFIED (one source of low credibility)").otherwise("")
     line = F.format_string(
         '[Signal-%d] %s | %s | %s | conf=%.2f | tw=%.2f | cred=%s | srcs=%d%s\n  Statement: %s\n  Evidence: "%s"\n  Source: %s',
         "signal_num", "severity", "risk_category", "signal_polarity", "confidence_score", "temporal_weight", F.coalesce("credibility_tier", F.lit("GENERAL")),
         "independent_source_count", note, "text", F.substring("source_snippet", 1, 180), "source_url",
     )
-    rows = signals.select(by, "signal_num", line.alias("line"))
-    return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("signal_num", "line"))), lambda x: x["line"]), "\n\n").alias("block"))
+    rows = signals.select(*by, "signal_num", line.alias("line"))
+    return rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("signal_num", "line"))), lambda x: x["line"]), "\n\n").alias("block"))
 
 
 def map_actions(actions: DataFrame, signals: DataFrame, by: str = "run_id") -> DataFrame:
@@ -59,6 +60,35 @@ def report_rows(signals: DataFrame, scores: DataFrame, overall: DataFrame, by: s
     return out.withColumn("signals_extracted", F.coalesce("signals_extracted", F.lit(0)))
 
 
+def section_prompts(signals: DataFrame, scores: DataFrame, budget: int | Column = fixed.MAX_CALLS, by: str = "run_id") -> DataFrame:
+    """(by, risk_category, section_rank, entity_name, block): what is asked about each category of a run's risks, highest score first, within the budget of calls."""
+    risks = signals.where("signal_polarity <> 'POSITIVE'")
+    seen = risks.groupBy(by, "risk_category").agg(F.min("signal_num").alias("first_seen"), F.first("entity_name").alias("entity_name"))
+    ranked = category_order(seen.join(scores.select(by, "risk_category", "score"), [by, "risk_category"], "left").fillna(0.0, "score"), by)
+    most = budget if isinstance(budget, Column) else F.lit(budget)
+    return ranked.where(F.col("section_rank") <= most).join(format_signals(risks, [by, "risk_category"]), [by, "risk_category"]).select(by, "risk_category", "section_rank", "entity_name", "block")
+
+
+def compiled(signals: DataFrame, sections: DataFrame, overall: DataFrame, actions: DataFrame, tiers: DataFrame, by: str = "run_id") -> DataFrame:
+    """The written part of every run's report: sections, summary with its caveat, strengths, actions with their signals, sources in order.
+
+    sections (by, risk_category, section), overall (by, summary, strengths), actions as map_actions
+    gives them, tiers (by, tier). A run without a signal says so.
+    """
+    some = signals.groupBy(by).agg(F.count("*").alias("n_signals"))
+    told = sections.where("section is not null").groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("risk_category", "section")))).alias("sections"))
+    listed = actions.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("priority_rank", "action_ord", "priority", "description", "related_signals"))).alias("actions"))
+    consulted = sources_consulted(signals, by).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "url", "source_type"))), lambda x: F.struct(x["url"].alias("url"), x["source_type"].alias("source_type"))).alias("sources"))
+    out = tiers.select(by, "tier")
+    for df in (some, told, overall, listed, consulted):
+        out = out.join(df, by, "left")
+    none = F.col("n_signals").isNull()
+    summary = F.when(none, "No material risk signals were identified from the available data sources.").otherwise(F.coalesce("summary", F.lit("")))
+    strengths = F.when(none, "No material strengths identified from available data.").otherwise(F.coalesce("strengths", F.lit("")))
+    out = out.withColumns({"summary": summary, "strengths": strengths, "n_signals": F.coalesce("n_signals", F.lit(0))})
+    return out.withColumn("summary", caveat("summary", "tier"))
+
+
 def caveat(summary: str, tier: str):
     """The summary, with a word of caution where few documents were found."""
     return F.when(F.col(tier).isin("LIMITED", "SPARSE"), F.concat(F.lit("Based on limited data. "), F.coalesce(F.col(summary), F.lit("")))).otherwise(F.col(summary))

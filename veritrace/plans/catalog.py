@@ -685,6 +685,24 @@ def score_signals(spark, d):
     return whole.score_signals(e, k).select("id", "run_id", "severity", "severity_error", "requires_human_review")
 
 
+@query(f"""with {SIGNALS}, num as (select *, row_number() over (partition by run_id order by (signal_polarity = 'POSITIVE')::int, ord) num from signals where run_id % 10 <> 3),
+t as (select run_id, case when run_id % 2 = 0 then 'RICH' else 'SPARSE' end tier from signals group by run_id),
+c as (select run_id, count(distinct risk_category) n_sections, count(distinct risk_category) filter (f = num and severity = 'CRITICAL') n_urgent from (select *, min(num) over (partition by run_id, risk_category) f from num where signal_polarity <> 'POSITIVE') group by run_id),
+g as (select run_id, count(*) filter (signal_polarity = 'POSITIVE') n_good, count(distinct event_url) n_sources, arg_min(event_url, num) first_source from (select *, 'https://e.example.com/' || risk_category event_url from num) group by run_id)
+select t.run_id, coalesce(n_sections, 0)::bigint n_sections, coalesce(n_urgent, 0)::bigint n_urgent, coalesce(n_sources, 0)::bigint n_sources, first_source,
+case when tier = 'SPARSE' then 'Based on limited data. ' else '' end || case when g.run_id is null then 'No material risk signals were identified from the available data sources.' else 'run ' || t.run_id || ': ' || coalesce(n_sections, 0) || ' areas of risk' end summary,
+case when g.run_id is null then 'No material strengths identified from available data.' else n_good || ' strengths' end strengths from t left join c using (run_id) left join g using (run_id)""")
+def report_struct(spark, d):
+    s = signals(spark, d)
+    tiers = s.groupBy("run_id").agg(F.when(F.col("run_id") % 2 == 0, "RICH").otherwise("SPARSE").alias("tier"))
+    s = s.where("run_id % 10 <> 3").withColumns({"text": F.col("risk_category"), "source_snippet": F.col("risk_category"), "source_type": F.lit("NEWS_ARTICLE"), "is_unverified": F.lit(False), "entity_name": F.concat(F.lit("run "), F.col("run_id").cast("string")), "source_url": F.concat(F.lit("https://e.example.com/"), F.col("risk_category"))})
+    s = ranking.number_signals(s)
+    r = whole.synthesise(s, scoring.category_scores(s.where("signal_polarity <> 'POSITIVE'"), "run_id"), tiers)
+    urgent = F.size(F.filter(F.coalesce("actions", F.array()), lambda a: (a["priority"] == fixed.PRIORITIES[0]) & (F.size(a["related_signals"]) == 1)))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return r.select("run_id", n("sections").alias("n_sections"), urgent.cast("long").alias("n_urgent"), n("sources").alias("n_sources"), F.get("sources", F.lit(0))["url"].alias("first_source"), "summary", "strengths")
+
+
 # event time, beyond what the rest needs
 
 

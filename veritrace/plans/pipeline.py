@@ -161,6 +161,65 @@ def analyse(signals: DataFrame, knowledge: DataFrame | None = None, provider: Ca
     return one.join(told, ["run_id", "ord"], "left").withColumn("is_contradictory", F.coalesce("is_contradictory", F.lit(False)))
 
 
+def rule_section(category: str, entity: str, block: str) -> str:
+    """A section that names how many signals a category has, and the first."""
+    n = re.findall(r"\[Signal-(\d+)\]", block)
+    return f"{category}: {len(n)} signals on {entity}, see [Signal-{n[0]}]"
+
+
+def rule_overall(entity: str, risks: str, strengths: str, sections: dict[str, str]) -> dict:
+    """Summary, strengths, and an action for every section, urgent where its first signal is CRITICAL."""
+    good = re.findall(r"\[Signal-(\d+)\]", strengths)
+    grave = set(re.findall(r"\[Signal-(\d+)\] CRITICAL", risks))
+    actions = []
+    for c in sorted(sections):
+        first = re.search(r"\[Signal-(\d+)\]", sections[c])
+        if first:
+            actions.append({"description": f"Look into {c}", "priority": fixed.PRIORITIES[0] if first[1] in grave else "", "signal_refs": [first[0]]})
+    return {"summary": f"{entity}: {len(sections)} areas of risk", "strengths": f"{len(good)} strengths", "actions": actions}
+
+
+def synthesise(signals: DataFrame, scores: DataFrame, tiers: DataFrame, section: Callable = rule_section, overall: Callable = rule_overall, prior: int = 0, wait: float = 1.0) -> DataFrame:
+    """The written part of reports (see reports.compiled) of numbered signals: a call a category, highest score first, then one over all, within a run's budget.
+
+    A failed call leaves its part empty.
+    """
+    budget = max(0, fixed.MAX_CALLS - prior)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = []
+            for c, e, block in zip(b["risk_category"], b["entity_name"], b["block"], strict=True):
+                try:
+                    texts.append(with_backoff(section, c, e, block, wait=wait))
+                except Exception:  # one section's failure is its own
+                    texts.append(None)
+            yield pd.DataFrame({"run_id": b["run_id"], "risk_category": b["risk_category"], "section": texts})
+
+    def conclude(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r, e, risks, good, told in zip(b["run_id"], b["entity_name"], b["risks"], b["good"], b["told"], strict=True):
+                try:
+                    x = with_backoff(overall, e, risks or "", good or "", {k: v for k, v in (told or {}).items() if v}, wait=wait)
+                except Exception:
+                    x = {}
+                rows.append((r, x.get("summary"), x.get("strengths"), x.get("actions", [])))
+            yield pd.DataFrame(rows, columns=["run_id", "summary", "strengths", "actions"])
+
+    run = f"run_id {signals.schema['run_id'].dataType.simpleString()}"
+    prompts = reports.section_prompts(signals, scores, budget)
+    sections = materialize(prompts.mapInPandas(write, f"{run}, risk_category string, section string"), "sections")
+    calls = sections.groupBy("run_id").agg(F.count("*").alias("calls"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("risk_category", F.coalesce("section", F.lit("")))))).alias("told"))
+    blocks = lambda kind, name: reports.format_signals(signals.where(kind)).withColumnRenamed("block", name)
+    asked = signals.groupBy("run_id").agg(F.first("entity_name").alias("entity_name")).join(calls, "run_id", "left").where(F.coalesce("calls", F.lit(0)) < budget)
+    asked = asked.join(blocks("signal_polarity <> 'POSITIVE'", "risks"), "run_id", "left").join(blocks("signal_polarity = 'POSITIVE'", "good"), "run_id", "left")
+    asked = asked.select("run_id", "entity_name", "risks", "good", F.coalesce("told", F.create_map().cast("map<string,string>")).alias("told"))
+    whole = materialize(asked.mapInPandas(conclude, f"{run}, summary string, strengths string, actions array<struct<description:string,priority:string,signal_refs:array<string>>>"), "overall")
+    actions = whole.select("run_id", F.posexplode("actions").alias("action_ord", "a")).select("run_id", "action_ord", "a.description", "a.priority", "a.signal_refs")
+    return reports.compiled(signals, sections, whole.select("run_id", "summary", "strengths"), reports.map_actions(actions, signals), tiers)
+
+
 def run(spark: SparkSession, documents: DataFrame, today: str, provider: Callable = rule_provider, embedder: Callable = hashing_embedder, verdicts: DataFrame | None = None) -> dict[str, DataFrame]:
     """signals, scores, overall, sufficiency, stats and reports of documents (doc_id, run_id, entity_name, source_url, source_type, text).
 
