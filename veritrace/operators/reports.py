@@ -38,6 +38,24 @@ def map_actions(actions: DataFrame, signals: DataFrame, by: str = "run_id") -> D
     return out.withColumn("priority_rank", C.lookup("priority", {p: i for i, p in enumerate(fixed.PRIORITIES)}, 2))
 
 
+def extraction_prompt(entity: str, text: str, cap: int = fixed.TEXT_CAP) -> Column:
+    """What a provider is asked about a document."""
+    return F.format_string("Organisation: %s\nFind every statement of risk or strength about it, each with its exact quote.\nDocument:\n%s", F.col(entity), F.substring(text, 1, cap))
+
+
+def severity_prompt(text: str, category: str, polarity: str, context: str, snippet: str) -> Column:
+    """What a provider is asked about a signal; context is an array of pieces of the rubric."""
+    pieces = F.coalesce(F.nullif(F.array_join(context, "\n\n"), F.lit("")), F.lit("(no rubric context)"))
+    return F.format_string("Grade this signal.\nCategory: %s\nPolarity: %s\nStatement: %s\nQuote: %s\nRubric:\n%s", F.col(category), F.col(polarity), F.col(text), F.coalesce(snippet, F.lit("")), pieces)
+
+
+def signals_export(signals: DataFrame, stamp: str, by: str = "run_id", name: str = "entity_name") -> DataFrame:
+    """(file_name, value): a JSON text of each run's signals, in order, under its name and time."""
+    item = F.struct("signal_num", *(c for c in signals.columns if c not in (by, name, "signal_num")))
+    rows = signals.groupBy(by, name).agg(F.array_sort(F.collect_list(item)).alias("signals"))
+    return rows.select(F.concat(C.slug(name), F.lit(f"_signals_{stamp}.json")).alias("file_name"), F.to_json(F.struct(name, "signals"), {"pretty": "true"}).alias("value"))
+
+
 def sources_consulted(signals: DataFrame, by: str = "run_id") -> DataFrame:
     """(by, url, source_type, first): the distinct sources in the order of the numbered signals."""
     return signals.groupBy(by, F.col("source_url").alias("url")).agg(F.min_by("source_type", "signal_num").alias("source_type"), F.min("signal_num").alias("first"))

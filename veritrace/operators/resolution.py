@@ -91,3 +91,23 @@ def with_cache(names: DataFrame, cache: DataFrame, now: str, raw: str = "raw") -
     keyed = names.withColumn("cache_key", C.entity_key(raw, F.lit(""), F.lit("")))
     live = cache.where(F.col("expires_at") > F.lit(now).cast("timestamp_ntz"))
     return keyed.join(live, "cache_key"), keyed.join(live, "cache_key", "left_anti")
+
+
+def outcomes(resolved: DataFrame, filers: DataFrame, blocked: DataFrame, raw: str = "raw") -> DataFrame:
+    """resolved names with `found`: a stub counts as not found if no filer has the name and the registry was not blocked for it.
+
+    resolved is resolve's result, filers (raw, cik) match_filers', blocked (raw) the names whose search was refused.
+    """
+    some = filers.select(F.col(raw).alias("_f")).distinct().withColumn("_cik", F.lit(True))
+    held = blocked.select(F.col(raw).alias("_b")).distinct().withColumn("_blocked", F.lit(True))
+    out = resolved.join(some, F.col(raw) == F.col("_f"), "left").join(held, F.col(raw) == F.col("_b"), "left")
+    known = (F.col("status") != "stub") | F.col("_cik").isNotNull() | F.col("_blocked").isNotNull()
+    status = F.when(~known, "not_found").when((F.col("status") == "stub") & F.col("_blocked").isNotNull(), "blocked").otherwise(F.col("status"))
+    return out.withColumns({"found": known, "status": status}).drop("_f", "_cik", "_b", "_blocked")
+
+
+def to_cache(entities: DataFrame, now: str, days: int, raw: str = "raw") -> DataFrame:
+    """Cache rows (cache_key, entity_json, expires_at) of resolved entities, to be appended; those not found are asked again next time."""
+    kept = entities.where("status <> 'not_found'") if "status" in entities.columns else entities
+    expiry = F.lit(now).cast("timestamp_ntz") + F.expr(f"interval {days} days")
+    return kept.select(C.entity_key(raw, F.lit(""), F.lit("")).alias("cache_key"), F.to_json(F.struct("*")).alias("entity_json"), expiry.alias("expires_at"))

@@ -703,6 +703,42 @@ def report_struct(spark, d):
     return r.select("run_id", n("sections").alias("n_sections"), urgent.cast("long").alias("n_urgent"), n("sources").alias("n_sources"), F.get("sources", F.lit(0))["url"].alias("first_source"), "summary", "strengths")
 
 
+@query("""select c_custkey, case when c_custkey % 3 = 0 then 'top_hit' when c_custkey % 7 = 1 then 'blocked' when c_custkey % 5 = 0 then 'stub' else 'not_found' end status, c_custkey % 3 = 0 or c_custkey % 7 = 1 or c_custkey % 5 = 0 as found from customer""")
+def resolve_outcomes(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("raw"))
+    hits = c.where("c_custkey % 3 = 0").select("raw", F.lit(0).alias("ord"), F.col("raw").alias("legal_name"), F.lit("US_NY").alias("jurisdiction_code"), F.lit("llc").alias("company_type"), F.col("c_custkey").cast("string").alias("id"))
+    out = resolution.outcomes(resolution.resolve(c, hits), c.where("c_custkey % 5 = 0"), c.where("c_custkey % 7 = 1"))
+    return out.select("c_custkey", "status", "found")
+
+
+@query("select sha256(lower(trim(c_name)) || '||') cache_key, timestamp '2025-01-31 00:00:00' expires_at from customer where c_custkey % 4 <> 0")
+def cache_writes(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_name").alias("raw"), F.when(F.col("c_custkey") % 4 == 0, "not_found").otherwise("stub").alias("status"))
+    return resolution.to_cache(c, "2025-01-01 00:00:00", 30).select("cache_key", "expires_at")
+
+
+@query("""with g as (select doc_id, unnest([doc_id + 1, doc_id + 2]) page_id, unnest([0, 1]) as ord from documents), p as (select g.doc_id, g.ord, g.page_id from g join documents d on d.doc_id = g.page_id where contains(lower(d.text), 'the '))
+select doc_id, arg_min(page_id, ord) page_id from p group by doc_id""")
+def website_first_hit(spark, d):
+    docs = read(spark, d, "documents")
+    g = docs.select(F.col("doc_id").alias("entity"), F.posexplode(F.array(F.col("doc_id") + 1, F.col("doc_id") + 2)).alias("ord", "url"))
+    names = docs.select(F.col("doc_id").alias("entity"), F.array(F.lit("the ")).alias("names"))
+    out = connectors.website_documents(g, docs.select(F.col("doc_id").alias("url"), "text"), names)
+    return out.select(F.col("entity").alias("doc_id"), F.col("url").alias("page_id"))
+
+
+@query(f"with {SIGNALS} select run_id, count(*) filter (signal_polarity <> 'POSITIVE') n_risks, count(*) filter (signal_polarity = 'POSITIVE') n_strengths, 'SPARSE' data_sufficiency, count(*) signals_extracted from signals group by run_id")
+def adapted_reports(spark, d):
+    e = signals(spark, d).groupBy(F.col("run_id").alias("entity_name")).agg(F.collect_list(F.struct("id", "signal_polarity", "severity")).alias("signals"))
+    r = connectors.adapted_reports(e)
+    return r.select(F.col("entity_name").alias("run_id"), F.size("risk_signals").cast("long").alias("n_risks"), F.size("positive_signals").cast("long").alias("n_strengths"), "data_sufficiency", "signals_extracted")
+
+
+@query("""select doc_id, md5('Organisation: ' || source || chr(10) || 'Find every statement of risk or strength about it, each with its exact quote.' || chr(10) || 'Document:' || chr(10) || substr(text, 1, 200)) digest from documents""")
+def extraction_prompts(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(reports.extraction_prompt("source", "text", 200)).alias("digest"))
+
+
 # event time, beyond what the rest needs
 
 

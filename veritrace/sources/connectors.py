@@ -169,6 +169,23 @@ def website_guesses(entities: DataFrame, name: str = "canonical_name") -> DataFr
     return entities.where(F.length(base) > 0).select("*", F.posexplode(urls).alias("ord", "url"))
 
 
+def website_documents(guesses: DataFrame, pages: DataFrame, names: DataFrame, by: str = "entity") -> DataFrame:
+    """(by, url, text): for each entity the first of its guessed addresses whose page mentions it.
+
+    guesses (by, ord, url), pages (url, text), names (by, names array).
+    """
+    hit = guesses.select(by, "ord", "url").join(pages.select("url", "text"), "url").join(names.select(by, "names"), by).where(C.mentions("text", F.col("names")))
+    return first_rows(hit, [by], [F.col("ord").asc()], 1).select(by, "url", "text")
+
+
+def adapted_reports(exports: DataFrame) -> DataFrame:
+    """Exports that hold signals alone in the shape of reports: absent parts are empty, or what their signals tell."""
+    have = lambda c, other: F.coalesce(F.col(c), other) if c in exports.columns else other
+    s = F.coalesce("signals", F.array())
+    risk, good = F.filter(s, lambda x: x["signal_polarity"] != "POSITIVE"), F.filter(s, lambda x: x["signal_polarity"] == "POSITIVE")
+    return exports.select("entity_name", have("risk_signals", risk).alias("risk_signals"), have("positive_signals", good).alias("positive_signals"), have("data_sufficiency", F.lit("SPARSE")).alias("data_sufficiency"), F.size(s).cast("long").alias("signals_extracted"))
+
+
 def news_documents(articles: DataFrame, names: DataFrame, by: str = "entity", cap: int = fixed.DOCS_A_SOURCE) -> DataFrame:
     """Articles, newest first, as title, description and content; short and foreign ones go."""
     a = articles.withColumn("text", C.joined("\n\n", "title", "description", "content")).where(F.length("text") >= 50)
