@@ -81,16 +81,17 @@ def _openings(d: float) -> np.ndarray:
 
 def _more(c: np.ndarray, t: np.ndarray | int, d: float) -> np.ndarray:
     """The entries of _openings for c and t, continued above EXACT."""
-    t = np.broadcast_to(np.asarray(t), c.shape)
-    out = _openings(d)[np.minimum(c, EXACT), np.minimum(t, EXACT)]
+    kept = np.minimum(c, EXACT)
+    out = _openings(d)[:, t][kept] if np.ndim(t) == 0 and t <= EXACT else _openings(d)[kept, np.minimum(t, EXACT)]
     big = np.flatnonzero(c > EXACT)
     if len(big):
-        n, t = c[big].astype(np.float64), np.minimum(t[big], c[big]).astype(np.float64)
+        n = c[big].astype(np.float64)
+        t = np.minimum(t if np.ndim(t) == 0 else t[big], n).astype(np.float64)
         # y solves t d (1 - y) y^(d - 1) = c (1 - y^d): the saddle point of the ways' generating function
         y = (t * d / n) ** (1 / (1 - d))
-        far = np.flatnonzero(t * d > 0.02 * n)
+        far = np.flatnonzero(t * d > 0.05 * n)
         low, high = np.zeros(len(far)), np.ones(len(far))
-        for _ in range(45):
+        for _ in range(26):
             mid = (low + high) / 2
             up = t[far] * d * (1 - mid) * mid ** (d - 1) > n[far] * (1 - mid**d)
             low, high = np.where(up, mid, low), np.where(up, high, mid)
@@ -112,24 +113,31 @@ def seat(c: np.ndarray, weight: np.ndarray, slope: np.ndarray, d: float, key: np
         salted = key[at] + np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * sweep + 1)
     c, w, s, u = c[at], weight[at], slope[at], unit(salted)
     grow = lambda i, k: (w[i] + s[i] * k) * _more(c[i], k, d)
-    every = np.arange(len(at))
-    many = (grow(every, 1) > 1e5) | (grow(every, np.minimum(FEW, c)) > 1)
-
-    few = np.flatnonzero(~many)
-    total, chance, k, on = np.ones(len(at)), np.ones(len(at)), 1, few
+    out = np.ones(len(at), np.int64)
+    # each further table is less likely than the one before by a falling factor: where the first is below 1 - u the draw is one table
+    first = (w + s) * _more(c, 1, d)
+    open_ = np.flatnonzero(u >= 1 - first)
+    many = first[open_] > 1e5
+    rest = np.flatnonzero(~many & (c[open_] > FEW))
+    many[rest] = grow(open_[rest], FEW) > 1
+
+    few = open_[~many]
+    total, chance, k, on = 1 + first, first.copy(), 2, few[c[few] > 2]
     while len(on):
         chance[on] *= grow(on, k)
         total[on] += chance[on]
         on, k = on[chance[on] > 1e-9 * total[on]], k + 1
-    below, chance, k, on = np.ones(len(at)), np.ones(len(at)), 1, few[u[few] * total[few] > 1]
-    out = np.ones(len(at), np.int64)
+    few = few[u[few] * total[few] > 1]
+    out[few] = 2
+    below, chance, k = 1 + first, first.copy(), 2
+    on = few[below[few] < u[few] * total[few]]
     while len(on):
         chance[on] *= grow(on, k)
         below[on] += chance[on]
         out[on] += 1
         on, k = on[(below[on] < u[on] * total[on]) & (chance[on] > 0)], k + 1
 
-    big = np.flatnonzero(many)
+    big = open_[many]
     if len(big):
         low, high = np.ones(len(big), np.int64), c[big].copy()  # the likeliest number is the first that grows no more
         while (low < high).any():
@@ -268,7 +276,8 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    h = xxhash.xxh64_intdigest
+    return np.array([h(w, SEED) for w in words], np.uint64)
 
 
 def _parts(high: np.ndarray, n: int) -> np.ndarray:
@@ -496,10 +505,13 @@ def _states(rows: list[dict]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 def _seat_pairs(count, before, word, keys, states, d: float) -> Iterator[np.ndarray]:
     """Tables of pairs after each sweep from 0 on: one each at first, then given the words' states of the sweep before."""
     t = (count > 0).astype(np.int64)
+    more = np.flatnonzero(count > 1)  # one customer sits at one table
+    count, before, word, keys = count[more], before[more], word[more], keys[more]
     for sweep, (_, tables, log_p) in enumerate(states, 1):
         yield t
-        p = np.exp(log_p[word].astype(np.float64))
-        t = seat(count, (THETA + d * (tables[before] - t)) * p, d * p, d, keys, sweep)
+        p = np.exp(log_p.astype(np.float64))[word]
+        t = t.copy()
+        t[more] = seat(count, (THETA + d * (tables[before] - t[more])) * p, d * p, d, keys, sweep)
     yield t
 
 
@@ -540,14 +552,16 @@ def _score(total: int, seen: int, d: float):
         count = np.concatenate([unpack(r["a"], np.int64) for r in rows if r["kind"] == COUNTS]) >> 1
         states = _states(rows)
         known = states[0][0]
-        log_p = np.full(len(count), -np.inf)
+        log_p = None
         seated = zip(_seat_pairs(count, c.before, c.word, c.keys, states[:-1], d), states, strict=True)
         for sweep, (t, (_, tables, below)) in enumerate(seated):
             if sweep > BURN:
-                with np.errstate(divide="ignore"):
-                    own = np.log(np.maximum(count - d * t, 0))
-                log_p = np.logaddexp(log_p, np.logaddexp(own, np.log(THETA + d * tables[c.before]) + below[c.word]))
-        log_p = (log_p - np.log(KEPT * (known[c.before] + THETA))) / math.log(10)
+                # the part of the shared words first, in logarithms: long unseen words are far below the least float
+                low = np.log(THETA + d * tables)[c.before] + below[c.word]
+                own = np.flatnonzero(count)
+                low[own] = np.log(count[own] - d * t[own] + np.exp(low[own]))
+                log_p = low if log_p is None else np.logaddexp(log_p, low)
+        log_p = (log_p - np.log(KEPT * (known + THETA))[c.before]) / math.log(10)
         starts = np.cumsum(c.size) - c.size
         base = np.log10((known + 0.1) / (total + 0.1 * (seen + 1)))
         added = [np.add.reduceat(x, starts) for x in ((known > 0)[c.seq].astype(np.int64), base[c.seq], log_p[c.pair])]
@@ -570,7 +584,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     chars = docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
     parts = 1 + chars // PART_CHARS
-    n = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(4 * parts, int(spark.conf.get("spark.sql.shuffle.partitions")))  # more buckets than chunks, so that few share one
     coded = Bucketed(spark, "coded", n, "chunk", "kind").add(_encode(docs, parts))
     told = Bucketed(spark, "told", n, "chunk", "kind")
     rows = coded.read()
