@@ -74,7 +74,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
     docs = []
     for x in texts:
         u, n = document_units(x)
-        docs.append((u, n / n.sum() if len(n) else n))
+        docs.append((u.astype(np.int32), (n / n.sum() if len(n) else n).astype(np.float32)))
     total = EPOCHS * len(docs)
     for e in range(EPOCHS):
         for k, i in enumerate(rng.permutation(len(docs))):
@@ -105,7 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     got = sorted((r["d"], r["text"], r["q"]) for r in got)
     if not got:
         return np.zeros(BUCKETS), 0.0
-    return train([x for _, x, _ in got], [q for _, _, q in got])
+    texts, labels = [x for _, x, _ in got], [q for _, _, q in got]
+    return train(texts, labels)
 
 
 def text_scores(texts: list[str | None], model: tuple[np.ndarray, float]) -> np.ndarray:

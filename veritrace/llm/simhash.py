@@ -88,10 +88,9 @@ def _bit_counts(fps: DataFrame, words: int = 1) -> tuple[int, np.ndarray]:
             n += len(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells, dtype=np.int32)), pa.array(np.append(both.ravel(), n).astype(np.int64))], names=["cell", "n"])
 
-    told = fps.select("fp").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    told = fps.select("fp").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     flat = np.zeros(cells)
-    for r in told:
-        flat[r["cell"]] = r["n"]
+    flat[told.column(0).to_numpy()] = told.column(1).to_numpy()
     both = flat[:-1].reshape(words, 64, 64)
     return int(flat[-1]), both[0] if words == 1 else both
 
