@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from veritrace.llm import language_id as li
 
@@ -107,3 +108,28 @@ def test_accepted_rows(spark, odd, none):
     assert not {r["doc_id"] for r in out.collect()} & {2, 3, 4, 8}
     assert li.accepted(named, ["en"]).count() == out.where("coalesce(lang, 'en') = 'en'").count() + out.where("lang = 'ja'").count()  # 7 is held out: no ja is learned
     assert li.accepted(named, ["fr"]).count() == li.accepted(none).count() == 0
+
+
+def test_mislabelled_rows_do_not_open_the_limit(spark):
+    """A few junk rows labelled en: junk stays unknown, text in en stays known."""
+    rng = np.random.default_rng(5)
+    en = "the committee wrote a report about the river and the bridges that cross it near the old town where people trade every morning "
+    pick = lambda: "".join(en[a : a + 40] for a in rng.integers(0, len(en) - 40, 12))
+    junk = lambda: "".join(rng.choice(list("bcdfghjklmnpqrstvwxz "), 400))
+    rows = [(i, pick(), "en") for i in range(400)] + [(1_000 + i, junk(), "en") for i in range(12)] + [(2_000 + i, junk(), None) for i in range(20)]
+    out = {r["doc_id"]: r["known"] for r in li.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i] for i in range(400)) and not any(out[2_000 + i] for i in range(20))
+
+
+def test_only_the_commonest_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(li, "MOST_LANGUAGES", 2)
+    rows = [(i, f"some text of number {i}", lang) for i, lang in enumerate(["a"] * 30 + ["b"] * 20 + ["stray"] * 5)]
+    with pytest.warns(UserWarning, match="commonest"):
+        model = li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["a", "b"]
+
+
+def test_a_tie_goes_to_the_first_name(spark):
+    rows = [(i, "one and the same text for two names", lang) for i, lang in enumerate(["zz", "aa"] * 200)]
+    out = li.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {(r["lang_pred"], r["score"]) for r in out} == {("aa", 0.5)}

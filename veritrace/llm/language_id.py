@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 #: The fitted sample: so many rows of a language, lowest by hash, of each a stretch of so many letters at a place given by its hash.
 SAMPLE_ROWS, ROW_LETTERS = 64, 400
-#: As many rows again set the limit beyond which a text is in no learned language: so many times their most phrases a letter, and phrases that any text may have.
-MARGIN, SLACK = 1.25, 8
-#: A model is at most about a megabyte a language; more labelled values than this are refused.
+#: As many rows again of each language set the limit beyond which a text is in no learned language: MARGIN times the phrases a
+#: letter of this quantile of them (a tenth of them may be mislabelled), and SLACK phrases that any text may have.
+CLEAN, MARGIN, SLACK = 0.9, 1.5, 8
+#: A model is at most about a megabyte a language; of more labelled values the commonest are learned, with a warning.
 MOST_LANGUAGES = 500
 #: Letters parsed in one stretch: a longer text is a row of stretches whose phrases add up.
 STRETCH = 512
@@ -138,13 +140,13 @@ def phrases(flat: np.ndarray, counts: np.ndarray, tables: list[Automaton]) -> np
 
 @dataclass
 class Model:
-    """Languages in order of name, their automata, the bits of a pointer into each, the code of each code point, and the most phrases a letter."""
+    """Languages in order of name, their automata, the bits of a pointer into each, the code of each code point, and the most phrases a letter in each language."""
 
     languages: list[str]
     lut: np.ndarray
     tables: list[Automaton]
     bits: np.ndarray
-    limit: float
+    limit: np.ndarray
 
 
 def _sampled(docs: DataFrame) -> DataFrame:
@@ -153,6 +155,10 @@ def _sampled(docs: DataFrame) -> DataFrame:
     rows = rows.where(f"lang is not null and text is not null and not ({FOLD})").withColumn("o", F.xxhash64("doc_id", "text"))
     place = F.expr(f"1 + pmod(o, greatest(1, length(text) - {2 * ROW_LETTERS} + 1))")
     rows = rows.select("lang", "o", F.substring("text", place, F.lit(2 * ROW_LETTERS)).alias("text"))
+    held = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(held) > MOST_LANGUAGES:
+        warnings.warn(f"only the {MOST_LANGUAGES} commonest lang values are learned", stacklevel=2)
+        rows = rows.where(F.col("lang").isin([r["lang"] for r in held[:-1]]))
     first = W.partitionBy("lang").orderBy("o", "text")  # tasks send on no more than the first rows of each language
     return rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 2 * SAMPLE_ROWS)
 
@@ -162,14 +168,12 @@ def fit(docs: DataFrame) -> Model:
     sample = _sampled(docs)
     told = sample.select("lang", "r", "text").collect()
     by: dict[str, list[str]] = {}
-    rest: list[str] = []
+    rest: dict[str, list[str]] = {}
     for r in sorted(told, key=lambda r: (r["lang"], r["r"])):
         if r["r"] <= SAMPLE_ROWS:
             by.setdefault(r["lang"], []).append(r["text"])
         else:
-            rest.append(r["text"])
-    if len(by) > MOST_LANGUAGES:
-        raise ValueError(f"{len(by)} labelled languages; at most {MOST_LANGUAGES} can be learned at once")
+            rest.setdefault(r["lang"], []).append(r["text"])
     own = sorted({c for texts in by.values() for x in texts for c in x.lower() if c.isalpha()})
     lut = np.array([(len(own) + 1) * (unicodedata.category(chr(c))[0] == "L") for c in range(0x110000)], np.uint16)
     for k, c in enumerate(own, 1):
@@ -183,16 +187,17 @@ def fit(docs: DataFrame) -> Model:
             languages.append(lang)
             tables.append(Automaton(codes, len(own) + 2))
             bits.append(math.log2(len(codes) + 1))
-    model = Model(languages, lut, tables, np.array(bits), math.inf)
-    if languages and rest:
-        _, _, _, rate = text_languages(rest, model)
-        model.limit = MARGIN * float(rate.max())
+    model = Model(languages, lut, tables, np.array(bits), np.full(len(languages), math.inf))
+    for k, lang in enumerate(languages):
+        if lang in rest:
+            _, _, _, rate = text_languages(rest[lang], model)
+            model.limit[k] = MARGIN * float(np.quantile(rate, CLEAN))
     return model
 
 
 def text_languages(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(language, score, known, rate) of each text; `und` at 0 without a letter. rate: phrases a letter, beyond the first few, in the language."""
-    named, told, at = [], [np.zeros((0, 2))], 0
+    named, told, at = [], [np.zeros((0, 3))], 0
     while at < len(texts):
         part, letters = [], 0
         while at < len(texts) and (not part or letters + len(texts[at] or "") <= 2_000_000):
@@ -210,10 +215,11 @@ def text_languages(texts: list[str | None], model: Model) -> tuple[list[str], np
             two = np.sort(cost, axis=1)[:, :2]
             score[some] = 1.0 if len(model.languages) == 1 else (two[:, 1] / np.maximum(two.sum(axis=1), 1))[some]
             rate = np.maximum(n[np.arange(len(part)), best] - SLACK, 0) / np.maximum(counts, 1)
+            some &= rate <= model.limit[best]
         named += lang.tolist()
-        told.append(np.stack((score, rate), axis=1))
-    score, rate = np.concatenate(told).T
-    return named, score, (np.array(named, object) != "und") & (rate <= model.limit), rate
+        told.append(np.stack((score, rate, some), axis=1))
+    score, rate, known = np.concatenate(told).T
+    return named, score, known > 0, rate
 
 
 def predicted(spark: SparkSession, model: Model):
