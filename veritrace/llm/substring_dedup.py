@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritrace.llm.chunks import Numbering
 from veritrace.llm.hashing import mix
 from veritrace.llm.slices import slices
 from veritrace.storage import materialize
@@ -45,6 +46,8 @@ LONGEST = 1_000
 HOT = 20_000
 #: Words with a two-byte code: the commonest, of at most so many bytes. They make strings short and decide nothing else.
 CODES, CODED_BYTES = 65_535, 64
+#: Uses in a chunk that make a word a candidate for a code.
+OFTEN = 4
 #: A longer word is packed as its SHA-256.
 LONG_WORD = 200
 LARGEST = (1 << 63) - 1
@@ -153,7 +156,7 @@ def _intervals(doc: np.ndarray, th: np.ndarray, start: np.ndarray, size: np.ndar
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(distinct words, word numbers, document number by word, doc and th by document) of rows (doc, th, text)."""
-    number: dict[bytes, int] = {}
+    number = Numbering()
     ids, docs, ths, n = [], [], [], 0
     for whole in batches:
         for b in slices(whole, 2):
@@ -161,18 +164,18 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np
                 w = words_of(text)
                 if len(w) < K:
                     continue
-                ids.append(np.fromiter((number.setdefault(x, len(number)) for x in w), np.int64, len(w)))
+                ids.append(np.fromiter(map(number.__getitem__, w), np.int64, len(w)))
                 docs.append(doc)
                 ths.append(th)
                 n += len(w)
                 if n >= CHUNK:
                     yield _chunk(number, ids, docs, ths)
-                    number, ids, docs, ths, n = {}, [], [], [], 0
+                    number, ids, docs, ths, n = Numbering(), [], [], [], 0
     if ids:
         yield _chunk(number, ids, docs, ths)
 
 
-def _chunk(number: dict[bytes, int], ids: list, docs: list, ths: list) -> tuple:
+def _chunk(number: Numbering, ids: list, docs: list, ths: list) -> tuple:
     owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     return list(number), np.concatenate(ids), owner, np.array(docs, np.int64), np.array(ths, np.int64)
 
@@ -183,12 +186,12 @@ def common(rows: DataFrame) -> tuple[np.ndarray, list[bytes]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, ids, owner, _, _ in _chunks(batches):
             n = np.bincount(ids, minlength=len(words))
-            some = [i for i in np.flatnonzero(n * CODES >= len(ids)).tolist() if len(words[i]) <= CODED_BYTES]
+            some = [i for i in np.flatnonzero(n >= OFTEN).tolist() if len(words[i]) <= CODED_BYTES]
             yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in some], pa.binary()), pa.nulls(len(some), pa.int64()), pa.array(n[some])], names=["word", "run", "n"])
             mins = minimisers(hashed(words)[ids], RUNS[0], np.empty(0, np.uint64))
             first, _ = super_runs(mins, owner)
             kinds, n = np.unique(mins[first], return_counts=True)
-            often = (n >= 4) & (n * HOT >= len(first))
+            often = (n >= OFTEN) & (n * HOT >= len(first))
             kinds, n = np.append(kinds[often].view(np.int64), -1), np.append(n[often], len(first))
             yield pa.RecordBatch.from_arrays([pa.nulls(len(kinds), pa.binary()), pa.array(kinds), pa.array(n)], names=["word", "run", "n"])
 
@@ -232,9 +235,7 @@ def _cut(rows: DataFrame, hot: np.ndarray, known: list[bytes]) -> DataFrame:
             codes = np.array([code_of.get(w, 0) for w in words], np.int64)
             lit = np.flatnonzero(codes[ids] == 0)
             literal = [w if len(w) <= LONG_WORD else b"\n" + hashlib.sha256(w).hexdigest().encode() for w in (words[i] for i in ids[lit].tolist())]
-            for at in range(0, len(left), 20_000):
-                x = left[at : at + 20_000]
-                yield _pack(mins[first[x]], first[x], size[x], codes[ids], literal, doc[own[x]], th[own[x]], start[x])
+            yield _pack(mins[first[left]], first[left], size[left], codes[ids], literal, doc[own[left]], th[own[left]], start[left])
 
     return rows.mapInArrow(run, PACKED)
 
@@ -263,8 +264,7 @@ def count(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     """The words of windows that are not the first of their kind among packed strings."""
     size, codes, literal, doc, th, start = parse(blobs)
     if literal:
-        number: dict[bytes, int] = {}
-        codes[codes == 0] = [CODES + 1 + number.setdefault(w, len(number)) for w in literal]
+        codes[codes == 0] = CODES + 1 + np.fromiter(map(Numbering().__getitem__, literal), np.int64, len(literal))
     windows = size - (K - 1)
     row = np.repeat(np.arange(len(size)), windows)
     at = spans(np.cumsum(size) - size, windows)
