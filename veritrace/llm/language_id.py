@@ -14,11 +14,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veritrace.llm.slices import slices
+
 #: The fitted sample: so many rows of a language, lowest by hash, of each a stretch of so many letters at a place given by its hash.
 SAMPLE_ROWS, ROW_LETTERS = 64, 400
 #: As many rows again of each language set the limit beyond which a text is in no learned language: MARGIN times the phrases a
@@ -28,6 +30,8 @@ CLEAN, MARGIN, SLACK = 0.9, 1.5, 8
 MOST_LANGUAGES = 500
 #: Letters parsed in one stretch: a longer text is a row of stretches whose phrases add up.
 STRETCH = 512
+#: Letters of the texts that are parsed at once.
+LETTERS = 1_000_000
 FOLD = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 4) = 2"
 
 
@@ -200,7 +204,7 @@ def text_languages(texts: list[str | None], model: Model) -> tuple[list[str], np
     named, told, at = [], [np.zeros((0, 3))], 0
     while at < len(texts):
         part, letters = [], 0
-        while at < len(texts) and (not part or letters + len(texts[at] or "") <= 2_000_000):
+        while at < len(texts) and (not part or letters + len(texts[at] or "") <= LETTERS):
             part.append(texts[at] or "")
             letters += len(part[-1])
             at += 1
@@ -226,13 +230,18 @@ def predicted(spark: SparkSession, model: Model):
     """A function of a text column: (lang_pred, score, known)."""
     shipped = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, known boolean")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def told(part: pa.RecordBatch) -> pa.StructArray:
+        lang, score, known, _ = text_languages(part.column(0).to_pylist(), shipped.value)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(known)], names=["lang_pred", "score", "known"])
+
+    @F.arrow_udf("lang_pred string, score double, known boolean")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
-            lang, score, known, _ = text_languages(x.tolist(), shipped.value)
-            yield pd.DataFrame({"lang_pred": lang, "score": score, "known": known})
+            whole = pa.record_batch([x], names=["text"])
+            yield pa.concat_arrays([told(whole.slice(0, 0)), *map(told, slices(whole, 0, LETTERS))])
 
-    return predict
+    # not deterministic for the optimizer alone: else a filter and a projection on it would each call it
+    return predict.asNondeterministic()
 
 
 def language_id(docs: DataFrame) -> DataFrame:

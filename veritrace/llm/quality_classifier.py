@@ -12,11 +12,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrace.llm.chunks import Numbering
+from veritrace.llm.slices import slices
 
 #: The fitted sample: so many labelled rows, lowest by hash, of each a stretch of so many characters at a place given by its hash.
 SAMPLE, STRETCH = 4_000, 20_000
@@ -28,6 +29,8 @@ GRAMS = (2, 3, 4)
 #: The bucket of a word that repeats the one before it.
 REPEAT = 0
 PREDICTED = 0.7
+#: Letters of the texts that are scored at once.
+LETTERS = 1_000_000
 FOLD = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 4) = 2"
 
 
@@ -115,7 +118,7 @@ def text_scores(texts: list[str | None], model: tuple[np.ndarray, float]) -> np.
     z, at = [], 0
     while at < len(texts):
         number, rows, letters = Numbering(), [], 0
-        while at < len(texts) and letters < 1_000_000:
+        while at < len(texts) and letters < LETTERS:
             w = (texts[at] or "").split()
             rows.append(np.fromiter(map(number.__getitem__, w), np.int64, len(w)))
             letters += len(texts[at] or "")
@@ -133,10 +136,11 @@ def scored(spark: SparkSession, model: tuple[np.ndarray, float]):
     """A function of a text column: its score."""
     shipped = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
-            yield pd.Series(text_scores(x.tolist(), shipped.value), dtype="float64")
+            parts = slices(pa.record_batch([x], names=["text"]), 0, LETTERS)
+            yield pa.concat_arrays([pa.array([], pa.float64()), *(pa.array(text_scores(b.column(0).to_pylist(), shipped.value)) for b in parts)])
 
     return score
 
