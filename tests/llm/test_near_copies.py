@@ -67,13 +67,56 @@ def test_near_copies_of_medium_length_go(spark, monkeypatch):
         assert got >= want and len(got - want) <= 1
 
 
-def test_forest_links_what_brute_force_links():
+def test_verified_pairs_connect_what_brute_force_links():
     rng = np.random.default_rng(1)
-    base = np.arange(40, dtype=np.int64)
-    sets = [np.unique(np.concatenate((base[: 40 - k], rng.integers(100, 10_000, k)))) for k in (0, 2, 3, 30, 32)]
-    a, b = nc.forest(sets, 0.8)
-    near = {(i, j) for i in range(5) for j in range(5) if i < j and len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8}
-    assert {(min(x), max(x)) for x in zip(a, b, strict=True)} <= near and len(a) == 2
+    base = np.arange(40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[: 40 - k], rng.integers(100, 10_000, k).astype(np.uint64)))) for k in (0, 2, 3, 30, 32)]
+    pairs = [(i, j) for i in range(5) for j in range(i + 1, 5)]
+    a, b = nc.linked(dict(enumerate(sets)), *map(list, zip(*pairs, strict=True)), 0.8)
+    near = {(i, j) for i, j in pairs if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8}
+    assert set(zip(a, b, strict=True)) <= near and len(a) == 2
+
+
+def family(rng, n, shared):
+    """n texts of 300 words of which the first `shared` are the same."""
+    head = [f"h{i}" for i in range(shared)]
+    return [head + [f"w{rng.randrange(1_000_000)}" for _ in range(300 - shared)] for _ in range(n)]
+
+
+def test_planted_copies_within_a_dense_family_go(spark):
+    """Texts at about 0.51 of each other, half of them with a copy at about 0.85."""
+    rng = random.Random(8)
+    rows, copies = [], set()
+    for w in family(rng, 300, 204):
+        rows.append((len(rows), " ".join(w)))
+        c = list(w)
+        for at in (210, 225, 240, 255, 270):
+            c[at] = f"c{rng.randrange(1_000_000)}"
+        copies.add(len(rows))
+        rows.append((len(rows), " ".join(c)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = set(range(len(rows))) - {r["doc_id"] for r in nc.one_of_each(df).collect()}
+    assert gone <= copies and len(gone) >= 0.99 * len(copies)
+
+
+def test_candidates_that_chain_are_not_compared_all_with_all(spark, monkeypatch):
+    """Pages of one template, at about 0.65 of each other: many candidates, no link. Each candidate is verified once, and most pairs are none."""
+    compared = []
+    verify = nc._verified
+    monkeypatch.setattr(nc, "_verified", lambda pairs, *a: compared.append(pairs.select("a", "b")) or verify(pairs, *a))
+    rows = [(i, " ".join(w)) for i, w in enumerate(family(random.Random(9), 400, 240))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert nc.one_of_each(df).count() == 400
+    both = compared[0] if len(compared) == 1 else compared[0].union(compared[1])
+    assert both.count() == both.distinct().count() < 400 * 399 / 4
+
+
+def test_a_hub_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(nc, "PARTNERS", 3)
+    monkeypatch.setattr(nc, "TOGETHER", 50)
+    sets = spark.createDataFrame([(i, list(range(20)) + [100 + i]) for i in range(40)], "cls long, grams array<long>")
+    pairs = spark.createDataFrame([(0, i, 21, 21) for i in range(1, 40)], "a long, b long, na long, nb long")
+    assert {r["dst"] for r in nc._verified(pairs, sets, 0.8).collect()} == set(range(1, 40))
 
 
 def test_odd_rows(odd, none):
