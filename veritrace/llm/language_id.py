@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veritrace.llm.slices import slices
+from veritrace.llm.slices import give_back, slices
 
 #: The fitted sample: so many rows of a language, lowest by hash, of each a stretch of so many letters at a place given by its hash.
 SAMPLE_ROWS, ROW_LETTERS = 64, 400
@@ -196,6 +196,7 @@ def fit(docs: DataFrame) -> Model:
         if lang in rest:
             _, _, _, rate = text_languages(rest[lang], model)
             model.limit[k] = MARGIN * float(np.quantile(rate, CLEAN))
+    give_back()
     return model
 
 

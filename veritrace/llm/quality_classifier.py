@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrace.llm.chunks import Numbering
-from veritrace.llm.slices import slices
+from veritrace.llm.slices import give_back, slices
 
 #: The fitted sample: so many labelled rows, lowest by hash, of each a stretch of so many characters at a place given by its hash.
 SAMPLE, STRETCH = 4_000, 20_000
@@ -109,7 +109,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     if not got:
         return np.zeros(BUCKETS), 0.0
     texts, labels = [x for _, x, _ in got], [q for _, _, q in got]
-    return train(texts, labels)
+    model = train(texts, labels)
+    del got, texts
+    give_back()
+    return model
 
 
 def text_scores(texts: list[str | None], model: tuple[np.ndarray, float]) -> np.ndarray:

@@ -1,7 +1,9 @@
-"""Arrow columns of texts in slices of bounded size, so that a batch of long texts is never held whole as Python strings."""
+"""Bounded memory: Arrow columns of texts in slices, so that a batch of long texts is never held whole as Python strings, and freed memory given back."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,3 +25,11 @@ def slices(b: pa.RecordBatch, column: int, most: int = BYTES) -> Iterator[pa.Rec
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
         yield b.slice(at, to - at)
         at = to
+
+
+def give_back() -> None:
+    """Return what this process has freed to the machine: a fit's arrays are many and large, and the driver lives on after it."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library; elsewhere freed memory goes back by itself
+    if trim:
+        trim(0)
