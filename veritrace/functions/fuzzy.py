@@ -75,6 +75,34 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+def window_lcs(a: str, b: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of the longest common subsequence of a with b's starts of 0 to n letters, its windows of n = len(a), and its ends of n to 0; n <= len(b).
+
+    One pass combs the grid of both texts: n strands enter from the left and one over each letter of
+    b, and two cross where letters agree, or where they have crossed before, which undoes it. Which
+    strands begin and end within a part of b tells that part's length, so all windows come of one
+    pass. Cells of a diagonal do not depend on each other and are done at once.
+    """
+    n, m = len(a), len(b)
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a[::-1], b))
+    side, top = np.arange(n), np.arange(n, n + m)
+    for d in range(n + m - 1):
+        lo, hi = max(0, d - m + 1), min(n - 1, d)
+        s, t = slice(n - 1 - hi, n - lo), slice(d - hi, d - lo + 1)
+        h, v = side[s], top[t]
+        cross = (x[s] == y[t]) | (h > v)
+        side[s], top[t] = np.where(cross, v, h), np.where(cross, h, v)
+    ends = np.empty(n + m, np.int64)  # where the strand that begins somewhere ends
+    ends[top], ends[side] = np.arange(m), np.arange(m, n + m)
+    ends = ends[n:]
+    starts = np.concatenate((top, side)) - n  # where the one that ends somewhere begins; negative on the left side
+    head = np.arange(n + 1) - np.concatenate(([0], np.cumsum(starts[:n] >= 0)))
+    tail = np.arange(n, -1, -1) - np.append(np.cumsum((ends[m - n :] < m)[::-1])[::-1], 0)
+    i = np.arange(m - n)
+    inside = n - head[n] + np.concatenate(([0], np.cumsum((starts[n:m] > i).astype(int) - (ends[: m - n] < i + n))))
+    return head, n - inside, tail
+
+
 def partial(a: str, b: str) -> float:
     """The best ratio of the shorter text with a window of the longer, windows at its ends included."""
     if not a or not b:
@@ -83,15 +111,10 @@ def partial(a: str, b: str) -> float:
         a, b = b, a
     if a in b:
         return 100.0
-    best, n, letters = 0.0, len(a), set(a)
-    for i in range(1 - n, len(b)):
-        lo, hi = max(i, 0), min(i + n, len(b))
-        # a window that ends with a letter the shorter text lacks is no better than the one before it,
-        # and a rest of the longer text that begins with one no better than the next
-        if b[hi - 1 if i + n <= len(b) else lo] in letters:
-            if 200.0 * min(n, hi - lo) / (n + hi - lo) > best:
-                best = max(best, ratio(a, b[lo:hi]))
-    return best
+    n = len(a)
+    head, windows, tail = window_lcs(a, b)
+    at_ends = np.maximum(head, tail[::-1]) * 200.0 / (n + np.arange(n + 1))
+    return float(max(windows.max() * 200.0 / (2 * n), at_ends.max()))
 
 
 def token_sort(a: str, b: str) -> float:

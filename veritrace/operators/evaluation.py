@@ -5,13 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritrace.functions import columns as C
 from veritrace.functions import fixed, fuzzy
 from veritrace.operators.blocks import meet, unit, vectors
 from veritrace.operators.ranking import first_rows
+from veritrace.operators.scan import percentiles, running
 
 
 def _best_of(left: DataFrame, right: DataFrame, by: str, a: str, b: str) -> DataFrame:
@@ -43,21 +43,40 @@ def best_truths(truth: DataFrame, predicted: DataFrame, by: str, threshold: floa
     return best.select(by, "pred_id", "truth_id", (F.col("score") >= threshold).alias("matched"))
 
 
-def lexical_matches(truth: DataFrame, predicted: DataFrame, threshold: float, by: str = "run_id") -> DataFrame:
+def _lexical_pairs(truth: DataFrame, predicted: DataFrame, threshold: float, by: str) -> DataFrame:
+    """(by, truth_id, pred_id, score) of the pairs of a run that share a word or a source's host, which is worth the threshold at least."""
+    word = lambda df, c: df.select(by, c, F.explode(F.array_distinct(F.split(C.normalize_text("text"), " "))).alias("word")).where("word <> ''")
+    pairs = word(truth, "truth_id").join(word(predicted, "pred_id"), [by, "word"]).select(by, "truth_id", "pred_id")
+    same = F.lit(False)
+    if "source_url" in truth.columns and "source_url" in predicted.columns:
+        site = lambda df, c: df.select(by, c, C.display_host("source_url").alias("host")).where("host <> ''")
+        pairs = pairs.union(site(truth, "truth_id").join(site(predicted, "pred_id"), [by, "host"]).select(by, "truth_id", "pred_id"))
+        same = F.coalesce((C.display_host("_tu") == C.display_host("_pu")) & (C.display_host("_tu") != ""), F.lit(False))
+    t, p = ({"text": f"_{x}", "source_url": f"_{x}u"} for x in "tp")
+    j = pairs.distinct().join(truth.withColumnsRenamed(t), [by, "truth_id"]).join(predicted.withColumnsRenamed(p), [by, "pred_id"])
+    score = fuzzy.match_score("_p", "_t")
+    return j.select(by, "truth_id", "pred_id", F.when(same, F.greatest(score, F.lit(threshold))).otherwise(score).alias("score"))
+
+
+def lexical_matches(truth: DataFrame, predicted: DataFrame, threshold: float = fixed.MATCH_LEXICAL, by: str = "run_id") -> DataFrame:
     """(by, truth_id, pred_id, score, found): for each truth the prediction of best lexical score, the first of equals.
 
-    truth (by, truth_id, text), predicted (by, pred_id, text); they meet by a shared key word of the
-    run, without which no score counts; a truth without one is not found.
+    truth (by, truth_id, text), predicted (by, pred_id, text), both perhaps with source_url. They meet
+    within a run by any word that they share, or by the host of their source, which counts as a match.
+    Texts without a word in common are compared with nothing: their score is 0.
     """
-    word = lambda df, c: df.select(by, c, F.explode(C.key_tokens("text")).alias("word"))
-    pairs = word(truth, "truth_id").join(word(predicted, "pred_id"), [by, "word"]).select(by, "truth_id", "pred_id").distinct()
-    j = pairs.join(truth.withColumnRenamed("text", "_t"), [by, "truth_id"]).join(predicted.withColumnRenamed("text", "_p"), [by, "pred_id"])
-    j = j.withColumn("score", fuzzy.match_score("_p", "_t")).select(by, "truth_id", "pred_id", "score")
-    top = first_rows(j, [by, "truth_id"], [F.col("score").desc(), F.col("pred_id").asc()], 1)
+    top = first_rows(_lexical_pairs(truth, predicted, threshold, by), [by, "truth_id"], [F.col("score").desc(), F.col("pred_id").asc()], 1)
     out = truth.select(by, "truth_id").join(top, [by, "truth_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return out.withColumn("found", F.col("score") >= threshold)
 
 
+def lexical_truths(truth: DataFrame, predicted: DataFrame, threshold: float = fixed.MATCH_LEXICAL, by: str = "run_id") -> DataFrame:
+    """(by, pred_id, truth_id, matched): for each prediction the truth of best lexical score, the first of equals, null below the threshold."""
+    top = first_rows(_lexical_pairs(truth, predicted, threshold, by), [by, "pred_id"], [F.col("score").desc(), F.col("truth_id").asc()], 1)
+    out = predicted.select(by, "pred_id").join(top.where(F.col("score") >= threshold).select(by, "pred_id", "truth_id"), [by, "pred_id"], "left")
+    return out.withColumn("matched", F.col("truth_id").isNotNull())
+
+
 def extraction_checks(signals: DataFrame) -> DataFrame:
     """signals (snippet, claim, body, traps array) with `verbatim`, whether the snippet stands in the body, `trap`, whether a trap stands in snippet or claim, and `ok`.
 
@@ -132,15 +151,15 @@ def dedup_stats(signals: DataFrame, *by: str) -> DataFrame:
 
 
 def latency_percentiles(rows: DataFrame, by: list[str], seconds: str) -> DataFrame:
-    """(*by, p50, p95, n) of positive values, linearly interpolated."""
-    v = rows.where(F.col(seconds) > 0)
-    return v.groupBy(*by).agg(F.round(F.percentile(seconds, F.lit(0.5)), 1).alias("p50"), F.round(F.percentile(seconds, F.lit(0.95)), 1).alias("p95"), F.count("*").alias("n"))
+    """(*by, p50, p95, n) of positive values, exact and linearly interpolated, by selection."""
+    p = percentiles(rows.where(F.col(seconds) > 0), by, seconds, [0.5, 0.95])
+    of = lambda q: F.round(F.max(F.when(F.col("q") == q, F.col("percentile"))), 1)
+    return p.groupBy(*by).agg(of(0.5).alias("p50"), of(0.95).alias("p95"), F.first("n").alias("n"))
 
 
 def average_precision(ranked: DataFrame, by: list[str], order: list[str], relevant: str) -> DataFrame:
     """(*by, ap): the mean over hits of the precision at each; 0 without a hit."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    r = ranked.withColumns({"_hits": F.sum(F.col(relevant).cast("int")).over(w), "_k": F.count("*").over(w)})
+    r = running(ranked, by, order, {"_hits": F.col(relevant).cast("int")}, "_k")
     return r.groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col(relevant), F.col("_hits") / F.col("_k"))), F.lit(0.0)).alias("ap"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veritrace.functions import columns as C
 from veritrace.functions import fixed
+from veritrace.operators.scan import running
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int | Column, rank: str = "_r") -> DataFrame:
@@ -69,8 +70,7 @@ def running_max(df: DataFrame, by: str, order: list[str], column: str, out: str)
 
 def guardrail_trip(calls: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Running calls and cost of each run and whether a limit is met; rows have cost_usd."""
-    w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = calls.withColumns({"calls": F.count("*").over(w), "cost": F.sum("cost_usd").over(w)})
+    out = running(calls, [by], order, {"cost": F.col("cost_usd")}, "calls")
     return out.withColumn("halted", C.guardrail_exceeded("calls", "cost", F.lit(0.0)))
 
 

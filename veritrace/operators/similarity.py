@@ -102,11 +102,25 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
 
 
 def consistency(runs: DataFrame, subject: str, run: str, keys: str) -> DataFrame:
-    """(subject, pairs, mean_jaccard, min_jaccard) over all pairs of runs of a subject; null for fewer than two."""
-    a, b = runs.select(F.col(subject), F.col(run).alias("ra"), F.col(keys).alias("ka")), runs.select(F.col(subject).alias("s2"), F.col(run).alias("rb"), F.col(keys).alias("kb"))
-    j = a.join(b, (F.col(subject) == F.col("s2")) & (F.col("ra") < F.col("rb"))).withColumn("j", C.jaccard("ka", "kb"))
-    facts = j.groupBy(subject).agg(F.count("*").alias("pairs"), F.avg("j").alias("mean_jaccard"), F.min("j").alias("min_jaccard"))
-    return runs.select(subject).distinct().join(facts, subject, "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
+    """(subject, pairs, mean_jaccard, min_jaccard) over all pairs of runs of a subject; null for fewer than two.
+
+    Runs meet in the inverted lists of their keys: a pair is a row for each key that both have, and
+    one that shares none is no row, as its 0 follows from the number of pairs. Two empty runs are alike.
+    """
+    own = runs.select(F.col(subject).alias("s"), F.col(run).alias("r"), F.array_distinct(F.coalesce(keys, F.array().cast(runs.schema[keys].dataType))).alias("k"))
+    own = own.withColumn("size", F.size("k"))
+    n = own.groupBy("s").agg(F.count("*").alias("runs"), F.count_if(F.col("size") == 0).alias("empty"))
+    lists = own.select("s", F.struct("r", "size").alias("x"), F.explode("k").alias("key")).groupBy("s", "key").agg(F.array_sort(F.collect_list("x")).alias("x")).where(F.size("x") > 1)
+    after = lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    both = lists.select("s", F.explode(F.flatten(F.transform("x", after))).alias("p")).groupBy("s", "p").agg(F.count("*").alias("common"))
+    j = both.select("s", (F.col("common") / (F.col("p.a.size") + F.col("p.b.size") - F.col("common"))).alias("j"))
+    met = j.groupBy("s").agg(F.count("*").alias("met"), F.sum("j").alias("total"), F.min("j").alias("least"))
+    two = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    alike = two("empty")  # pairs of empty runs
+    some = F.coalesce("met", F.lit(0)) + alike
+    least = F.when(some < F.col("pairs"), 0.0).otherwise(F.coalesce("least", F.lit(1.0)))
+    out = n.withColumn("pairs", two("runs").cast("long")).join(met.withColumnRenamed("s", "_s"), F.col("s") == F.col("_s"), "left")
+    return out.select(F.col("s").alias(subject), "pairs", F.when(F.col("pairs") > 0, (F.coalesce("total", F.lit(0.0)) + alike) / F.col("pairs")).alias("mean_jaccard"), F.when(F.col("pairs") > 0, least).alias("min_jaccard"))
 
 
 def fingerprint_key(text: Column | str, matched: Column | None = None) -> Column:

@@ -600,7 +600,7 @@ def company_aggregate(spark, d):
 @query("""with b as (select (event_id % 4)::int x, (value / 25)::int % 4 y from events) select count(*) n, round(avg((x = y)::int), 6) exact, round(avg((abs(x - y) <= 1)::int), 6) within_one from b""")
 def sufficiency_bands(spark, d):
     names = F.array(*map(F.lit, sorted(fixed.SUFFICIENCY_RANK, key=fixed.SUFFICIENCY_RANK.get)))
-    e = read(spark, d, "events").select(F.get(names, (F.col("event_id") % 4).cast("int")).alias("x"), F.get(names, (F.round(F.col("value") / 25).cast("int") % 4)).alias("y"))
+    e = read(spark, d, "events").select(F.get(names, (F.col("event_id") % 4).cast("int")).alias("x"), F.get(names, (F.bround(F.col("value") / 25).cast("int") % 4)).alias("y"))
     out = evaluation.sufficiency_accuracy(e, "x", "y")
     return out.select("n", r6("exact").alias("exact"), r6("within_one").alias("within_one"))
 
@@ -670,10 +670,10 @@ def registry_documents(spark, d):
 
 @query()
 def lexical_match(spark, d):
-    """For each question of a conversation the answer of most words in common."""
+    """For each question of a conversation the answer of best lexical score."""
     c = read(spark, d, "conversations").withColumn("run_id", F.col("conv_id"))
     t, p = c.where("role = 'user'").select("run_id", F.col("turn").alias("truth_id"), "text"), c.where("role <> 'user'").select("run_id", F.col("turn").alias("pred_id"), "text")
-    return evaluation.lexical_matches(t, p, 70.0)
+    return evaluation.lexical_matches(t, p)
 
 
 @query()
