@@ -37,21 +37,6 @@ def meet(left: DataFrame, right: DataFrame, compare: Callable[[pd.DataFrame, pd.
     return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(run, schema)
 
 
-def meet_itself(rows: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """As meet, for the pairs of one table: every two blocks once; compare is told whether both sides are the same block."""
-    n = 1 + rows.count() // block
-    x = rows.withColumn("_b", F.pmod(F.xxhash64(*rows.columns), F.lit(n)).cast("int"))
-    left = x.withColumnRenamed("_b", "_i").withColumn("_j", F.explode(F.sequence(F.col("_i"), F.lit(n - 1))))
-    right = _fresh(x).withColumnRenamed("_b", "_j").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j"))))
-
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return compare(a, b, key[-2] == key[-1])[names] if len(a) and len(b) else pd.DataFrame(columns=names)
-
-    names = [x.split()[0] for x in schema.split(", ")]
-    keys = [*by, "_i", "_j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
-
-
 def vectors(column: pd.Series) -> np.ndarray:
     """Rows of equal length in double precision."""
     return np.stack([np.asarray(x, np.float64) for x in column])

@@ -1,7 +1,7 @@
 """Similarity joins, clusters of near-duplicates, nearest neighbours and set similarity.
 
-Vectors of one group are compared block by block (operators/blocks.py); other pairwise joins have an
-equality in front. Clusters come from min-label propagation.
+Vectors of one group meet in cells around pivots (operators/cells.py); other pairwise joins have an
+equality in front, or deal a stated set into blocks. Clusters come from min-label propagation.
 """
 
 from __future__ import annotations
@@ -14,33 +14,62 @@ from pyspark.sql import functions as F
 
 from veritrace.functions import columns as C
 from veritrace.functions import fixed
-from veritrace.operators.blocks import meet, meet_itself, unit, vectors
+from veritrace.operators.blocks import meet, vectors
+from veritrace.operators.cells import near_pairs
 from veritrace.operators.graph import connected_components
+from veritrace.storage import materialize
 
 
 def _prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select(*(F.col(c).alias(p + c) for c in df.columns))
 
 
-def similar_pairs(rows: DataFrame, by: str | list[str], ident: str, vector: str, threshold: float = fixed.DEDUP_COSINE) -> DataFrame:
-    """(a, b, sim): pairs of one group with a < b and at least that cosine; rows without a vector have no partner.
+def _nodes(rows: DataFrame, by: str | list[str], ident: str, vector: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(nodes, copies): a node (g, id, v) for each vector of a group, named by the smallest identifier that has it, and (node, id) of the others.
 
-    Groups are compared in blocks, so a group of any size is many tasks.
+    Vectors that are null or hold null or non-finite values have no partner, nor have zero vectors at
+    a threshold above 0; vectors of different lengths do not meet.
     """
     by = [by] if isinstance(by, str) else by
-    kind = rows.schema[ident].dataType.simpleString()
-    v = rows.where(F.col(vector).isNotNull()).select(F.xxhash64(*by).alias("g"), F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    v = rows.where(F.col(vector).isNotNull()).select(F.xxhash64(*by, F.size(vector)).alias("g"), F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    v = materialize(v.where(F.exists("v", lambda x: x != 0)) if threshold > 0 else v, "vectors")
+    nodes = materialize(v.groupBy("g", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "nodes")
+    shared = nodes.where("n > 1").select("g", "v", F.col("id").alias("node"))
+    copies = v.join(shared, ["g", "v"]).where("id <> node").select("node", "id").distinct()
+    return nodes.select("g", "id", "v"), materialize(copies, "copies")
+
+
+def similar_pairs(rows: DataFrame, by: str | list[str], ident: str, vector: str, threshold: float = fixed.DEDUP_COSINE) -> DataFrame:
+    """(a, b, sim): pairs of one group with a < b and at least that cosine; identifiers are unique.
+
+    Different vectors meet in cells (operators/cells.py); the pairs of their copies follow from theirs.
+    """
+    nodes, copies = _nodes(rows, by, ident, vector, threshold)
+    pairs = near_pairs(nodes, threshold)
+    if copies.isEmpty():
+        return pairs
+    pairs = materialize(pairs, "pairs")
+    zero = nodes.where(~F.exists("v", lambda x: x != 0)).select(F.col("id").alias("node"), F.lit(0.0).alias("s"))
+    member = copies.union(copies.select("node", F.col("node").alias("id")).distinct())
+
+    def spread(p: DataFrame, end: str) -> DataFrame:
+        """p with the copies of one end beside it."""
+        j = p.join(member, p[end] == member["node"], "left")
+        return j.withColumn(end, F.coalesce("id", end)).drop("node", "id")
+
+    met = spread(spread(pairs, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+    one, two = member.withColumnRenamed("id", "a"), member.select("node", F.col("id").alias("b"))
+    same = one.join(two, "node").where("a < b").join(zero, "node", "left").select("a", "b", F.coalesce("s", F.lit(1.0)).alias("sim"))
+    return met.union(same.where(F.col("sim") >= threshold))
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        x, y = unit(vectors(left["v"])), unit(vectors(right["v"]))
-        sim = x @ y.T
-        i, j = np.nonzero(sim >= threshold)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = a < b if same else a != b
-        a, b, sim = a[keep], b[keep], sim[i, j][keep]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim})
 
-    return meet_itself(v, compare, f"a {kind}, b {kind}, sim double", ("g",))
+def similar_links(rows: DataFrame, by: str | list[str], ident: str, vector: str, threshold: float = fixed.DEDUP_COSINE) -> DataFrame:
+    """(a, b) that connect what similar_pairs connects, with one link for each copy of a vector instead of all pairs of copies; the threshold is above 0."""
+    if threshold <= 0:
+        raise ValueError("links need a threshold above 0")
+    nodes, copies = _nodes(rows, by, ident, vector, threshold)
+    return near_pairs(nodes, threshold).select("a", "b").union(copies.select(F.col("node").alias("a"), F.col("id").alias("b")))
 
 
 def clusters(rows: DataFrame, ident: str, pairs: DataFrame) -> DataFrame:
@@ -54,7 +83,7 @@ def deduplicate(signals: DataFrame, by: list[str], vector: str, threshold: float
 
     signals have ord, id, source_url, source_credibility, confidence_score. Singletons stay as they are, with one source.
     """
-    member = clusters(signals, "ord", similar_pairs(signals, by, "ord", vector, threshold))
+    member = clusters(signals, "ord", similar_links(signals, by, "ord", vector, threshold))
     best = W.partitionBy("cluster").orderBy(F.col("source_credibility").desc(), F.col("confidence_score").desc(), F.col("ord").asc())
     member = member.withColumns({"_r": F.row_number().over(best), "_d": C.registrable_domain("source_url")})
     facts = member.groupBy("cluster").agg(
