@@ -2,7 +2,7 @@
 
 Both sides are dealt by hash into blocks of a bounded number of rows; every two blocks that may hold
 partners meet once, in a task of their own, where numpy compares them. The number of blocks follows
-from the tables' sizes, so more rows are more tasks, not larger ones.
+from the tables' sizes, or each group's, so more rows are more tasks, not larger ones.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritrace.storage import materialize
+
 #: Rows of a block.
 BLOCK = 2_000
+#: Rows of a table of groups, narrow rows, that may be broadcast.
+FEW = 100_000
 
 
 def _fresh(df: DataFrame) -> DataFrame:
@@ -25,9 +29,17 @@ def _fresh(df: DataFrame) -> DataFrame:
 
 def meet(left: DataFrame, right: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """The rows that compare(left rows, right rows) gives for every two blocks of equal `by`; empty sides meet nothing."""
-    m, n = (1 + df.count() // block for df in (left, right))
-    x = left.withColumn("_i", F.pmod(F.xxhash64(*left.columns), F.lit(m)).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    y = _fresh(right).withColumn("_j", F.pmod(F.xxhash64(*right.columns), F.lit(n)).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    number = lambda c: (1 + F.floor((c - 1) / block)).cast("int")
+    if by:  # a group's blocks follow from its own rows on either side; groups that one side lacks, or null, meet nothing
+        sizes = left.groupBy(*by).agg(number(F.count("*")).alias("_m")).join(right.groupBy(*by).agg(number(F.count("*")).alias("_n")), [*by])
+        sizes = materialize(sizes, "sizes")
+        few = F.broadcast(sizes) if sizes.count() <= FEW else sizes
+        x, y = left.join(few, [*by]), _fresh(right.join(few, [*by]))
+    else:
+        m, n = (1 + df.count() // block for df in (left, right))
+        x, y = (df.withColumns({"_m": F.lit(m).cast("int"), "_n": F.lit(n).cast("int")}) for df in (left, _fresh(right)))
+    x = x.withColumn("_i", F.pmod(F.xxhash64(*left.columns), "_m").cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    y = y.withColumn("_j", F.pmod(F.xxhash64(*right.columns), "_n").cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return compare(a, b)[names] if len(a) and len(b) else pd.DataFrame(columns=names)

@@ -17,13 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrace.operators.blocks import unit, vectors
+from veritrace.operators.blocks import FEW, unit, vectors
 from veritrace.storage import materialize
 
 #: Rows of a cell that is not cut, and of a block of a larger one; pivots of a cut; share of a cell's pairs that its parts may have.
 CELL, PIVOTS, GAIN = 2_000, 256, 0.7
-#: Rows of a table of cells, narrow rows, that may be broadcast.
-FEW = 100_000
+#: Guests that a cut may make for each row of a cell: at least, at most, and between them no more than blocks would copy it.
+GUESTS = 4, 32
 #: Slack of the bounds against rounding.
 EPS = 1e-6
 
@@ -71,28 +71,45 @@ def _radii(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g": y["g"].to_numpy()[at], "path": y["path"].to_numpy()[at], "k": y["k"].to_numpy()[at], "least": least[at]})
 
 
+def _go(x: pd.DataFrame, y: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For rows x and pivots y in order: the nearest pivot, and whom each row may have to visit."""
+    s, p = _near(x, y)
+    n, home = np.arange(len(x)), s.argmax(axis=1)
+    apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 1e-300))
+    plane = (s[n, home][:, None] - s) / apart[home] <= np.sqrt(1 - threshold * threshold) + EPS
+    radius = np.arccos(np.clip(y["least"].to_numpy(float), -1, 1))
+    ball = np.arccos(np.clip(s, -1, 1)) <= radius[None, :] + np.arccos(threshold) + EPS
+    return home, plane & ball & (x["guest"].to_numpy(bool)[:, None] | (np.arange(len(y))[None, :] > home[:, None]))
+
+
+def _count(threshold: float):
+    """(g, path, k, h, q): how many rows would be at home with each pivot, and guests there."""
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame(columns=["g", "path", "k", "h", "q"])
+        y = y.sort_values("k")
+        home, go = _go(x, y, threshold)
+        h = np.bincount(home[~x["guest"].to_numpy(bool)], minlength=len(y))
+        return y[["g", "path", "k"]].assign(h=h, q=go.sum(axis=0))
+
+    return run
+
+
 def _route(threshold: float):
     """Where rows go: (g, path, id, v, guest, k)."""
-    angle, sine = np.arccos(threshold), np.sqrt(1 - threshold * threshold)
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         names = ["g", "path", "id", "v", "guest", "k"]
         if not len(x) or not len(y):
             return pd.DataFrame(columns=names)
         y = y.sort_values("k")
-        s, p = _near(x, y)
-        n, guest, home = np.arange(len(x)), x["guest"].to_numpy(bool), s.argmax(axis=1)
-        apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 1e-300))
-        plane = (s[n, home][:, None] - s) / apart[home] <= sine + EPS
-        radius = np.arccos(np.clip(y["least"].to_numpy(float), -1, 1))
-        ball = np.arccos(np.clip(s, -1, 1)) <= radius[None, :] + angle + EPS
-        go = plane & ball & (guest[:, None] | (np.arange(len(y))[None, :] > home[:, None]))
+        home, go = _go(x, y, threshold)
+        own = np.flatnonzero(~x["guest"].to_numpy(bool))
         i, j = np.nonzero(go)
-        own = n[~guest]
-        at, to = np.concatenate((own, i)), np.concatenate((home[own], j))
-        out = x.iloc[at][["g", "path", "id", "v"]].reset_index(drop=True)
+        out = x.iloc[np.concatenate((own, i))][["g", "path", "id", "v"]].reset_index(drop=True)
         out["guest"] = np.concatenate((np.zeros(len(own), bool), np.ones(len(i), bool)))
-        out["k"] = y["k"].to_numpy()[to]
+        out["k"] = y["k"].to_numpy()[np.concatenate((home[own], j))]
         return out[names]
 
     return run
@@ -120,12 +137,19 @@ def cut(rows: DataFrame, threshold: float, cell: int = CELL, pivots: int = PIVOT
         keys = [*KEY, "s"]
         radii = large.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_radii, "g long, path string, k int, least double")
         sent = p.join(radii.groupBy(*KEY, "k").agg(F.min("least").alias("least")), [*KEY, "k"]).join(tasks, KEY)
-        parts = materialize(large.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_route(threshold), schema), "parts")
-        # only cuts that save enough pairs count, and guests whom nobody awaits are left out
-        inner = _sizes(parts, [*KEY, "k"]).where("h > 0")
-        saved = inner.groupBy(*KEY).agg(F.sum(_pairs("h", "q")).alias("_in")).join(big, KEY).where(F.col("_in") <= GAIN * _pairs("h", "q"))
+        # only cuts that save enough pairs at the price of few guests are made: their parts are counted first
+        counted = large.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_count(threshold), "g long, path string, k int, h long, q long")
+        inner = materialize(counted.groupBy(*KEY, "k").agg(F.sum("h").alias("h"), F.sum("q").alias("q")).where("h > 0"), "inner")
+        total = inner.groupBy(*KEY).agg(F.sum(_pairs("h", "q")).alias("_in"), F.sum("q").alias("_q"))
+        all_ = F.col("h") + F.col("q")
+        saved = total.join(big, KEY).where((F.col("_in") <= GAIN * _pairs("h", "q")) & (F.col("_q") <= all_ * F.greatest(F.lit(GUESTS[0]), F.least(F.lit(GUESTS[1]), all_ / cell))))
         saved = materialize(saved.select(*KEY), "saved")
-        done.append(large.join(F.broadcast(saved) if saved.count() <= FEW else saved, KEY, "left_anti").select(rest.columns))
+        few = F.broadcast(saved) if saved.count() <= FEW else saved
+        done.append(large.join(few, KEY, "left_anti").select(rest.columns))
+        if saved.isEmpty():
+            break
+        parts = large.join(few, KEY).groupBy(*keys).cogroup(sent.join(saved, KEY).groupBy(*keys)).applyInPandas(_route(threshold), schema)
+        parts = materialize(parts, "parts")
         alive = inner.where("h > 1 or q > 0").join(saved, KEY).select(*KEY, "k")
         rest = _beside(parts, alive, [*KEY, "k"]).select("g", F.concat("path", F.col("k").cast("string"), F.lit("/")).alias("path"), "id", "v", "guest")
         rest, level = materialize(rest, "cells"), level + 1
