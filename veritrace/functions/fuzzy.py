@@ -121,8 +121,8 @@ def token_sort(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
-def best_token_sort(names: list[str], titles: list[str], cutoff: float) -> list[tuple[int, int, float]]:
-    """(name, title, score): the first title of best token-sort ratio for each name that has one of at least cutoff.
+def best_token_sort(names: list[str], titles: list[str], cutoff: float | list[float]) -> list[tuple[int, int, float]]:
+    """(name, title, score): the first title of best token-sort ratio for each name that has one of at least cutoff, or of the name's own.
 
     No ratio exceeds that of the letters two texts have in common, so others are not compared.
     """
@@ -137,7 +137,7 @@ def best_token_sort(names: list[str], titles: list[str], cutoff: float) -> list[
     for i, x in enumerate(a):
         both = np.minimum(held[i], held[len(a) :]).sum(axis=1)
         most = 200.0 * both / np.maximum(size[i] + size[len(a) :], 1)
-        best, at = cutoff, -1
+        best, at = cutoff if isinstance(cutoff, float) else cutoff[i], -1
         for k in np.argsort(-most, kind="stable").tolist():
             if most[k] < best:
                 break

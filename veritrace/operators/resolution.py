@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from veritrace.functions import columns as C
 from veritrace.functions import fuzzy
+from veritrace.operators.blocks import meet
 from veritrace.operators.ranking import first_rows
+from veritrace.storage import materialize
 
 
 def _first(*names: str, of: DataFrame) -> Column:
@@ -53,27 +55,67 @@ def resolve(names: DataFrame, hits: DataFrame, picks: DataFrame | None = None, r
     return out.withColumns({"canonical_name": F.coalesce("canonical_name", F.upper(F.trim(raw))), "status": status}).drop("_how")
 
 
-def match_filers(names: DataFrame, filers: DataFrame, raw: str = "raw", cutoff: float = 70.0, block: int = 2_000) -> DataFrame:
-    """(raw, cik, title, score): the filer of best token-sort ratio, if its first word is the name's; the first cik of equals.
-
-    The best of all filers counts, so one with another first word refuses the name. Names are a
-    stated set: they and the filers are dealt into blocks of about `block` rows, and two blocks meet
-    in one task, where only pairs that have letters enough in common are compared.
-    """
-    q = names.select(F.col(raw).cast("string").alias("raw"), C.filer_name(raw).alias("q")).where("q is not null").distinct()
-    f = filers.select(F.col("cik").cast("string").alias("cik"), C.filer_name("title").alias("title")).where("title is not null")
-    m, n = (1 + df.count() // block for df in (q, f))
-    q = q.withColumn("i", F.pmod(F.xxhash64("raw"), F.lit(m)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    f = f.withColumn("j", F.pmod(F.xxhash64("cik", "title"), F.lit(n)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+def _best(names: DataFrame, filers: DataFrame, key: str, block: int) -> DataFrame:
+    """(raw, q, cik, title, score): the best filer of each name (raw, q, least) among those of its keys, if it reaches least."""
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values(["cik", "title"])
-        rows = fuzzy.best_token_sort(left["q"].tolist(), right["title"].tolist(), cutoff)
+        rows = fuzzy.best_token_sort(left["q"].tolist(), right["title"].tolist(), left["least"].astype(float).tolist())
         return pd.DataFrame([(left["raw"].iat[i], left["q"].iat[i], right["cik"].iat[k], right["title"].iat[k], s) for i, k, s in rows], columns=["raw", "q", "cik", "title", "score"])
 
-    found = q.groupBy("i", "j").cogroup(f.groupBy("i", "j")).applyInPandas(best, "raw string, q string, cik string, title string, score double")
-    top = first_rows(found, ["raw"], [F.col("score").desc(), F.col("cik").asc()], 1)
-    return top.where(F.substring_index("q", " ", 1) == F.substring_index("title", " ", 1)).select(F.col("raw").alias(raw), C.pad_cik("cik").alias("cik"), "title", "score")
+    return meet(names.select("raw", "q", "least", key), filers.select("cik", "title", key), best, "raw string, q string, cik string, title string, score double", (key,), block)
+
+
+def _sorted_words(x: str) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")), " ")
+
+
+def _grams(own: Column) -> Column:
+    """All pairs of neighbouring letters, repeats included."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(own) - 1)), lambda i: F.substring(own, i, F.lit(2)))
+
+
+def rival_keys(names: DataFrame, filers: DataFrame) -> DataFrame:
+    """(raw, q, least, gram): pairs of letters of which every filer whose token-sort ratio reaches least has one; a null gram where no such set exists.
+
+    With c = least / 200, letters a of the name and b of the filer, c (a + b) letters are common to
+    both in order. Each letter left out or put in breaks at most two or one of the name's pairs, so
+    (3 c - 1) (a + b) - 1 of them stand in the filer's name, and one of those stands among all but
+    so many less one. The rarest are taken. b is c a / (1 - c) at least.
+    """
+    own = _sorted_words("q")
+    a, c = F.length("own"), F.col("least") / 200
+    shared = F.ceil((3 * c - 1) * (a + F.ceil(c * a / (1 - c) - 1e-9)) - 1 - 1e-9)
+    n = names.withColumn("own", own).withColumn("take", F.when((c < 1) & (c > 1 / 3) & (a > 1) & (shared >= 1), F.least(a - 1, a - shared)))
+    n = n.withColumn("take", F.when(a > 1, F.col("take")))
+    count = filers.select(F.explode(F.array_distinct(_grams(_sorted_words("title")))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    each = n.where("take is not null").select("raw", "q", "least", "take", F.explode(_grams(F.col("own"))).alias("gram")).join(count, "gram", "left")
+    rare = first_rows(each.withColumn("n", F.coalesce("n", F.lit(0))), ["raw"], [F.col("n"), F.col("gram")], F.col("take"))
+    return rare.select("raw", "q", "least", "gram").distinct().union(n.where("take is null").select("raw", "q", "least", F.lit(None).cast("string")))
+
+
+def match_filers(names: DataFrame, filers: DataFrame, raw: str = "raw", cutoff: float = 70.0, block: int = 2_000) -> DataFrame:
+    """(raw, cik, title, score): the filer of best token-sort ratio, if its first word is the name's; the first cik of equals.
+
+    The best of all filers counts, so one with another first word refuses the name. Filers with the
+    name's first word come first, by an equality; a name that none of them matches is refused
+    whatever the others are. Against the score so found the rivals are sought, by pairs of letters
+    of which a filer must have one to reach it (rival_keys); only names whose score is too low for
+    such a set meet all filers. Rows of one key are dealt into blocks of about `block`.
+    """
+    q = names.select(F.col(raw).cast("string").alias("raw"), C.filer_name(raw).alias("q")).where("q is not null").distinct()
+    f = materialize(filers.select(F.col("cik").cast("string").alias("cik"), C.filer_name("title").alias("title")).where("title is not null").distinct(), "filers")
+    word = lambda x: F.substring_index(x, " ", 1)
+    own = materialize(_best(q.select("*", F.lit(float(cutoff)).alias("least"), word("q").alias("word")), f.withColumn("word", word("title")), "word", block), "own")
+    own = first_rows(own, ["raw"], [F.col("score").desc(), F.col("cik").asc(), F.col("title").asc()], 1)
+    keys = materialize(rival_keys(own.select("raw", "q", F.col("score").alias("least")), f), "keys")
+    held = f.withColumn("gram", F.explode(F.array_distinct(_grams(_sorted_words("title"))))).join(keys.select("gram").distinct(), "gram", "left_semi")
+    rivals = _best(keys.where("gram is not null"), held, "gram", block)
+    loose = keys.where("gram is null").withColumn("gram", F.lit(""))
+    if not loose.isEmpty():
+        rivals = rivals.union(_best(loose, f.withColumn("gram", F.lit("")), "gram", block))
+    top = first_rows(own.union(rivals), ["raw"], [F.col("score").desc(), F.col("cik").asc(), F.col("title").asc()], 1)
+    return top.where(word("q") == word("title")).select(F.col("raw").alias(raw), C.pad_cik("cik").alias("cik"), "title", "score")
 
 
 def enrich(entities: DataFrame, uk_hits: DataFrame, filers: DataFrame, raw: str = "raw") -> DataFrame:
