@@ -169,6 +169,11 @@ def test_markdown_chunks(spark, tmp_path):
     got = connectors.markdown_chunks(connectors.read_knowledge(spark, str(tmp_path))).orderBy("chunk").collect()
     assert [len(r["text"].split()) for r in got] == [3, 202, 202, 52, 3]
     assert got[0]["text"] == "[kb] intro words" and got[1]["text"].startswith("[kb] Cyber: w w") and got[-1]["text"] == "[kb] Last: end"
+    odd = spark.createDataFrame([("n", None), ("e", ""), ("b", " \t\n---\n# Only"), ("t", "\tone  two\r\nthree\rfour"), ("l", "x" * 1_000_000 + " y" * 401)], "source string, text string")
+    c = connectors.markdown_chunks(odd)
+    assert [(r["source"], r["chunk"], len(r["text"].split()) - 1) for r in c.orderBy("source", "chunk").collect()] == [("l", 0, 200), ("l", 1, 200), ("l", 2, 2), ("t", 0, 4)]
+    plan = c._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "ArrowEvalPythonUDTF" in plan
 
 
 def test_tables(spark, tmp_path):

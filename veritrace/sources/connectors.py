@@ -7,8 +7,10 @@ runs in tasks, one partition a request, with retries; a failure becomes a row wi
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -83,6 +85,81 @@ def connector(spark: SparkSession, name: str, fetch: Callable[[dict], object], w
     return lambda requests: spark.read.format(name).option("requests", json.dumps(requests)).load()
 
 
+#: Comparisons that a search takes, by the class of the filter: what it is called in the request, and what it means.
+COMPARED = {
+    "EqualTo": ("=", lambda x, v: x == v), "In": ("in", lambda x, v: x in v), "GreaterThan": (">", lambda x, v: x > v),
+    "GreaterThanOrEqual": (">=", lambda x, v: x >= v), "LessThan": ("<", lambda x, v: x < v), "LessThanOrEqual": ("<=", lambda x, v: x <= v),
+}
+
+
+def _typed(x: object, kind: str) -> object:
+    """A value of a JSON row as string, long, double or date; null where it is none."""
+    try:
+        return None if x is None else {"string": str, "long": int, "double": float, "date": lambda v: date.fromisoformat(str(v)[:10])}[kind](x)
+    except ValueError:
+        return None
+
+
+def searched(spark: SparkSession, name: str, fetch: Callable[[dict], object], columns: dict[str, str], wait: float = 1.0) -> Callable[[list[dict]], DataFrame]:
+    """As connector, for a service that can search: columns of its rows, of type string, long, double or date, can be compared in `where`.
+
+    What compares them with values goes into each request, as `filters` of column, comparison and
+    value, so the service sends less; rows that it sends all the same are left out here, and Spark
+    filters nothing again. As in any table, a row of an error has null columns and meets no
+    comparison. Pushing needs spark.sql.python.filterPushdown.enabled, here and in later scans; where
+    it is not set at this call, Spark filters.
+    """
+
+    class Reader(DataSourceReader):
+        def __init__(self, requests: list[dict]):
+            self.requests, self.pushed = requests, []
+
+        def pushFilters(self, filters):  # noqa: N802
+            for f in filters:
+                kind = type(f).__name__
+                if kind == "IsNotNull" and f.attribute[0] in columns:
+                    self.pushed.append((f.attribute[0], "filled", None))
+                elif kind in COMPARED and f.attribute[0] in columns:
+                    self.pushed.append((f.attribute[0], kind, f.value))
+                else:
+                    yield f
+
+        def partitions(self):
+            return [InputPartition(r) for r in self.requests]
+
+        def read(self, partition):
+            r = partition.value
+            told = json.dumps(r, sort_keys=True)
+            plain = lambda v: [plain(x) for x in v] if isinstance(v, list | tuple) else v.isoformat() if isinstance(v, date) else v
+            asked = [[c, COMPARED[k][0], plain(v)] for c, k, v in self.pushed if k != "filled"]
+            got = with_retries(fetch, {**r, "filters": asked} if asked else r, wait=wait)
+            if isinstance(got, dict) and "error" in got:
+                if not self.pushed:
+                    yield (told, 0, *(None for _ in columns), None, str(got["error"]), str(got.get("message", "")))
+                return
+            for i, x in enumerate(rows_of(got)):
+                own = {c: _typed(x.get(c), kind) if isinstance(x, dict) else None for c, kind in columns.items()}
+                if all(own[c] is not None and (k == "filled" or COMPARED[k][1](own[c], v)) for c, k, v in self.pushed):
+                    yield (told, i, *own.values(), json.dumps(x), None, None)
+
+    if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") != "true":
+        del Reader.pushFilters
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls):
+            return name
+
+        def schema(self):
+            return "request string, ord int, " + "".join(f"`{c}` {kind}, " for c, kind in columns.items()) + "payload string, error string, message string"
+
+        def reader(self, schema):
+            return Reader(json.loads(self.options["requests"]))
+
+    spark.dataSource.register(Source)
+    return lambda requests: spark.read.format(name).option("requests", json.dumps(requests)).load()
+
+
 def rows_of(got: object) -> list:
     """A list, or the first filled one of data, companies, results; anything else is a row of its own."""
     if isinstance(got, list):
@@ -246,23 +323,38 @@ def fan_in(entities: DataFrame, sources: dict[str, DataFrame], cap: int = fixed.
     return docs.drop("error"), status
 
 
+class _Chunks:
+    """The chunks of one markdown text, in one pass over its lines."""
+
+    def eval(self, text: str, words: int):
+        if text is None:
+            return
+        heading, held, n = "", [], 0
+        for line in [*re.split(r"\r\n|\n|\r", text), None]:
+            title = None if line is None else re.match(r"#{1,6}[ \t\x0b\f]+(.*)$", line.strip(" "))
+            if line is None or title:  # a section ends with the text or the next heading
+                if held:
+                    yield n, heading, " ".join(held)
+                    n, held = n + 1, []
+                heading = title[1].strip(" ") if title else ""
+            elif not re.match(r"-{3,}$", line.strip(" ")):
+                for w in re.split(r"[ \t\x0b\f]+", line):
+                    if w:
+                        held.append(w)
+                        if len(held) == words:
+                            yield n, heading, " ".join(held)
+                            n, held = n + 1, []
+
+
 def markdown_chunks(files: DataFrame, words: int = fixed.CHUNK_WORDS) -> DataFrame:
-    """(source, chunk, text) of whole markdown texts (source, text): windows of words under their heading, which is put before."""
-    lines = files.select("source", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("n", "line")).withColumn("line", F.trim("line"))
-    heading = F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1)
-    lines = lines.withColumns({"_is": F.col("line").rlike(r"^#{1,6}\s+(.*)$"), "_h": heading})
-    along = W.partitionBy("source").orderBy("n")
-    lines = lines.withColumn("section", F.sum(F.col("_is").cast("int")).over(along))
-    heads = lines.where("_is").select("source", "section", F.trim("_h").alias("heading"))
-    body = lines.where("not _is and line <> '' and not line rlike '^-{3,}$'")
-    w = body.select("source", "section", "n", F.posexplode(F.split("line", r"\s+")).alias("i", "word"))
-    w = w.withColumn("k", F.row_number().over(W.partitionBy("source", "section").orderBy("n", "i")) - 1)
-    w = w.withColumn("part", F.floor(F.col("k") / words))
-    t = w.groupBy("source", "section", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ").alias("body"))
-    t = t.join(heads, ["source", "section"], "left")
-    order = W.partitionBy("source").orderBy("section", "part")
-    context = F.when(F.coalesce("heading", F.lit("")) != "", F.concat("heading", F.lit(": "))).otherwise("")
-    return t.select("source", (F.row_number().over(order) - 1).alias("chunk"), F.concat(F.lit("["), F.col("source"), F.lit("] "), context, F.col("body")).alias("text"))
+    """(source, chunk, text) of whole markdown texts (source, text): windows of words under their heading, which is put before.
+
+    A table function beside each row, so texts are neither shuffled nor sorted; null and blank texts have no chunk.
+    """
+    chunks = F.udtf(_Chunks, returnType="chunk int, heading string, body string", useArrow=True)
+    t = files.select("source", "text").lateralJoin(chunks(F.col("text").outer(), F.lit(words)))
+    context = F.when(F.col("heading") != "", F.concat("heading", F.lit(": "))).otherwise("")
+    return t.select("source", "chunk", F.concat(F.lit("["), F.col("source"), F.lit("] "), context, F.col("body")).alias("text"))
 
 
 def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
