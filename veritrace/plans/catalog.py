@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from veritrace.functions import columns as C
 from veritrace.functions import fixed, fuzzy
-from veritrace.operators import evaluation, quotes, ranking, reports, resolution, review, scoring, similarity
+from veritrace.operators import evaluation, index, quotes, ranking, reports, resolution, review, scoring, similarity
 from veritrace.plans import pipeline as whole
 from veritrace.plans.inputs import NORM, RANK, SIGNALS, TODAY, WEIGHT, read, signals
 from veritrace.sources import connectors, tables
+from veritrace.storage import shared_dir
 from veritrace.streaming import runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -377,6 +378,16 @@ def kb_top3(spark, d):
     return similarity.nearest(q, i).withColumn("sim", r6("sim"))
 
 
+@query("""with q as (select vec_id query, embedding::double[] v from embeddings where vec_id % 20 = 0), i as (select vec_id item, embedding::double[] v from embeddings),
+s as (select query, item, round(list_dot_product(q.v, i.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(i.v, i.v))), 9) sim from q, i where list_dot_product(q.v, q.v) > 0 and list_dot_product(i.v, i.v) > 0),
+r as (select *, row_number() over (partition by query order by sim desc, item) rank from s) select query, item, round(sim, 6) sim, rank::int rank from r where rank <= 3""")
+def kb_index_top3(spark, d):
+    """As kb_top3 by cosine, through the index on disk: written if the table is new or has changed, then read back and probed."""
+    e = read(spark, d, "embeddings")
+    i = index.open_or_build(e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), f"{shared_dir(spark)}/knowledge_index")
+    return i.search(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))).withColumn("sim", r6("sim"))
+
+
 @query("""with n as (select vec_id, vec_id % 10 run_id, label, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) norm, case vec_id % 3 when 0 then 'POSITIVE' when 1 then 'NEGATIVE' else 'NEUTRAL' end pol from embeddings),
 p as (select a.run_id, a.vec_id a, b.vec_id b, list_dot_product(a.v, b.v) / (a.norm * b.norm) sim, a.label = b.label and ((a.pol = 'POSITIVE' and b.pol = 'NEGATIVE') or (a.pol = 'NEGATIVE' and b.pol = 'POSITIVE')) opposed from n a join n b on a.run_id = b.run_id and a.vec_id < b.vec_id),
 r as (select *, row_number() over (partition by run_id order by sim desc, a desc, b desc) rank from p where opposed or sim >= 0.5) select run_id, a, b, round(sim, 6) sim, rank::int rank from r where rank <= 5""")
@@ -760,10 +771,12 @@ def event_sessions(spark, d):
 
 @query()
 def pipeline_end_to_end(spark, d):
-    """Reports of a run for each source of documents, by the rule provider and the hashing embedder."""
+    """Reports of a run for each source of documents, by the rule provider and the hashing embedder, graded by the benchmark's passages."""
     docs = read(spark, d, "documents").select(
         "doc_id", F.col("source").alias("run_id"), F.col("source").alias("entity_name"), F.concat(F.lit("https://"), F.col("lang"), F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("source_url"),
         F.when(F.col("lang") == "en", "NEWS_ARTICLE").when(F.col("lang") == "de", "COURT_RECORD").otherwise("COMPANY_WEBSITE").alias("source_type"), "text",
     )
-    r = whole.run(spark, docs, TODAY)["reports"]
-    return r.select("run_id", "tier", "overall", "summary", "signals_extracted", "signals_rejected", F.to_json("category_scores").alias("category_scores"))
+    rubric = read(spark, d, "benchmark").select(F.format_string("item%d", "item_id").alias("source"), "text")
+    r = whole.run(spark, docs, TODAY, knowledge=whole.knowledge_pieces(rubric))["reports"]
+    text = [F.to_json(c).alias(c) for c in ("category_scores", "sections", "actions", "sources")]
+    return r.select("run_id", "tier", "overall", "summary", "strengths", "signals_extracted", "signals_rejected", *text)
