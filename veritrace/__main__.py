@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veritrace.operators import reports
 from veritrace.plans import pipeline
+from veritrace.sources import connectors
 
 
 def main() -> None:
@@ -16,11 +17,14 @@ def main() -> None:
     p.add_argument("documents", help="parquet: doc_id, run_id, entity_name, source_url, source_type, text")
     p.add_argument("out", help="folder for signals (parquet) and reports (text)")
     p.add_argument("--today", required=True)
+    p.add_argument("--knowledge", help="folder of markdown files by which signals are graded")
     a = p.parse_args()
     spark = SparkSession.builder.appName("veritrace").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     docs = spark.read.parquet(a.documents)
-    got = pipeline.run(spark, docs, a.today)
-    got["signals"].write.mode("overwrite").partitionBy("run_id").parquet(f"{a.out}/signals")
+    knowledge = pipeline.knowledge_pieces(connectors.read_knowledge(spark, a.knowledge)) if a.knowledge else None
+    got = pipeline.run(spark, docs, a.today, knowledge=knowledge)
+    # sorted by run, not a folder a run: runs are many and small
+    got["signals"].repartitionByRange("run_id", "signal_num").sortWithinPartitions("run_id", "signal_num").write.mode("overwrite").parquet(f"{a.out}/signals")
     names = docs.groupBy("run_id").agg(F.first("entity_name").alias("entity_name"))
     reports.as_json(got["reports"].join(names, "run_id")).select("value").write.mode("overwrite").text(f"{a.out}/reports")
 

@@ -15,13 +15,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritrace.functions import columns as C
 from veritrace.functions import fixed, fuzzy
 from veritrace.operators import ranking, reports, review, scoring, similarity
+from veritrace.sources import connectors
 from veritrace.storage import materialize
 
 EXTRACTED = "doc_id long, n int, text string, snippet string, risk_category string, risk_subcategory string, severity string, signal_polarity string, confidence double, data_date string, error string"
@@ -119,12 +120,18 @@ def rule_severity(text: str, category: str, context: list[str]) -> str:
     return best if n[best] else "MEDIUM"
 
 
-def score_signals(signals: DataFrame, knowledge: DataFrame, provider: Callable = rule_severity, prior: int = 0, wait: float = 1.0) -> DataFrame:
+def knowledge_pieces(files: DataFrame, embedder: Callable = hashing_embedder) -> DataFrame:
+    """(item, text, embedding) of markdown texts (source, text), in chunks: what score_signals looks into."""
+    chunks = connectors.markdown_chunks(files)
+    return embed(chunks.select(F.format_string("%s#%06d", "source", "chunk").alias("item"), "text"), embedder)
+
+
+def score_signals(signals: DataFrame, knowledge: DataFrame, provider: Callable = rule_severity, prior: int | Column = 0, wait: float = 1.0) -> DataFrame:
     """signals with the severity that a provider(text, category, context) gives within a run's budget of calls, `severity_error` and the review flag.
 
     signals (run_id, ord, id, text, risk_category, severity, confidence_score, embedding), knowledge
-    (item, text, embedding): a signal's context is the three nearest pieces. Signals beyond the
-    budget, and those whose call fails, keep their severity.
+    (item, text, embedding): a signal's context is the three nearest pieces. prior is the calls made
+    before, a number or a column of signals. Signals beyond the budget, and those whose call fails, keep their severity.
     """
     some = ranking.budget_prefix(signals, "run_id", "ord", prior)
     near = similarity.nearest(some.select(F.col("id").alias("query"), F.col("embedding").alias("v")), knowledge.select("item", F.col("embedding").alias("v")))
@@ -146,7 +153,7 @@ def score_signals(signals: DataFrame, knowledge: DataFrame, provider: Callable =
     return out.withColumn("requires_human_review", C.needs_review("severity", "confidence_score"))
 
 
-def analyse(signals: DataFrame, knowledge: DataFrame | None = None, provider: Callable = rule_severity) -> DataFrame:
+def analyse(signals: DataFrame, knowledge: DataFrame | None = None, provider: Callable = rule_severity, prior: int | Column = 0) -> DataFrame:
     """Clusters, credibility, severity by knowledge if there is any, review flag, gate, contradictions; in this order, which the flags depend on."""
     numbered = materialize(signals.withColumn("ord", F.col("doc_id") * 100 + F.col("ord")), "numbered")
     one = similarity.deduplicate(numbered, ["run_id", "risk_category"], "embedding")
@@ -154,7 +161,7 @@ def analyse(signals: DataFrame, knowledge: DataFrame | None = None, provider: Ca
     if knowledge is None:
         one = one.withColumn("requires_human_review", C.needs_review("severity", "confidence_score"))
     else:
-        one = score_signals(one, knowledge, provider).drop("severity_error")
+        one = score_signals(one, knowledge, provider, prior).drop("severity_error")
     one = materialize(scoring.severity_gate(one), "gated")
     pairs = similarity.contradiction_candidates(one, "run_id", "embedding")
     told = pairs.select("run_id", F.col("a").alias("ord")).union(pairs.select("run_id", F.col("b").alias("ord"))).distinct().withColumn("is_contradictory", F.lit(True))
@@ -179,12 +186,13 @@ def rule_overall(entity: str, risks: str, strengths: str, sections: dict[str, st
     return {"summary": f"{entity}: {len(sections)} areas of risk", "strengths": f"{len(good)} strengths", "actions": actions}
 
 
-def synthesise(signals: DataFrame, scores: DataFrame, tiers: DataFrame, section: Callable = rule_section, overall: Callable = rule_overall, prior: int = 0, wait: float = 1.0) -> DataFrame:
+def synthesise(signals: DataFrame, scores: DataFrame, tiers: DataFrame, section: Callable = rule_section, overall: Callable = rule_overall, prior: int | DataFrame = 0, wait: float = 1.0) -> DataFrame:
     """The written part of reports (see reports.compiled) of numbered signals: a call a category, highest score first, then one over all, within a run's budget.
 
-    A failed call leaves its part empty.
+    prior is the calls made before, a number or a table (run_id, calls). A failed call leaves its part empty.
     """
-    budget = max(0, fixed.MAX_CALLS - prior)
+    made = prior if isinstance(prior, DataFrame) else tiers.select("run_id", F.lit(prior).alias("calls"))
+    left = materialize(tiers.select("run_id").join(made, "run_id", "left").select("run_id", F.greatest(F.lit(0), F.lit(fixed.MAX_CALLS) - F.coalesce("calls", F.lit(0))).alias("budget")), "budgets")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -208,11 +216,11 @@ def synthesise(signals: DataFrame, scores: DataFrame, tiers: DataFrame, section:
             yield pd.DataFrame(rows, columns=["run_id", "summary", "strengths", "actions"])
 
     run = f"run_id {signals.schema['run_id'].dataType.simpleString()}"
-    prompts = reports.section_prompts(signals, scores, budget)
+    prompts = reports.section_prompts(signals, scores).join(left, "run_id").where("section_rank <= budget").drop("budget")
     sections = materialize(prompts.mapInPandas(write, f"{run}, risk_category string, section string"), "sections")
     calls = sections.groupBy("run_id").agg(F.count("*").alias("calls"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("risk_category", F.coalesce("section", F.lit("")))))).alias("told"))
     blocks = lambda kind, name: reports.format_signals(signals.where(kind)).withColumnRenamed("block", name)
-    asked = signals.groupBy("run_id").agg(F.first("entity_name").alias("entity_name")).join(calls, "run_id", "left").where(F.coalesce("calls", F.lit(0)) < budget)
+    asked = signals.groupBy("run_id").agg(F.first("entity_name").alias("entity_name")).join(calls, "run_id", "left").join(left, "run_id").where(F.coalesce("calls", F.lit(0)) < F.col("budget"))
     asked = asked.join(blocks("signal_polarity <> 'POSITIVE'", "risks"), "run_id", "left").join(blocks("signal_polarity = 'POSITIVE'", "good"), "run_id", "left")
     asked = asked.select("run_id", "entity_name", "risks", "good", F.coalesce("told", F.create_map().cast("map<string,string>")).alias("told"))
     whole = materialize(asked.mapInPandas(conclude, f"{run}, summary string, strengths string, actions array<struct<description:string,priority:string,signal_refs:array<string>>>"), "overall")
@@ -220,26 +228,38 @@ def synthesise(signals: DataFrame, scores: DataFrame, tiers: DataFrame, section:
     return reports.compiled(signals, sections, whole.select("run_id", "summary", "strengths"), reports.map_actions(actions, signals), tiers)
 
 
-def run(spark: SparkSession, documents: DataFrame, today: str, provider: Callable = rule_provider, embedder: Callable = hashing_embedder, verdicts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """signals, scores, overall, sufficiency, stats and reports of documents (doc_id, run_id, entity_name, source_url, source_type, text).
+def run(
+    spark: SparkSession, documents: DataFrame, today: str, provider: Callable = rule_provider, embedder: Callable = hashing_embedder, verdicts: DataFrame | None = None,
+    knowledge: DataFrame | None = None, grade: Callable = rule_severity, section: Callable = rule_section, conclude: Callable = rule_overall,
+) -> dict[str, DataFrame]:
+    """signals, scores, overall, sufficiency, stats, calls and reports of documents (doc_id, run_id, entity_name, source_url, source_type, text).
 
-    Documents beyond the budget of calls of their run are not sent to the provider. Runs without a
-    signal still have a report.
+    With knowledge, pieces (item, text, embedding), signals are graded by what is nearest to them.
+    Extraction, grading and writing share a run's budget of calls: documents and signals beyond it are
+    not sent to a provider, nor sections and conclusions. Runs without a signal still have a report.
     """
     tier = scoring.sufficiency(documents, "run_id")
     sent = ranking.budget_prefix(documents, "run_id", "doc_id")
+    calls = materialize(sent.groupBy("run_id").agg(F.count("*").alias("calls")), "calls")
     anchored = materialize(verified(extract(sent, provider), sent, today), "anchored")
     stats = scoring.extraction_stats(anchored, "run_id")
-    signals = analyse(embed(anchored.where("verdict <> 'REJECT'"), embedder))
+    signals = embed(anchored.where("verdict <> 'REJECT'"), embedder)
+    if knowledge is None:
+        signals = analyse(signals)
+    else:
+        signals = analyse(signals.join(calls, "run_id"), knowledge, grade, F.col("calls")).drop("calls")
+        graded = ranking.budget_prefix(signals.select("run_id", "ord").join(calls, "run_id"), "run_id", "ord", F.col("calls"))
+        graded = graded.groupBy("run_id").agg(F.count("*").alias("graded"))
+        calls = calls.join(graded, "run_id", "left").select("run_id", (F.col("calls") + F.coalesce("graded", F.lit(0))).alias("calls"))
+        calls = materialize(calls, "calls")
     if verdicts is not None:
         signals = review.apply_verdicts(signals, verdicts)
     signals = materialize(ranking.number_signals(signals), "signals")
     risks = signals.where("signal_polarity <> 'POSITIVE'")
-    scores = scoring.category_scores(risks, "run_id")
-    all_runs = tier.select("run_id", "tier")
-    overall = all_runs.join(scoring.overall_score(scores, "run_id"), "run_id", "left").withColumn("overall", F.coalesce("overall", F.lit(0.0)))
-    full = reports.report_rows(signals, scores, overall)
+    scores = materialize(scoring.category_scores(risks, "run_id"), "scores")
+    tiers = tier.select("run_id", "tier")
+    overall = tiers.join(scoring.overall_score(scores, "run_id"), "run_id", "left").withColumn("overall", F.coalesce("overall", F.lit(0.0)))
+    written = synthesise(signals, scores, tiers, section, conclude, calls).select("run_id", "summary", "strengths", "sections", "actions", "sources")
+    full = reports.report_rows(signals, scores, overall).join(written, "run_id", "left")
     full = full.join(stats.select("run_id", "rejected"), "run_id", "left").withColumn("signals_rejected", F.coalesce("rejected", F.lit(0))).drop("rejected")
-    summary = F.format_string("%d signals, overall %.2f", "signals_extracted", "overall")
-    full = full.withColumn("summary", summary).withColumn("summary", reports.caveat("summary", "tier"))
-    return {"signals": signals, "scores": scores, "overall": overall, "sufficiency": tier, "stats": stats, "reports": full}
+    return {"signals": signals, "scores": scores, "overall": overall, "sufficiency": tier, "stats": stats, "calls": calls, "reports": full}
