@@ -23,6 +23,7 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", f"file://{at}/checkpoints")
         .config("spark.sql.warehouse.dir", f"file://{at}/warehouse")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
