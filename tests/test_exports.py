@@ -28,6 +28,15 @@ def test_files_read_back_as_they_were_and_equal_names_are_numbered(spark, tmp_pa
     assert not list(tmp_path.glob("_*"))
 
 
+def test_paths_are_those_of_spark(spark, tmp_path):
+    df = spark.createDataFrame(ROWS[:1], SCHEMA)
+    (tmp_path / "with space").mkdir()
+    for path in (f"file://{tmp_path}/one", f"{tmp_path}/with space/two"):
+        exports.export_files(df, path)
+        assert pairs(exports.read_files(spark, path)) == ROWS[:1]
+    assert exports._address(spark, "some/where").endswith("/some/where") and exports._address(spark, "some/where").startswith("file:///")
+
+
 def test_a_failing_task_leaves_no_file(spark, tmp_path):
     bad = spark.range(0, 400).select(F.format_string("f%d.json", "id").alias("file_name"), F.when(F.col("id") != 399, "x").alias("value"))
     exports.export_files(spark.createDataFrame(ROWS[:1], SCHEMA), str(tmp_path), "one")

@@ -94,7 +94,15 @@ class _Exports(DataSource):
         return _Writer(self.options["path"], self.options.get("layout", "files"), self.options.get("batch"), overwrite)
 
 
+def _address(spark: SparkSession, path: str) -> str:
+    """The whole address of a path, on the file system that Spark would take."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    told = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    return told.replace("file:/", "file:///", 1) if told.startswith("file:/") and not told.startswith("file://") else told
+
+
 def _save(rows: DataFrame, path: str, layout: str, batch: str | None, mode: str) -> None:
+    path = _address(rows.sparkSession, path)
     rows.sparkSession.dataSource.register(_Exports)
     w = rows.write.format(FORMAT).option("layout", layout).mode(mode)
     (w if batch is None else w.option("batch", batch)).save(path)
