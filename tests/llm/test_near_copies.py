@@ -99,6 +99,26 @@ def test_planted_copies_within_a_dense_family_go(spark):
     assert gone <= copies and len(gone) >= 0.99 * len(copies)
 
 
+def test_no_link_of_a_full_bucket_is_lost(spark, monkeypatch):
+    """Two close pairs tied by one link that is nobody's nearest, 80 times within a dense family: every bucket gives a forest first, and the rest by components."""
+    monkeypatch.setattr(nc, "PAIRED", 0)
+    monkeypatch.setattr(nc, "SMALL", 1, raising=False)
+    rng = random.Random(12)
+    rows = []
+    for x in family(rng, 80, 240):
+        z = list(x)
+        for at in range(242, 290, 8):  # 6 changes: 0.82
+            z[at] = f"z{rng.randrange(1_000_000)}"
+        y, w = list(x), list(z)
+        y[294], w[296] = f"y{rng.randrange(1_000_000)}", f"v{rng.randrange(1_000_000)}"
+        a, b = plain(" ".join(x)), plain(" ".join(z))
+        assert len(a & b) >= 0.8 * len(a | b)
+        rows += [(len(rows) + k, " ".join(t)) for k, t in enumerate((x, y, z, w))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in nc.one_of_each(df).collect()}
+    assert kept >= set(range(0, 320, 4)) and len(kept) <= 81
+
+
 def test_candidates_that_chain_are_not_compared_all_with_all(spark, monkeypatch):
     """Pages of one template, at about 0.65 of each other: many candidates, no link. Each candidate is verified once, and most pairs are none."""
     compared = []

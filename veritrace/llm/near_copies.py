@@ -2,8 +2,9 @@
 
 Candidates come from the generalised pigeonhole of simhash over wide fingerprints of the sets; those
 whose fingerprints are too far apart go, and the others are verified by the exact similarity of the
-two sets: first each set with its nearest candidate, then those pairs that this has not connected.
-At similarity 0.8 a pair is missed in 6 of 1,000 cases.
+two sets: first each set with its nearest candidate, then all pairs that this has not connected. A
+bucket full of candidates gives a forest of them at first; all its pairs between sets that are then
+still apart follow, however many. At similarity 0.8 a pair is missed in 6 of 1,000 cases.
 """
 
 from __future__ import annotations
@@ -17,16 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrace.llm.hashing import mix
-from veritrace.llm.simhash import WIDE, plan_wide, wide_fingerprint, wide_keys
+from veritrace.llm.simhash import WIDE, first_shared, passes, plan_wide, wide_fingerprint, wide_probes
 from veritrace.llm.slices import give_back, slices
 from veritrace.operators.graph import connected_components
-from veritrace.storage import materialize
+from veritrace.storage import forget, materialize
 
 SIMILARITY, WORDS = 0.8, 5
 #: Most bits in which the first words of two candidates differ: at 0.8 they do in 10 of 64, over this in 3 of 10,000 cases.
 FAR = 20
-#: Buckets up to so many sets are paired; larger ones are thinned and compared in blocks, two by two.
-PAIRED, BLOCK = 16, 1_024
+#: Buckets up to so many sets give all their candidates at once.
+SMALL = 64
+#: So do larger ones with at most so many candidates a set, and one block; of the others all pairs that a forest leaves apart follow, in blocks of WIDER, two by two.
+PAIRED, BLOCK, WIDER = 16, 1_024, 16
+#: Values that a fingerprint probes in one pass: it travels to so many buckets at a time.
+PROBES = 12
+#: Probes that a task looks at together, and pairs.
+ROWS, PAIRS = 100_000, 200_000
 #: Shingles of the sets that one task verifies together, on average, and most partners of a set in it.
 TOGETHER, PARTNERS = 2_000_000, 2_000
 SEED = 7
@@ -109,86 +116,231 @@ def linked(sets: dict[int, np.ndarray], a: list[int], b: list[int], similarity:
     return src, dst
 
 
-def thin(t: pa.Table) -> pa.Table:
-    """(a, b): candidates of a block (cls, f): all pairs with near fs of a cluster of at most PAIRED, of a larger one each member with one it was reached from and its nearest."""
-    cls, f = t.column("cls").to_numpy(), t.column("f").to_numpy()
-    order = np.argsort(cls)
-    cls, f = cls[order], f[order]
-    a, b = [cls[:0]], [cls[:0]]
-    far = np.bitwise_count(f[:, None] ^ f[None, :])
-    near = far <= FAR
-    left, more = np.ones(len(cls), bool), len(cls)
-    while more:
-        todo, own = [int(left.argmax())], []
-        left[todo[0]] = False
-        more -= 1
+Plan = list[tuple[int, int, int]]
+FOUND = "a long, b long, na long, nb long, apart int, p int, v long, s long"
+
+
+def _near(fp: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, most: float, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) that their fingerprints and sizes allow, and how many bits they are apart."""
+    out = [(i[:0], i[:0], np.empty(0, np.int64))]
+    for at in range(0, len(i), PAIRS):
+        x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+        apart = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64)
+        ok = (apart <= most) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]))
+        out.append((x[ok], y[ok], apart[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def thin(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of n sets to verify first: a forest that connects all that they connect, and each set's nearest."""
+    at = np.full((n, n), -1, np.int32)
+    at[i, j] = at[j, i] = np.arange(len(i))
+    out, left = [], np.ones(n, bool)
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start], todo = False, [start]
         while todo:
-            if not more:  # all are reached
-                own += todo
-                break
-            i = todo.pop()
-            own.append(i)
-            got = np.flatnonzero(left & near[i])
-            if len(got):
-                left[got] = False
-                more -= len(got)
-                todo += got.tolist()
-                a.append(np.full(len(got), cls[i]))
-                b.append(cls[got])
-        own = np.sort(own)
-        apart = far[np.ix_(own, own)]
-        np.fill_diagonal(apart, 65)
-        if len(own) <= PAIRED:
-            i, j = np.nonzero(np.triu(apart <= FAR, 1))
-        else:
-            i, j = np.arange(len(own)), apart.argmin(axis=1)
-        a.append(cls[own[i]])
-        b.append(cls[own[j]])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            k = todo.pop()
+            got = np.flatnonzero(left & (at[k] >= 0))
+            left[got] = False
+            out.append(at[k, got])
+            todo += got.tolist()
+    order = np.argsort(-apart, kind="stable")  # the last written is the nearest
+    nearest = np.full(n, -1, np.int64)
+    nearest[i[order]] = order
+    best = np.full(n, -1, np.int64)
+    best[j[order]] = order
+    return np.unique(np.concatenate([*out, nearest[nearest >= 0], best[best >= 0]]).astype(np.int64))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: int, long: int | None = None) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Sorted rows in runs in which no group of the first columns is cut, as arrays; a group of over long rows comes in pieces (True: more of it follows) that share rows."""
+    held, new, n = [], [], 0
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*([held] if held else []), *new, strict=True)]
+
+    for b in batches:
+        if b.num_rows:
+            new.append([c.flatten().to_numpy().reshape(-1, WIDE).view(np.uint64) if pa.types.is_list(c.type) else c.to_numpy() for c in b.columns])
+            n += b.num_rows
+        if n >= ROWS:
+            held, new, n = joined(), [], 0
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in held[:keys]], axis=0))
+            if len(cut):
+                yield [c[: cut[-1] + 1] for c in held], False
+                held = [c[cut[-1] + 1 :] for c in held]
+            if long and len(held[0]) > long:
+                yield held, True
+                held = [c[-shared() :] for c in held]
+    if held or new:
+        yield joined(), False
+
+
+def shared() -> int:
+    """Rows that two blocks of a bucket have in common, so that a forest goes on from one to the next."""
+    return max(1, min(64, BLOCK // 2))
+
+
+def _candidates(rows: DataFrame, plan: Plan, most: float, similarity: float) -> DataFrame:
+    """rows (p, v, cls, size, fp) as FOUND: candidate pairs, each in the first bucket its sets share; and p, v, s: buckets of s rows that gave only a forest."""
+    small, paired, block, over = SMALL, PAIRED, BLOCK, shared()
+
+    def forest(fp: np.ndarray, size: np.ndarray, a: int, b: int) -> tuple[np.ndarray, ...]:
+        i, j = np.nonzero(np.triu(np.bitwise_count(fp[a:b, :1] ^ fp[None, a:b, 0]) <= FAR, 1))
+        return _near(fp, size, a + i, a + j, most, similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0  # rows of the first bucket that came in earlier pieces
+        for (p, v, cls, size, fp), more in _whole(batches, 2, WIDER * block):
+            cut = np.flatnonzero((p[1:] != p[:-1]) | (v[1:] != v[:-1])) + 1
+            starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(p)]))
+            end = np.repeat(np.where(ends - starts <= small, ends, 0), ends - starts)
+            if before:
+                end[: ends[0]] = 0
+            f, lag, on, pairs = np.ascontiguousarray(fp[:, 0]), 1, np.arange(len(p)), []
+            on = on[on + 1 < end]
+            while len(on):
+                got = on[np.bitwise_count(f[on] ^ f[on + lag]) <= FAR]
+                pairs.append((got, got + lag))
+                lag += 1
+                on = on[on + lag < end[on]]
+            all_, some, hot = [], [], []
+            if pairs:
+                all_.append(_near(fp, size, *(np.concatenate(x) for x in zip(*pairs, strict=True)), most, similarity))
+            for k in np.flatnonzero((ends - starts > small) | ((starts == 0) & (before > 0))):
+                a, b = int(starts[k]), int(ends[k])
+                if b - a <= block and not (more or (before and a == 0)):
+                    i, j, apart = forest(fp, size, a, b)
+                    if len(i) <= paired * (b - a):
+                        all_.append((i, j, apart))
+                    else:
+                        keep = thin(b - a, i - a, j - a, apart)
+                        some.append((i[keep], j[keep], apart[keep]))
+                        hot.append((p[a], v[a], b - a))
+                else:
+                    for s in range(a, max(b - over, a + 1), max(1, block - over)):
+                        i, j, apart = forest(fp, size, s, min(b, s + block))
+                        keep = thin(min(b, s + block) - s, i - s, j - s, apart)
+                        some.append((i[keep], j[keep], apart[keep]))
+                    n = b - a + (before if a == 0 else 0)
+                    if not more:
+                        hot.append((p[a], v[a], n))
+            before = before + len(p) - over if more else 0
+            for x, once in ((all_, True), (some, False)):
+                for i, j, apart in x:
+                    for at in range(0, len(i), PAIRS):
+                        c, d, e = i[at : at + PAIRS], j[at : at + PAIRS], apart[at : at + PAIRS]
+                        if once:
+                            q, w = first_shared(plan, fp[c], fp[d])
+                            own = (q == p[c]) & (w == v[c])
+                            c, d, e = c[own], d[own], e[own]
+                        yield _told(cls, size, c, d, e)
+            if hot:
+                hp, hv, hs = (np.array(x) for x in zip(*hot, strict=True))
+                none = lambda t: pa.nulls(len(hot), t)
+                yield pa.RecordBatch.from_arrays([*(none(pa.int64()) for _ in range(4)), none(pa.int32()), pa.array(hp, pa.int32()), pa.array(hv, pa.int64()), pa.array(hs, pa.int64())], names=[x.split(" ")[0] for x in FOUND.split(", ")])
+
+    return _dealt(rows, ["p", "v"], ["cls"]).mapInArrow(run, FOUND)
+
+
+def _told(cls: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
+    turned = cls[i] > cls[j]
+    i, j = np.where(turned, j, i), np.where(turned, i, j)
+    none = lambda t: pa.nulls(len(i), t)
+    columns = [cls[i], cls[j], size[i], size[j]]
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.array(apart, pa.int32()), none(pa.int32()), none(pa.int64()), none(pa.int64())], names=[x.split(" ")[0] for x in FOUND.split(", ")])
+
+
+def _dealt(rows: DataFrame, by: list[str], then: list[str]) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *by).sortWithinPartitions(*by, *then)
+
+
+def _rest(hot: DataFrame, classes: DataFrame, plan: Plan, comps: DataFrame, most: float, similarity: float) -> DataFrame:
+    """All candidate pairs (FOUND) of the hot buckets (p, v, s) whose sets comps (node, component) leaves apart, each in the first bucket they share."""
+    parts = []
+    for some in passes(plan, PROBES):
+        probes = classes.select("cls", F.explode(wide_probes(plan, some)).alias("x")).select("cls", "x.p", "x.v")
+        parts.append(materialize(probes.join(hot.where(F.col("p").between(some[0], some[-1])), ["p", "v"]), "hot"))
+    held = parts[0]
+    for x in parts[1:]:
+        held = held.union(x)
+    held = held.join(comps, F.col("cls") == F.col("node"), "left").select("p", "v", "s", "cls", F.coalesce("component", "cls").alias("label"))
+    mixed = held.groupBy("p", "v").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("p", "v")
+    rows = held.join(mixed, ["p", "v"]).join(classes.select("cls", "size", "fp"), "cls")
+    blocks = F.ceil(F.col("s") / (WIDER * BLOCK)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("p", "v", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high"), "b", "cls", "label", "size", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (p, v, low, high, b, cls, label, size, fp), _ in _whole(batches, 4):
+            f = np.ascontiguousarray(fp[:, 0])
+            cut = np.flatnonzero((p[1:] != p[:-1]) | (v[1:] != v[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            for x, y in zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(p)])).tolist(), strict=True):
+                one = low[x] == high[x]
+                left, right = x + np.flatnonzero(b[x:y] == low[x]), x + np.flatnonzero(b[x:y] == high[x])
+                for at in range(0, len(left), 64):
+                    i = left[at : at + 64]
+                    near = (np.bitwise_count(f[i][:, None] ^ f[right][None, :]) <= FAR) & (label[i][:, None] != label[right][None, :])
+                    if one:
+                        near &= i[:, None] < right[None, :]
+                    c, d = np.nonzero(near)
+                    c, d, apart = _near(fp, size, i[c], right[d], most, similarity)
+                    q, w = first_shared(plan, fp[c], fp[d])
+                    own = (q == p[c]) & (w == v[c])
+                    if own.any():
+                        yield _told(cls, size, c[own], d[own], apart[own])
+
+    return _dealt(rows, ["p", "v", "low", "high"], ["cls"]).mapInArrow(run, FOUND)
 
 
 def link(named: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(src, dst): links of sets (cls) of named (cls, size, fp, row_hash), enough to connect all that are linked; texts has (row_hash, text).
 
-    Candidate pairs that are near by their whole fingerprints are verified on the sets, dealt by
-    their smaller end. A set travels with its nearest candidate first; only pairs whose ends stay
-    apart are verified after that, so neither a large group of copies nor candidates that chain
-    without a link among them are compared all with all.
+    Fingerprints meet in passes of a few probes each, so that few copies of them are on disk at a
+    time. Candidate pairs that are near by their whole fingerprints are verified on the sets, dealt
+    by their smaller end: a set with its nearest candidate first, then the pairs whose ends stay
+    apart. Of a bucket with very many candidates a forest is verified; when all that is done, so is
+    every other pair of the bucket whose ends are in different components.
     """
     classes = materialize(named.where("fp is not null").groupBy("cls").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.min("row_hash").alias("r")), "classes")
     plan = plan_wide(classes, similarity)
     give_back()
-    stand = classes.select("cls", F.get("fp", F.lit(0)).alias("f"), F.explode(wide_keys(plan)).alias("key"))
-    full = stand.groupBy("key").agg(F.count("*").alias("s")).where("s > 1").select(F.col("key").alias("of"), "s")
-    stand = materialize(stand.join(full, F.col("key") == F.col("of")).select("cls", "f", "key", "s"), "probes")
-
-    few = stand.where(F.col("s") <= PAIRED).groupBy("key").agg(F.collect_list(F.struct("cls", "f")).alias("c"))
-    each = F.expr(f"flatten(transform(c, (x, i) -> transform(filter(slice(c, i + 2, size(c)), y -> bit_count(x.f ^ y.f) <= {FAR}), y -> struct(least(x.cls, y.cls) a, greatest(x.cls, y.cls) b))))")
-    pairs = few.select(F.explode(each).alias("p")).select("p.a", "p.b")
-
-    def blocks(rows: DataFrame) -> DataFrame:
-        """rows (cls, s, key) with g: the block, or each two blocks, of a bucket of s rows."""
-        cut = rows.withColumn("blocks", F.ceil(F.col("s") / BLOCK).cast("int"))
-        cut = cut.withColumn("b", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return cut.where("blocks = 1 or b <> o").withColumn("g", F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")))
-
-    many = blocks(stand.where(F.col("s") > PAIRED)).select("g", "cls", "f")
-    pairs = pairs.union(many.groupBy("g").applyInArrow(thin, "a long, b long")).distinct()
     bits = 64 * WIDE
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = bits * differ + 4.5 * (bits * differ * (1 - differ)) ** 0.5
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda n, k: n + k)
-    end = lambda c, fp, n: classes.select(F.col("cls").alias(c), F.col("fp").alias(fp), F.col("size").alias(n))
-    pairs = pairs.join(end("a", "x", "na"), "a").join(end("b", "y", "nb"), "b").withColumn("apart", apart)
-    pairs = pairs.where((F.col("apart") <= most) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
-    pairs = materialize(pairs.select("a", "b", "na", "nb", "apart"), "pairs")
-
+    parts = []
+    for some in passes(plan, PROBES):
+        rows = classes.select("cls", "size", "fp", F.explode(wide_probes(plan, some)).alias("x")).select("x.p", "x.v", "cls", "size", "fp")
+        parts.append(materialize(_candidates(rows, plan, most, similarity), "found"))
+    found = parts[0]
+    for x in parts[1:]:
+        found = found.union(x)
+    hot = materialize(found.where("s is not null").select("p", "v", "s"), "hot")
+    pairs = materialize(found.where("s is null").select("a", "b", "na", "nb", "apart").dropDuplicates(["a", "b"]), "pairs")
+    forget(*parts)
+
+    links = _linked(pairs, classes, texts, words, similarity)
+    if not hot.isEmpty():
+        more = _rest(hot, classes, plan, connected_components(links), most, similarity).select("a", "b", "na", "nb")
+        more = materialize(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+        links = links.union(materialize(_verified(more, _held(more, classes, texts, words), similarity), "links"))
+    forget(classes)
+    return links
+
+
+def _held(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(cls, grams): the sets of the pairs' ends."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     held = classes.join(ends, F.col("cls") == F.col("c"), "left_semi").select("r")
-    sets = _sets(texts.join(held, F.col("row_hash") == F.col("r"), "left_semi").dropDuplicates(["row_hash"]), words)
-    sets = materialize(sets.dropDuplicates(["cls"]), "sets")
+    return materialize(_sets(texts.join(held, F.col("row_hash") == F.col("r"), "left_semi").dropDuplicates(["row_hash"]), words), "sets")
+
 
+def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(src, dst): links among the candidate pairs, enough to connect all that they link."""
+    sets = _held(pairs, classes, texts, words)
     nearest = pairs.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), F.struct("apart", "a")).alias("p")).select("p.a", "b", "p.na", "p.nb")
     first = materialize(_verified(nearest, sets, similarity), "links")
     # these links are a forest that points to smaller names; ends that meet within a few steps of it need no link of their own
@@ -199,7 +351,9 @@ def link(named: DataFrame, texts: DataFrame, words: int = WORDS, similarity: flo
     group = lambda c, to: up.select(F.col("node").alias(c), F.col("to").alias(to))
     rest = pairs.join(nearest.select("a", "b"), ["a", "b"], "left_anti").join(group("a", "ga"), "a", "left").join(group("b", "gb"), "b", "left")
     rest = materialize(rest.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b", "na", "nb"), "rest")
-    return first if rest.isEmpty() else first.union(materialize(_verified(rest, sets, similarity), "links"))
+    links = first if rest.isEmpty() else first.union(materialize(_verified(rest, sets, similarity), "links"))
+    forget(sets, up)
+    return links
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -192,13 +192,38 @@ def plan_wide(fps: DataFrame, similarity: float) -> list[tuple[int, int, int]]:
     return min(choices, key=lambda x: x[0])[1]
 
 
-def wide_keys(plan: list[tuple[int, int, int]]) -> Column:
-    """An array of the values that a wide fingerprint (fp) probes."""
-    keys = []
-    for word, mask, t in plan:
+def wide_probes(plan: list[tuple[int, int, int]], some: range) -> Column:
+    """An array of (p, v): the values v of a wide fingerprint (fp) that are probed in those partitions p of the plan."""
+    out = []
+    for p in some:
+        word, mask, t = plan[p]
         for flip in _flips(mask, t):
-            keys.append(F.xxhash64(F.lit(word), F.lit(_signed(mask)), F.get("fp", F.lit(word)).bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(flip)))))
-    return F.array(*keys)
+            v = F.get("fp", F.lit(word)).bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(flip)))
+            out.append(F.struct(F.lit(p).alias("p"), v.alias("v")))
+    return F.array(*out)
+
+
+def passes(plan: list[tuple[int, int, int]], most: int) -> list[range]:
+    """The partitions of a plan in runs that probe at most so many values a fingerprint, unless a single one probes more."""
+    out, start, n = [], 0, 0
+    for p, (_, mask, t) in enumerate(plan):
+        own = len(_flips(mask, t))
+        if n and n + own > most:
+            out.append(range(start, p))
+            start, n = p, 0
+        n += own
+    return [*out, range(start, len(plan))]
+
+
+def first_shared(plan: list[tuple[int, int, int]], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(p, v): of each pair of wide fingerprints the first partition in which they are within its threshold, -1 if none, and the smaller of their values there, which both probe."""
+    p, v, left = np.full(len(x), -1), np.zeros(len(x), np.int64), np.arange(len(x))
+    for k, (word, mask, t) in enumerate(plan):
+        a, b = x[left, word] & np.uint64(mask), y[left, word] & np.uint64(mask)
+        on = np.bitwise_count(a ^ b) <= t
+        p[left[on]], v[left[on]] = k, np.minimum(a[on].view(np.int64), b[on].view(np.int64))
+        left = left[~on]
+    return p, v
 
 
 def _flips(mask: int, t: int) -> list[int]:

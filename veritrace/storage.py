@@ -36,6 +36,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in tables:
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            release(df.sparkSession, folder)
+
+
 class Bucketed:
     """A table in the shared folder, bucketed by a column and split into parts by another, to which rows can be appended.
 
