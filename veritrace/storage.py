@@ -28,11 +28,20 @@ def _fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: The setting by which a query's shuffle files go as soon as it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage and outlives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage, outlives lost executors and leaves no shuffle files."""
     spark = df.sparkSession
     path = _fresh(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
