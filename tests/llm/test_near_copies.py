@@ -119,6 +119,23 @@ def test_no_link_of_a_full_bucket_is_lost(spark, monkeypatch):
     assert kept >= set(range(0, 320, 4)) and len(kept) <= 81
 
 
+def test_full_buckets_are_not_joined_with_their_sets(spark, monkeypatch):
+    """What is kept of a full bucket is one row, not one for each set in it; that all buckets share a place of the table changes nothing."""
+    held, write = [], nc.materialize
+    monkeypatch.setattr(nc, "materialize", lambda df, name="table": held.append((name, write(df, name))) or held[-1][1])
+    monkeypatch.setattr(nc, "PAIRED", 0)
+    monkeypatch.setattr(nc, "SMALL", 1)
+    rng = random.Random(5)
+    rows = [(i, " ".join(w)) for i, w in enumerate(family(rng, 60, 240))]
+    rows += [(60 + i, t.rsplit(" ", 1)[0] + " end") for i, t in rows[:20]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for slots in (1 << 20, 1):
+        monkeypatch.setattr(nc, "SLOTS", slots, raising=False)
+        assert {r["doc_id"] for r in nc.one_of_each(df).collect()} == set(range(60))
+        hot = [x for name, x in held if name == "hot"]
+        assert hot and all(x.count() == x.select("p", "v").distinct().count() > 0 for x in hot)
+
+
 def test_candidates_that_chain_are_not_compared_all_with_all(spark, monkeypatch):
     """Pages of one template, at about 0.65 of each other: many candidates, no link. Each candidate is verified once, and most pairs are none."""
     compared = []

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrace.llm.hashing import mix
-from veritrace.llm.simhash import WIDE, first_shared, passes, plan_wide, wide_fingerprint, wide_probes
+from veritrace.llm.simhash import WIDE, _flips, first_shared, passes, plan_wide, wide_fingerprint, wide_probes
 from veritrace.llm.slices import give_back, slices
 from veritrace.operators.graph import connected_components
-from veritrace.storage import forget, materialize
+from veritrace.storage import collect, forget, materialize
 
 SIMILARITY, WORDS = 0.8, 5
 #: Most bits in which the first words of two candidates differ: at 0.8 they do in 10 of 64, over this in 3 of 10,000 cases.
@@ -36,6 +36,8 @@ PROBES = 12
 ROWS, PAIRS = 100_000, 200_000
 #: Shingles of the sets that one task verifies together, on average, and most partners of a set in it.
 TOGETHER, PARTNERS = 2_000_000, 2_000
+#: Places of the table that tells hot buckets; it is this many whole numbers, however large the corpus.
+SLOTS = 1 << 20
 SEED = 7
 
 
@@ -258,27 +260,66 @@ def _dealt(rows: DataFrame, by: list[str], then: list[str]) -> DataFrame:
     return rows.repartition(n, *by).sortWithinPartitions(*by, *then)
 
 
+def _slot(p: np.ndarray | int, v: np.ndarray, slots: int) -> np.ndarray:
+    """A bucket's place in the table of hot ones."""
+    with np.errstate(over="ignore"):
+        return mix(v.view(np.uint64) ^ (np.asarray(p).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(slots)
+
+
+def _hot_blocks(hot: DataFrame) -> np.ndarray:
+    """For each of SLOTS places of buckets in how many blocks the largest hot bucket (p, v, s) there is cut, 0 without one."""
+    most, slots = WIDER * BLOCK, SLOTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, v, s = (c.to_numpy() for c in b.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(_slot(p, v, slots).astype(np.int32)), pa.array(-(-s // most), pa.int32())], names=["slot", "blocks"])
+
+    told = hot.select("p", "v", "s").mapInArrow(run, "slot int, blocks int").groupBy("slot").agg(F.max("blocks").alias("blocks")).toArrow()
+    out = np.zeros(slots, np.int32)
+    out[told.column(0).to_numpy()] = told.column(1).to_numpy()
+    return out
+
+
 def _rest(hot: DataFrame, classes: DataFrame, plan: Plan, comps: DataFrame, most: float, similarity: float) -> DataFrame:
-    """All candidate pairs (FOUND) of the hot buckets (p, v, s) whose sets comps (node, component) leaves apart, each in the first bucket they share."""
-    parts = []
-    for some in passes(plan, PROBES):
-        probes = classes.select("cls", F.explode(wide_probes(plan, some)).alias("x")).select("cls", "x.p", "x.v")
-        parts.append(materialize(probes.join(hot.where(F.col("p").between(some[0], some[-1])), ["p", "v"]), "hot"))
-    held = parts[0]
-    for x in parts[1:]:
-        held = held.union(x)
-    held = held.join(comps, F.col("cls") == F.col("node"), "left").select("p", "v", "s", "cls", F.coalesce("component", "cls").alias("label"))
-    mixed = held.groupBy("p", "v").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("p", "v")
-    rows = held.join(mixed, ["p", "v"]).join(classes.select("cls", "size", "fp"), "cls")
-    blocks = F.ceil(F.col("s") / (WIDER * BLOCK)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("p", "v", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high"), "b", "cls", "label", "size", "fp")
+    """All candidate pairs (FOUND) of the hot buckets (p, v, s) whose sets comps (node, component) leaves apart, each in the first bucket they share.
+
+    A set meets its component once and is then dealt to its hot buckets. Those are told by a table
+    of SLOTS places: another bucket in the place of a hot one gives its pairs a second time.
+    """
+    table = _hot_blocks(hot)
+    labelled = classes.join(comps, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("label"), "size", "fp")
+    names = ["p", "v", "low", "high", "b", "cls", "label", "size", "fp"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls, label, size = (c.to_numpy() for c in batch.columns[:3])
+            fp = batch.column(3).flatten().to_numpy().reshape(-1, WIDE).view(np.uint64)
+            place = mix(cls.view(np.uint64) ^ np.uint64(1))
+            for p, (word, mask, t) in enumerate(plan):
+                own = fp[:, word] & np.uint64(mask)
+                values = (own[:, None] ^ np.array(_flips(mask, t), np.uint64)).ravel()
+                blocks = table[_slot(p, values, len(table))]
+                at = np.flatnonzero(blocks)
+                blocks = blocks[at]
+                i, v = np.repeat(at // (len(values) // len(cls)), blocks), np.repeat(values[at], blocks).view(np.int64)
+                o = np.arange(len(i)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                b = (place[i] % np.repeat(blocks, blocks).astype(np.uint64)).astype(np.int64)
+                for x in range(0, len(i), ROWS // 4):
+                    j, w = i[x : x + ROWS // 4], slice(x, x + ROWS // 4)
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(j) + 1, dtype=np.int32) * WIDE), pa.array(fp[j].view(np.int64).ravel()))
+                    ints = [pa.array(y, pa.int32()) for y in (np.full(len(j), p), np.minimum(b, o)[w], np.maximum(b, o)[w], b[w])]
+                    yield pa.RecordBatch.from_arrays([ints[0], pa.array(v[w]), *ints[1:], *(pa.array(y[j], pa.int64()) for y in (cls, label, size)), flat], names=names)
+
+    rows = labelled.mapInArrow(deal, "p int, v long, low int, high int, b int, cls long, label long, size long, fp array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (p, v, low, high, b, cls, label, size, fp), _ in _whole(batches, 4):
             f = np.ascontiguousarray(fp[:, 0])
             cut = np.flatnonzero((p[1:] != p[:-1]) | (v[1:] != v[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
             for x, y in zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(p)])).tolist(), strict=True):
+                if (label[x:y] == label[x]).all():
+                    continue
                 one = low[x] == high[x]
                 left, right = x + np.flatnonzero(b[x:y] == low[x]), x + np.flatnonzero(b[x:y] == high[x])
                 for at in range(0, len(left), 64):
@@ -296,15 +337,17 @@ def _rest(hot: DataFrame, classes: DataFrame, plan: Plan, comps: DataFrame, most
     return _dealt(rows, ["p", "v", "low", "high"], ["cls"]).mapInArrow(run, FOUND)
 
 
-def link(named: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(src, dst): links of sets (cls) of named (cls, size, fp, row_hash), enough to connect all that are linked; texts has (row_hash, text).
+def components(named: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component): the components of linked sets (cls) of named (cls, size, fp, row_hash); texts has (row_hash, text).
 
     Fingerprints meet in passes of a few probes each, so that few copies of them are on disk at a
     time. Candidate pairs that are near by their whole fingerprints are verified on the sets, dealt
     by their smaller end: a set with its nearest candidate first, then the pairs whose ends stay
     apart. Of a bucket with very many candidates a forest is verified; when all that is done, so is
-    every other pair of the bucket whose ends are in different components.
+    every other pair of the bucket whose ends are in different components; what these link are
+    components, which are tied in turn.
     """
+    spark = named.sparkSession
     classes = materialize(named.where("fp is not null").groupBy("cls").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.min("row_hash").alias("r")), "classes")
     plan = plan_wide(classes, similarity)
     give_back()
@@ -322,18 +365,35 @@ def link(named: DataFrame, texts: DataFrame, words: int = WORDS, similarity: flo
     pairs = materialize(found.where("s is null").select("a", "b", "na", "nb", "apart").dropDuplicates(["a", "b"]), "pairs")
     forget(*parts)
 
-    links = _linked(pairs, classes, texts, words, similarity)
+    collect(spark)
+    comps = connected_components(_linked(pairs, classes, texts, words, similarity))
+    collect(spark)
     if not hot.isEmpty():
-        more = _rest(hot, classes, plan, connected_components(links), most, similarity).select("a", "b", "na", "nb")
+        more = _rest(hot, classes, plan, comps, most, similarity).select("a", "b", "na", "nb")
         more = materialize(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        links = links.union(materialize(_verified(more, _held(more, classes, texts, words), similarity), "links"))
+        comps = _tied(comps, more, _held(more, classes, texts, words), similarity)
+        collect(spark)
     forget(classes)
-    return links
+    return comps
+
+
+def _tied(comps: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """comps (node, component) with those components tied together that the pairs link."""
+    links = materialize(_verified(pairs, sets, similarity), "links")
+    if links.isEmpty():
+        return comps
+    named = lambda end, to: comps.select(F.col("node").alias(end), F.col("component").alias(to))
+    ends = links.join(named("src", "x"), "src", "left").join(named("dst", "y"), "dst", "left").select("src", "dst", F.coalesce("x", "src").alias("x"), F.coalesce("y", "dst").alias("y"))
+    ends = materialize(ends, "ends")
+    above = connected_components(ends, "x", "y").select(F.col("node").alias("of"), F.col("component").alias("top"))
+    alone = ends.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("x").alias("component")), F.struct(F.col("dst").alias("node"), F.col("y").alias("component")))).alias("e")).select("e.node", "e.component")
+    every = comps.union(alone).distinct()  # a set that only these pairs link is in none of comps
+    return materialize(every.join(above, F.col("component") == F.col("of"), "left").select("node", F.coalesce("top", "component").alias("component")), "components")
 
 
 def _held(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(cls, grams): the sets of the pairs' ends."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    ends = pairs.select(F.col("a").alias("c")).distinct().union(pairs.select("b").distinct()).distinct()
     held = classes.join(ends, F.col("cls") == F.col("c"), "left_semi").select("r")
     return materialize(_sets(texts.join(held, F.col("row_hash") == F.col("r"), "left_semi").dropDuplicates(["row_hash"]), words), "sets")
 
@@ -386,7 +446,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     keyed = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = keyed.withColumns({"row_hash": F.xxhash64("doc_id", "text"), "text_hash": F.hash("text").cast("long")})
     named = materialize(_named(keyed, words, ("row_hash", "text_hash")), "named")
-    comps = connected_components(link(named, keyed, words, similarity))
+    comps = components(named, keyed, words, similarity)
     groups = named.join(comps, F.col("cls") == F.col("node"), "left").withColumn("group", F.coalesce("component", "cls"))
     best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash", "text_hash")).alias("b"))
     best = best.select(F.col("b.row_hash").alias("r"), F.col("b.text_hash").alias("t")).distinct()

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritrace.llm.token_counts import tokenizer
-from veritrace.storage import materialize
+from veritrace.storage import collect, materialize
 
 #: Lower-case letters and digits of the characters cut here; texts with others go to the library whole.
 _LETTERS = "".join(chr(c) for c in range(0x180) if unicodedata.category(chr(c))[0] == "L")
@@ -98,6 +98,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
 RANGES, OPENED = 2, 0.5
 #: Kinds of runs.
 PIECES, GAPS, PLACED = 0, 1, 2
+#: Rounds after which the driver drops what they have left.
+COLLECTED = 8
 RUNS = "kind int, range int, at int, length int, first long, n long, sequence long, offset int"
 
 
@@ -179,6 +181,8 @@ def _placed(lengths: DataFrame, size: int) -> DataFrame:
     while not rounds[-1].where(F.col("kind") == PIECES).isEmpty():
         left = rounds[-1].where(F.col("kind") < PLACED).groupBy("range")
         rounds.append(materialize(left.applyInArrow(step((size + len(rounds)) << 40), RUNS), "runs"))
+        if len(rounds) % COLLECTED == 0:
+            collect(lengths.sparkSession)
     done = [r.where(F.col("kind") == PLACED).select("length", "first", "n", "sequence", "offset") for r in rounds]
     return materialize(reduce(DataFrame.union, done), "placed")
 

@@ -52,6 +52,11 @@ def forget(*tables: DataFrame) -> None:
             release(df.sparkSession, folder)
 
 
+def collect(spark: SparkSession) -> None:
+    """Let the driver's JVM drop what the jobs so far have left: its heap, else collected when it is full, grows with the number of jobs and tasks, and Spark frees their broadcasts and shuffles with it."""
+    spark._jvm.System.gc()
+
+
 class Bucketed:
     """A table in the shared folder, bucketed by a column and split into parts by another, to which rows can be appended.
 
