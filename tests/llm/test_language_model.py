@@ -213,3 +213,13 @@ def test_long_unseen_words_cost_by_their_letters(spark):
     got = {r["doc_id"]: r["score"] for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     a, b, c = (got[d] for d in held)
     assert a < -400 and 1.8 < b / a < 2.2 and 1.8 < c / b < 2.2
+
+
+def test_each_chance_is_reckoned_once(monkeypatch):
+    """A draw goes over the chances that its sum has made, and does not make them again."""
+    made, more = [], lm._more
+    monkeypatch.setattr(lm, "_more", lambda c, t, d: made.append(len(c)) or more(c, t, d))
+    n = 2_000
+    c, w = np.full(n, 20, np.int64), np.full(n, 0.8)
+    t = lm.seat(c, w, 0.3 * w, 0.5, np.arange(n, dtype=np.uint64), 1)
+    assert t.sum() == 8_513 and t.max() == 13 and sum(made) <= 20 * n

@@ -79,23 +79,34 @@ def _openings(d: float) -> np.ndarray:
     return out
 
 
+@cache
+def _columns(d: float) -> np.ndarray:
+    """_openings by tables, then customers."""
+    return np.ascontiguousarray(_openings(d).T)
+
+
 def _more(c: np.ndarray, t: np.ndarray | int, d: float) -> np.ndarray:
     """The entries of _openings for c and t, continued above EXACT."""
     kept = np.minimum(c, EXACT)
-    out = _openings(d)[:, t][kept] if np.ndim(t) == 0 and t <= EXACT else _openings(d)[kept, np.minimum(t, EXACT)]
+    out = _columns(d)[t][kept] if np.ndim(t) == 0 and t <= EXACT else _openings(d)[kept, np.minimum(t, EXACT)]
     big = np.flatnonzero(c > EXACT)
     if len(big):
         n = c[big].astype(np.float64)
         t = np.minimum(t if np.ndim(t) == 0 else t[big], n).astype(np.float64)
         # y solves t d (1 - y) y^(d - 1) = c (1 - y^d): the saddle point of the ways' generating function
         y = (t * d / n) ** (1 / (1 - d))
-        far = np.flatnonzero(t * d > 0.05 * n)
-        low, high = np.zeros(len(far)), np.ones(len(far))
-        for _ in range(26):
-            mid = (low + high) / 2
-            up = t[far] * d * (1 - mid) * mid ** (d - 1) > n[far] * (1 - mid**d)
-            low, high = np.where(up, mid, low), np.where(up, high, mid)
-        y[far] = low
+        far = np.flatnonzero((t * d > 0.05 * n) & (t < n))
+        r, at = t[far] * d / n[far], y[far]
+        on = np.arange(len(far))
+        for _ in range(60):  # r (1 - y) + y - y^(1 - d) is convex and falls from this y to its root, so Newton's steps only go up
+            low, part = at[on], r[on]
+            power = low**-d
+            step = (part * (1 - low) + low - low * power) / (part - 1 + (1 - d) * power)
+            at[on] = low + step
+            on = on[step > 1e-9]
+            if not len(on):
+                break
+        y[far] = at
         out[big] = np.where(t < n, (1 - y**d) / (d * (t + t / n)), 0)
     return out
 
@@ -122,20 +133,38 @@ def seat(c: np.ndarray, weight: np.ndarray, slope: np.ndarray, d: float, key: np
     many[rest] = grow(open_[rest], FEW) > 1
 
     few = open_[~many]
-    total, chance, k, on = 1 + first, first.copy(), 2, few[c[few] > 2]
-    while len(on):
-        chance[on] *= grow(on, k)
-        total[on] += chance[on]
-        on, k = on[chance[on] > 1e-9 * total[on]], k + 1
-    few = few[u[few] * total[few] > 1]
-    out[few] = 2
-    below, chance, k = 1 + first, first.copy(), 2
-    on = few[below[few] < u[few] * total[few]]
-    while len(on):
-        chance[on] *= grow(on, k)
-        below[on] += chance[on]
-        out[on] += 1
-        on, k = on[(below[on] < u[on] * total[on]) & (chance[on] > 0)], k + 1
+    total, chances = 1 + first[few], []
+    x, k = np.flatnonzero(c[few] > 2), 2
+    chance, held = first[few[x]], [v[few[x]] for v in (c, w, s)]
+    while len(x):  # what is left of the dishes is kept side by side, and the chances for the draw below
+        chance = chance * ((held[1] + held[2] * k) * _more(held[0], k, d))
+        more = total[x] + chance
+        total[x] = more
+        chances.append((x, chance))
+        stay = chance > 1e-9 * more
+        x, chance, held, k = x[stay], chance[stay], [v[stay] for v in held], k + 1
+    need = u[few] * total
+    drawn = np.where(need > 1, 2, 1)
+    below = 1 + first[few]
+    open_few = (need > 1) & (below < need)
+    last = first[few].copy()
+    for k, (x, chance) in enumerate(chances, 2):
+        mine = np.flatnonzero(open_few[x])
+        if not len(mine):
+            break
+        x, chance = x[mine], chance[mine]
+        below[x] += chance
+        last[x] = chance
+        drawn[x] += 1
+        open_few[x] = (below[x] < need[x]) & (chance > 0)
+    left = np.flatnonzero(open_few & (last > 0))  # draws in the billionth part that the sums above leave out
+    while len(left):
+        k = drawn[left]
+        last[left] *= (w[few[left]] + s[few[left]] * k) * _more(c[few[left]], k, d)
+        below[left] += last[left]
+        drawn[left] += 1
+        left = left[(below[left] < need[left]) & (last[left] > 0)]
+    out[few] = drawn
 
     big = open_[many]
     if len(big):
