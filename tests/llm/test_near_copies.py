@@ -136,6 +136,47 @@ def test_full_buckets_are_not_joined_with_their_sets(spark, monkeypatch):
         assert hot and all(x.count() == x.select("p", "v").distinct().count() > 0 for x in hot)
 
 
+def test_a_dense_family_makes_no_row_for_each_pair(spark, monkeypatch):
+    """400 texts of one template, at about 0.74 of each other, so that nearly all pairs are candidates: no table has a row for each, and copies among them still go."""
+    held, write = [], nc.materialize
+    monkeypatch.setattr(nc, "materialize", lambda df, name="table": held.append((name, write(df, name))) or held[-1][1])
+    monkeypatch.setattr(nc, "forget", lambda *tables: None)
+    rows = [(i, " ".join(w)) for i, w in enumerate(family(random.Random(14), 400, 255))]
+    rows += [(400 + i, t.rsplit(" ", 12)[0] + " end") for i, t in rows[:20]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in nc.one_of_each(df).collect()} == set(range(400))
+    told = {}
+    for name, x in held:
+        told[name] = told.get(name, 0) + x.count()
+    assert told["hot"] and max(told.values()) < 400 * 399 / 4, told
+
+
+def test_full_buckets_verify_within_runs(spark, monkeypatch):
+    """Links of full buckets whose sets meet in runs of a few, over blocks two by two too."""
+    for name, x in (("PAIRED", 0), ("SMALL", 1), ("TOGETHER", 900)):
+        monkeypatch.setattr(nc, name, x)
+    rng = random.Random(15)
+    rows = [(i, " ".join(w)) for i, w in enumerate(family(rng, 60, 250))]
+    rows += [(60 + i, t.rsplit(" ", 12)[0] + " end") for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(nc, "_linked", lambda pairs, *a: pairs.limit(0).selectExpr("a as src", "b as dst"))  # all is left to the full buckets
+    for block in (1_024, 2):
+        monkeypatch.setattr(nc, "BLOCK", block)
+        whole = []
+        rest = nc._rest
+        monkeypatch.setattr(nc, "_rest", lambda hot, classes, plan, *a: whole.append(1) or rest(every(hot, classes, plan), classes, plan, *a))  # noqa: B023
+        assert {r["doc_id"] for r in nc.one_of_each(df).collect()} == set(range(60)) and whole
+        monkeypatch.setattr(nc, "_rest", rest)
+
+
+def every(hot, classes, plan):
+    """All buckets of the classes as hot ones."""
+    from pyspark.sql import functions as F
+
+    rows = classes.select(F.explode(nc.wide_probes(plan, range(len(plan)))).alias("x")).groupBy("x.p", "x.v").agg(F.count("*").alias("s"))
+    return rows.where("s > 1").select("p", "v", "s")
+
+
 def test_candidates_that_chain_are_not_compared_all_with_all(spark, monkeypatch):
     """Pages of one template, at about 0.65 of each other: many candidates, no link. Each candidate is verified once, and most pairs are none."""
     compared = []

@@ -4,7 +4,8 @@ Candidates come from the generalised pigeonhole of simhash over wide fingerprint
 whose fingerprints are too far apart go, and the others are verified by the exact similarity of the
 two sets: first each set with its nearest candidate, then all pairs that this has not connected. A
 bucket full of candidates gives a forest of them at first; all its pairs between sets that are then
-still apart follow, however many. At similarity 0.8 a pair is missed in 6 of 1,000 cases.
+still apart follow, however many: the sets themselves meet in groups, which tell links and no pairs.
+At similarity 0.8 a pair is missed in 6 of 1,000 cases.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ PAIRED, BLOCK, WIDER = 16, 1_024, 16
 PROBES = 12
 #: Probes that a task looks at together, and pairs.
 ROWS, PAIRS = 100_000, 200_000
-#: Shingles of the sets that one task verifies together, on average, and most partners of a set in it.
+#: Shingles of the sets that one task verifies together, on average (of a run of a full bucket's sets: at most), and most partners of a set in it.
 TOGETHER, PARTNERS = 2_000_000, 2_000
 #: Places of the table that tells hot buckets; it is this many whole numbers, however large the corpus.
 SLOTS = 1 << 20
@@ -93,9 +94,9 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select(F.col("text").cast("string")).mapInArrow(run, "cls long, grams array<long>")
 
 
-def linked(sets: dict[int, np.ndarray], a: list[int], b: list[int], similarity: float) -> tuple[list[int], list[int]]:
-    """Those of the pairs (a, b) whose sets are that similar, without those that other links connect."""
-    parent: dict[int, int] = {}
+def linked(sets: dict[int, np.ndarray], a: list[int], b: list[int], similarity: float, parent: dict[int, int] | None = None) -> tuple[list[int], list[int]]:
+    """Those of the pairs (a, b) whose sets are that similar, without those that other links connect, or parent does, which they are added to."""
+    parent = {} if parent is None else parent
 
     def root(x: int) -> int:
         while parent.get(x, x) != x:
@@ -133,6 +134,17 @@ def _near(fp: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, most:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _owned(plan: Plan, p: np.ndarray, v: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) whose first shared bucket is the one (p, v) in which they have met."""
+    own = [np.empty(0, bool)]
+    for at in range(0, len(i), PAIRS):
+        x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+        q, w = first_shared(plan, fp[x], fp[y])
+        own.append((q == p[x]) & (w == v[x]))
+    ok = np.concatenate(own)
+    return i[ok], j[ok], apart[ok]
+
+
 def thin(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
     """Which of the pairs (i, j) of n sets to verify first: a forest that connects all that they connect, and each set's nearest."""
     at = np.full((n, n), -1, np.int32)
@@ -186,7 +198,7 @@ def shared() -> int:
 
 
 def _candidates(rows: DataFrame, plan: Plan, most: float, similarity: float) -> DataFrame:
-    """rows (p, v, cls, size, fp) as FOUND: candidate pairs, each in the first bucket its sets share; and p, v, s: buckets of s rows that gave only a forest."""
+    """rows (p, v, cls, size, fp) as FOUND: candidate pairs, each in the first bucket its sets share; and p, v, s: buckets of s rows that gave only a forest of theirs."""
     small, paired, block, over = SMALL, PAIRED, BLOCK, shared()
 
     def forest(fp: np.ndarray, size: np.ndarray, a: int, b: int) -> tuple[np.ndarray, ...]:
@@ -208,37 +220,34 @@ def _candidates(rows: DataFrame, plan: Plan, most: float, similarity: float) ->
                 pairs.append((got, got + lag))
                 lag += 1
                 on = on[on + lag < end[on]]
-            all_, some, hot = [], [], []
+            found, hot = [], []
+            own = lambda x: _owned(plan, p, v, fp, *x)  # noqa: E731, B023
             if pairs:
-                all_.append(_near(fp, size, *(np.concatenate(x) for x in zip(*pairs, strict=True)), most, similarity))
+                found.append(own(_near(fp, size, *(np.concatenate(x) for x in zip(*pairs, strict=True)), most, similarity)))
             for k in np.flatnonzero((ends - starts > small) | ((starts == 0) & (before > 0))):
                 a, b = int(starts[k]), int(ends[k])
                 if b - a <= block and not (more or (before and a == 0)):
-                    i, j, apart = forest(fp, size, a, b)
-                    if len(i) <= paired * (b - a):
-                        all_.append((i, j, apart))
+                    near = forest(fp, size, a, b)
+                    i, j, apart = own(near)
+                    if len(near[0]) <= paired * (b - a):
+                        found.append((i, j, apart))
                     else:
                         keep = thin(b - a, i - a, j - a, apart)
-                        some.append((i[keep], j[keep], apart[keep]))
-                        hot.append((p[a], v[a], b - a))
+                        found.append((i[keep], j[keep], apart[keep]))
+                        if len(keep) < len(i):
+                            hot.append((p[a], v[a], b - a))
                 else:
                     for s in range(a, max(b - over, a + 1), max(1, block - over)):
-                        i, j, apart = forest(fp, size, s, min(b, s + block))
+                        i, j, apart = own(forest(fp, size, s, min(b, s + block)))
                         keep = thin(min(b, s + block) - s, i - s, j - s, apart)
-                        some.append((i[keep], j[keep], apart[keep]))
+                        found.append((i[keep], j[keep], apart[keep]))
                     n = b - a + (before if a == 0 else 0)
                     if not more:
                         hot.append((p[a], v[a], n))
             before = before + len(p) - over if more else 0
-            for x, once in ((all_, True), (some, False)):
-                for i, j, apart in x:
-                    for at in range(0, len(i), PAIRS):
-                        c, d, e = i[at : at + PAIRS], j[at : at + PAIRS], apart[at : at + PAIRS]
-                        if once:
-                            q, w = first_shared(plan, fp[c], fp[d])
-                            own = (q == p[c]) & (w == v[c])
-                            c, d, e = c[own], d[own], e[own]
-                        yield _told(cls, size, c, d, e)
+            for i, j, apart in found:
+                for at in range(0, len(i), PAIRS):
+                    yield _told(cls, size, i[at : at + PAIRS], j[at : at + PAIRS], apart[at : at + PAIRS])
             if hot:
                 hp, hv, hs = (np.array(x) for x in zip(*hot, strict=True))
                 none = lambda t: pa.nulls(len(hot), t)
@@ -281,11 +290,18 @@ def _hot_blocks(hot: DataFrame) -> np.ndarray:
     return out
 
 
-def _rest(hot: DataFrame, classes: DataFrame, plan: Plan, comps: DataFrame, most: float, similarity: float) -> DataFrame:
-    """All candidate pairs (FOUND) of the hot buckets (p, v, s) whose sets comps (node, component) leaves apart, each in the first bucket they share.
+def _runs(size: np.ndarray) -> np.ndarray:
+    """The runs, by number, into which sets of those sizes are cut: of at most BLOCK sets and, but for a larger one, TOGETHER shingles."""
+    return np.arange(len(size)) // BLOCK + np.cumsum(size) // TOGETHER
+
+
+def _rest(hot: DataFrame, classes: DataFrame, plan: Plan, comps: DataFrame, texts: DataFrame, words: int, most: float, similarity: float) -> DataFrame:
+    """(src, dst): links of the hot buckets (p, v, s) between what comps (node, component) leaves apart, enough to connect all that they link.
 
     A set meets its component once and is then dealt to its hot buckets. Those are told by a table
-    of SLOTS places: another bucket in the place of a hot one gives its pairs a second time.
+    of SLOTS places: another bucket in the place of a hot one gives its pairs a second time. In the
+    first bucket they share, the fingerprints tell which sets have a candidate; these are cut into
+    runs, and the runs meet two by two with their shingles, so that no row is made for a pair.
     """
     table = _hot_blocks(hot)
     labelled = classes.join(comps, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("label"), "size", "fp")
@@ -312,29 +328,58 @@ def _rest(hot: DataFrame, classes: DataFrame, plan: Plan, comps: DataFrame, most
                     yield pa.RecordBatch.from_arrays([ints[0], pa.array(v[w]), *ints[1:], *(pa.array(y[j], pa.int64()) for y in (cls, label, size)), flat], names=names)
 
     rows = labelled.mapInArrow(deal, "p int, v long, low int, high int, b int, cls long, label long, size long, fp array<long>")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unit = ["p", "v", "low", "high", "x", "y"]
+
+    def pairs(p: np.ndarray, v: np.ndarray, label: np.ndarray, size: np.ndarray, fp: np.ndarray, left: np.ndarray, right: np.ndarray, one: bool) -> Iterator[tuple[np.ndarray, ...]]:
+        f = np.ascontiguousarray(fp[:, 0])
+        for at in range(0, len(left), 64):
+            i = left[at : at + 64]
+            near = (np.bitwise_count(f[i][:, None] ^ f[right][None, :]) <= FAR) & (label[i][:, None] != label[right][None, :])
+            if one:
+                near &= i[:, None] < right[None, :]
+            c, d = np.nonzero(near)
+            yield _owned(plan, p, v, fp, *_near(fp, size, i[c], right[d], most, similarity))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (p, v, low, high, b, cls, label, size, fp), _ in _whole(batches, 4):
-            f = np.ascontiguousarray(fp[:, 0])
             cut = np.flatnonzero((p[1:] != p[:-1]) | (v[1:] != v[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
             for x, y in zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(p)])).tolist(), strict=True):
                 if (label[x:y] == label[x]).all():
                     continue
-                one = low[x] == high[x]
+                one = bool(low[x] == high[x])
                 left, right = x + np.flatnonzero(b[x:y] == low[x]), x + np.flatnonzero(b[x:y] == high[x])
-                for at in range(0, len(left), 64):
-                    i = left[at : at + 64]
-                    near = (np.bitwise_count(f[i][:, None] ^ f[right][None, :]) <= FAR) & (label[i][:, None] != label[right][None, :])
-                    if one:
-                        near &= i[:, None] < right[None, :]
-                    c, d = np.nonzero(near)
-                    c, d, apart = _near(fp, size, i[c], right[d], most, similarity)
-                    q, w = first_shared(plan, fp[c], fp[d])
-                    own = (q == p[c]) & (w == v[c])
-                    if own.any():
-                        yield _told(cls, size, c[own], d[own], apart[own])
+                run = np.zeros(y - x, np.int64)
+                run[left - x] = _runs(size[left])
+                if not one:
+                    run[right - x] = _runs(size[right]) + (run[left - x].max(initial=0) + 1)
+                got = np.empty((0, 3), np.int64)  # low run, high run, set
+                for i, j, _ in pairs(p, v, label, size, fp, left, right, one):
+                    both = np.stack((run[i - x], run[j - x]), axis=1)
+                    got = np.unique(np.concatenate((got, np.column_stack((both, i)), np.column_stack((both, j)))), axis=0)
+                for at in range(0, len(got), ROWS):
+                    u, w, k = got[at : at + ROWS].T
+                    ints = [pa.array(c, pa.int32()) for c in (low[k], high[k], u, w, run[k - x])]
+                    yield pa.RecordBatch.from_arrays([pa.array(p[k], pa.int32()), pa.array(v[k]), *ints, pa.array(cls[k])], names=[*unit, "r", "cls"])
+
+    met = materialize(_dealt(rows, ["p", "v", "low", "high"], ["cls"]).mapInArrow(meet, "p int, v long, low int, high int, x int, y int, r int, cls long"), "met")
+    sets = _held(met.select(F.col("cls").alias("c")).distinct(), classes, texts, words)
+
+    def compare(t: pa.Table) -> pa.Table:
+        p, v, x, y, r, cls, label, size = (t.column(c).to_numpy() for c in ("p", "v", "x", "y", "r", "cls", "label", "size"))
+        fp = t.column("fp").combine_chunks().flatten().to_numpy().reshape(-1, WIDE).view(np.uint64)
+        own, parent = _by_name(t), dict(zip(cls.tolist(), label.tolist(), strict=True))
+        src, dst = [], []
+        for i, j, apart in pairs(p, v, label, size, fp, np.flatnonzero(r == x), np.flatnonzero(r == y), bool(x[0] == y[0])):
+            order = np.argsort(apart, kind="stable")
+            s, d = linked(own, cls[i[order]].tolist(), cls[j[order]].tolist(), similarity, parent)
+            src += s
+            dst += d
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    return _dealt(rows, ["p", "v", "low", "high"], ["cls"]).mapInArrow(run, FOUND)
+    links = met.join(labelled, "cls").join(sets, "cls").groupBy(*unit).applyInArrow(compare, "src long, dst long")
+    links = materialize(links, "links")
+    forget(met, sets)
+    return links
 
 
 def components(named: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -344,8 +389,8 @@ def components(named: DataFrame, texts: DataFrame, words: int = WORDS, similarit
     time. Candidate pairs that are near by their whole fingerprints are verified on the sets, dealt
     by their smaller end: a set with its nearest candidate first, then the pairs whose ends stay
     apart. Of a bucket with very many candidates a forest is verified; when all that is done, so is
-    every other pair of the bucket whose ends are in different components; what these link are
-    components, which are tied in turn.
+    every other pair of the bucket whose ends are in different components, where its sets meet;
+    what these link are components, which are tied in turn.
     """
     spark = named.sparkSession
     classes = materialize(named.where("fp is not null").groupBy("cls").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.min("row_hash").alias("r")), "classes")
@@ -369,17 +414,14 @@ def components(named: DataFrame, texts: DataFrame, words: int = WORDS, similarit
     comps = connected_components(_linked(pairs, classes, texts, words, similarity))
     collect(spark)
     if not hot.isEmpty():
-        more = _rest(hot, classes, plan, comps, most, similarity).select("a", "b", "na", "nb")
-        more = materialize(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        comps = _tied(comps, more, _held(more, classes, texts, words), similarity)
+        comps = _tied(comps, _rest(hot, classes, plan, comps, texts, words, most, similarity))
         collect(spark)
     forget(classes)
     return comps
 
 
-def _tied(comps: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """comps (node, component) with those components tied together that the pairs link."""
-    links = materialize(_verified(pairs, sets, similarity), "links")
+def _tied(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (node, component) with those components tied together that the links (src, dst) connect."""
     if links.isEmpty():
         return comps
     named = lambda end, to: comps.select(F.col("node").alias(end), F.col("component").alias(to))
@@ -391,16 +433,22 @@ def _tied(comps: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float
     return materialize(every.join(above, F.col("component") == F.col("of"), "left").select("node", F.coalesce("top", "component").alias("component")), "components")
 
 
-def _held(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(cls, grams): the sets of the pairs' ends."""
-    ends = pairs.select(F.col("a").alias("c")).distinct().union(pairs.select("b").distinct()).distinct()
+def _by_name(t: pa.Table) -> dict[int, np.ndarray]:
+    """The sets of a table (cls, grams)."""
+    grams = t.column("grams").combine_chunks()
+    ends, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
+    return {c: flat[x:y] for c, x, y in zip(t.column("cls").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+
+
+def _held(ends: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(cls, grams): the sets of those names (c)."""
     held = classes.join(ends, F.col("cls") == F.col("c"), "left_semi").select("r")
     return materialize(_sets(texts.join(held, F.col("row_hash") == F.col("r"), "left_semi").dropDuplicates(["row_hash"]), words), "sets")
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(src, dst): links among the candidate pairs, enough to connect all that they link."""
-    sets = _held(pairs, classes, texts, words)
+    sets = _held(pairs.select(F.col("a").alias("c")).distinct().union(pairs.select("b").distinct()).distinct(), classes, texts, words)
     nearest = pairs.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), F.struct("apart", "a")).alias("p")).select("p.a", "b", "p.na", "p.nb")
     first = materialize(_verified(nearest, sets, similarity), "links")
     # these links are a forest that points to smaller names; ends that meet within a few steps of it need no link of their own
@@ -422,14 +470,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     degree = pairs.groupBy("a").agg((F.count("*") / PARTNERS).cast("int").alias("more"))  # a set with very many partners is dealt out by them too
     share = F.pmod(F.xxhash64("b", F.lit(2)), F.col("more") + 1)
     dealt = materialize(pairs.join(degree, "a").select("a", "b", F.xxhash64(F.pmod(F.xxhash64("a", F.lit(3)), F.lit(n)), share).alias("g")), "dealt")
-    needed = dealt.select(F.col("g").alias("to"), F.explode(F.array("a", "b")).alias("c")).distinct()
+    ends = lambda c: dealt.select(F.col("g").alias("to"), F.col(c).alias("c")).distinct()
+    needed = ends("a").union(ends("b")).distinct()
     sent = needed.join(sets, F.col("c") == F.col("cls")).select("to", "cls", "grams")
 
     def compare(p: pa.Table, t: pa.Table) -> pa.Table:
-        grams = t.column("grams").combine_chunks()
-        ends, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
-        own = {c: flat[x:y] for c, x, y in zip(t.column("cls").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
-        src, dst = linked(own, p.column("a").to_pylist(), p.column("b").to_pylist(), similarity)
+        src, dst = linked(_by_name(t), p.column("a").to_pylist(), p.column("b").to_pylist(), similarity)
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     return dealt.groupBy("g").cogroup(sent.groupBy("to")).applyInArrow(compare, "src long, dst long")
