@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -177,6 +178,19 @@ def every(hot, classes, plan):
     return rows.where("s > 1").select("p", "v", "s")
 
 
+def test_all_passes_count_their_probes_under_one_name(spark):
+    """By the plan, numbers aside: else what the passes of one sign pattern of their masks make is set against those of another."""
+    df = spark.createDataFrame([(1, 5, list(range(nc.WIDE)))], "cls long, size long, fp array<long>")
+    plan = [(0, 0b111, 1), (1, 1 << 63 | 1, 0), (2, 0b11, 0)]
+    names = set()
+    for some in (range(0, 1), range(1, 3), range(0, 3)):
+        rows = nc._probed(df, plan, some)
+        told = rows._jdf.queryExecution().executedPlan().toString()
+        names |= {re.sub(r"#?\d+L?", "", x.strip(" +-*():").strip()) for x in told.splitlines() if "Generate" in x}
+        assert rows.count() == sum(len(nc._flips(mask, t)) for _, mask, t in (plan[p] for p in some))
+    assert len(names) == 1, names
+
+
 def test_candidates_that_chain_are_not_compared_all_with_all(spark, monkeypatch):
     """Pages of one template, at about 0.65 of each other: many candidates, no link. Each candidate is verified once, and most pairs are none."""
     compared = []

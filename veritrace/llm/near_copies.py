@@ -197,6 +197,11 @@ def shared() -> int:
     return max(1, min(64, BLOCK // 2))
 
 
+def _probed(classes: DataFrame, plan: Plan, some: range) -> DataFrame:
+    """(p, v, cls, size, fp): the classes in each bucket that they probe in those partitions. The values are a column of their own, so that the rows of all passes are counted under one name."""
+    return classes.select("cls", "size", "fp", wide_probes(plan, some).alias("probes")).select("cls", "size", "fp", F.explode("probes").alias("x")).select("x.p", "x.v", "cls", "size", "fp")
+
+
 def _candidates(rows: DataFrame, plan: Plan, most: float, similarity: float) -> DataFrame:
     """rows (p, v, cls, size, fp) as FOUND: candidate pairs, each in the first bucket its sets share; and p, v, s: buckets of s rows that gave only a forest of theirs."""
     small, paired, block, over = SMALL, PAIRED, BLOCK, shared()
@@ -401,8 +406,7 @@ def components(named: DataFrame, texts: DataFrame, words: int = WORDS, similarit
     most = bits * differ + 4.5 * (bits * differ * (1 - differ)) ** 0.5
     parts = []
     for some in passes(plan, PROBES):
-        rows = classes.select("cls", "size", "fp", F.explode(wide_probes(plan, some)).alias("x")).select("x.p", "x.v", "cls", "size", "fp")
-        parts.append(materialize(_candidates(rows, plan, most, similarity), "found"))
+        parts.append(materialize(_candidates(_probed(classes, plan, some), plan, most, similarity), "found"))
     found = parts[0]
     for x in parts[1:]:
         found = found.union(x)
