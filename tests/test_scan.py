@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritrace.functions import fuzzy
-from veritrace.operators import evaluation, scan, similarity
+from veritrace.operators import evaluation, ranking, scan, similarity
 
 
 def test_running_sums_of_a_hot_group(spark):
@@ -41,6 +41,17 @@ def test_a_hot_group_is_several_ranges(spark, monkeypatch):
     assert len(ranges) > 1 and max(ranges) < 1_500
 
 
+def test_guardrail_adds_before_it_divides_and_counts_peers(spark):
+    """As the SQL of guardrail_trip: sum(value) / 1000, equal order counts together, nulls come last and are no cost."""
+    rows = [("tenths", i, 100.0) for i in range(10)] + [("peers", 1, 600.0), ("peers", 1, 600.0), ("peers", 2, 1.0), ("null", 1, None), ("null", None, 9.0), ("null", 2, 1000.0)]
+    out = ranking.guardrail_trip(spark.createDataFrame(rows, "run string, at int, value double"), "run", ["at"], "value", 1000)
+    got = sorted((r["run"], r["at"] is None, r["at"] or 0, r["calls"], r["cost"], r["halted"]) for r in out.collect())
+    tenths = [x for x in got if x[0] == "tenths"]
+    assert tenths[-1][3:] == (10, 1.0, True) and not any(x[5] for x in tenths[:-1])
+    assert [x[3:] for x in got if x[0] == "peers"] == [(2, 1.2, True), (2, 1.2, True), (3, 1.201, True)]
+    assert [x[2:] for x in got if x[0] == "null"] == [(1, 1, None, None), (2, 2, 1.0, True), (0, 3, 1.009, True)]
+
+
 @pytest.mark.parametrize("few", [3, 50, 10_000])
 def test_percentiles_by_selection(spark, monkeypatch, few):
     monkeypatch.setattr(scan, "FEW", few)

@@ -68,9 +68,15 @@ def running_max(df: DataFrame, by: str, order: list[str], column: str, out: str)
     return df.withColumn(out, F.max(column).over(w))
 
 
-def guardrail_trip(calls: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """Running calls and cost of each run and whether a limit is met; rows have cost_usd."""
-    out = running(calls, [by], order, {"cost": F.col("cost_usd")}, "calls")
+def guardrail_trip(calls: DataFrame, by: str, order: list[str], cost: str = "cost_usd", per_usd: int = 1) -> DataFrame:
+    """Running calls and cost of each run and whether a limit is met; rows have their cost, per_usd of which are a dollar.
+
+    Costs are added as they are and the sum is turned into dollars, so that rounding does not move the
+    limit more than the sum does. Rows of equal order count together; before a first known cost it is null.
+    """
+    known = F.col(cost).isNotNull().cast("long")
+    out = running(calls, [by], order, {"cost": F.col(cost), "_known": known}, "calls", peers=True)
+    out = out.withColumn("cost", F.when(F.col("_known") > 0, F.col("cost") / per_usd)).drop("_known")
     return out.withColumn("halted", C.guardrail_exceeded("calls", "cost", F.lit(0.0)))
 
 

@@ -23,13 +23,16 @@ def _same(left: list[str], right: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)), F.lit(True))
 
 
-def running(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], number: str) -> DataFrame:
+def running(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], number: str, peers: bool = False) -> DataFrame:
     """rows with their number in their group, from 1 by order, and running sums of columns; a null is added as 0.
 
-    A null group is a group; order must be total for a defined result. No rows give no rows.
+    A null group is a group; nulls of the order come last. With peers, rows of equal order all have the
+    last one's number and sums, as in SQL's default frame; without, order must be total for a defined
+    result. No rows give no rows.
     """
     own, terms = rows.columns, {f"_s{i}": F.coalesce(x, F.lit(0)) for i, x in enumerate(sums.values())}
-    at = rows.withColumns(terms).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    along = [F.col(c).asc_nulls_last() for c in order]
+    at = rows.withColumns(terms).repartitionByRange(*by, *along).sortWithinPartitions(*by, *along)
     at = materialize(at.withColumn("_place", F.monotonically_increasing_id()), "sorted").withColumn("_range", F.shiftright("_place", 33))
     # a group has a row for each range it spans
     totals = at.groupBy(*by, "_range").agg(F.count("*").alias("_n"), *(F.sum(c).alias(c) for c in terms))
@@ -37,7 +40,9 @@ def running(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Co
     past = {"_n": "_bn"} | {c: f"_b{c}" for c in terms}
     keys = [f"_g{i}" for i in range(len(by))]
     totals = totals.select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), F.col("_range").alias("_r"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(p) for c, p in past.items()))
-    here = W.partitionBy(*by, "_range").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # rows of equal order are in one range
+    here = W.partitionBy(*by, "_range")
+    here = here.orderBy(*along).rangeBetween(W.unboundedPreceding, W.currentRow) if peers else here.orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)
     local = at.withColumns({"_k": F.count("*").over(here)} | {f"_l{c}": F.sum(c).over(here) for c in terms})
     j = local.join(totals, (F.col("_range") == F.col("_r")) & _same(by, keys))
     return j.select(*own, (F.col("_k") + F.col("_bn")).alias(number), *((F.col(f"_l{c}") + F.col(f"_b{c}")).alias(n) for n, c in zip(sums, terms, strict=True)))

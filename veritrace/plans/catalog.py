@@ -196,8 +196,8 @@ def progress_monotone(spark, d):
 @query("""with c as (select event_id, user_id, count(*) over w calls, sum(value) over w / 1000 total from events window w as (partition by user_id order by ts, event_id))
 select event_id, calls, round(total, 6) cost, calls >= 50 or total >= 1.0 halted from c""")
 def guardrail_trip(spark, d):
-    e = read(spark, d, "events").withColumn("cost_usd", F.col("value") / 1000)
-    return ranking.guardrail_trip(e, "user_id", ["ts", "event_id"]).select("event_id", "calls", r6("cost").alias("cost"), "halted")
+    e = read(spark, d, "events")
+    return ranking.guardrail_trip(e, "user_id", ["ts", "event_id"], "value", 1000).select("event_id", "calls", r6("cost").alias("cost"), "halted")
 
 
 @query("select user_id, event_type, arg_max(value, (ts, event_id)) last_value from events group by all")
