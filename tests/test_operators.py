@@ -66,6 +66,44 @@ def test_contradictions(spark):
     assert rows(similarity.contradiction_candidates(s, "run_id", "embedding"), "a", "b", "rank") == [(0, 1, 2), (0, 3, 1)]
 
 
+@pytest.mark.parametrize(("values", "tile"), [(2**19, 2**20), (60, 16)])
+def test_contradictions_of_all_pairs(spark, monkeypatch, values, tile):
+    """Against all pairs, in one block or many: copies, nulls, other lengths and tied pairs included."""
+    import math
+    import random
+
+    monkeypatch.setattr(similarity, "VALUES", values)
+    monkeypatch.setattr(similarity, "TILE", tile)
+    rng = random.Random(8)
+    seen: list = []
+
+    def vector():
+        x = [float(rng.randint(-9, 9)) for _ in range(3)]
+        seen.append(rng.choice([x, x, x, [0.0, 0.0, 0.0], None, [1.0, None, 2.0], [1.0, 2.0]] + seen[:3]))
+        return seen[-1]
+
+    rows = [(f"run{i % 3}", f"e{i % 2}", i // 2 if i < 12 else i, rng.choice(["A", "B", None]), rng.choice(["POSITIVE", "NEGATIVE", "NEUTRAL", None]), vector()) for i in range(150)]
+    rows += [("copies", "e", i, "A", "NEGATIVE", [1.0, 2.0, 2.0]) for i in range(40)] + [("none", "e", i, "A", p, None) for i, p in enumerate(["POSITIVE", "NEGATIVE", "NEGATIVE"])] + [(None, "e", 1, "A", "POSITIVE", [1.0]), ("copies", None, 99, "A", "POSITIVE", [1.0, 2.0, 2.0])]
+    df = spark.createDataFrame(rows, "run_id string, entity_name string, ord int, risk_category string, signal_polarity string, embedding array<double>")
+    got: dict = {}
+    for r in similarity.contradiction_candidates(df.repartition(3), "run_id", "embedding").collect():
+        got.setdefault(r["run_id"], []).append((r["rank"], None if r["sim"] is None else round(r["sim"], 9), r["a"], r["b"]))
+
+    def sim(x, y):
+        if x is None or y is None or len(x) != len(y) or None in x or None in y:
+            return None
+        both = math.sqrt(sum(p * p for p in x)) * math.sqrt(sum(q * q for q in y))
+        return sum(p * q for p, q in zip(x, y, strict=True)) / both if both else 0.0
+
+    want = {}
+    for run in {r[0] for r in rows} - {None}:
+        own = [r for r in rows if r[0] == run and r[1] is not None]
+        pairs = [(sim(x[5], y[5]), x[2], y[2], x[3] == y[3] and x[3] is not None and {x[4], y[4]} == {"POSITIVE", "NEGATIVE"}) for x in own for y in own if x[1] == y[1] and x[2] < y[2]]
+        pairs = sorted((p for p in pairs if p[3] or p[0] is not None and p[0] >= 0.5), key=lambda p: (p[0] is None, -(p[0] or 0), -p[1], -p[2]))[:5]
+        want[run] = [(k + 1, None if s is None else round(s, 9), a, b) for k, (s, a, b, _) in enumerate(pairs)]
+    assert {k: sorted(x) for k, x in got.items()} == want
+
+
 def test_components_of_chains_stars_and_rings(spark):
     import random
 

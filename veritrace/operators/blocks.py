@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrace.storage import materialize
@@ -49,6 +51,23 @@ def meet(left: DataFrame, right: DataFrame, compare: Callable[[pd.DataFrame, pd.
     return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(run, schema)
 
 
+def meet_within(rows: DataFrame, compare: Callable[[pa.Table, pa.Table | None], pa.Table], schema: str, by: tuple[str, ...], blocks: Column) -> DataFrame:
+    """The rows that compare gives for every two blocks of a group, once for the two, and for each block alone (block, None).
+
+    blocks is an aggregate: how many blocks a group has. Null groups meet nothing.
+    """
+    sizes = materialize(rows.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(blocks)).cast("int").alias("_m")), "sizes")
+    few = F.broadcast(sizes) if sizes.count() <= FEW else sizes
+    x = rows.join(few, [*by]).withColumn("_b", F.pmod(F.xxhash64(*rows.columns), "_m").cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    x = x.select(*rows.columns, "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j = t["_i"][0], t["_j"][0]
+        return compare(t, None) if i == j else compare(t.filter(pc.equal(t["_b"], i)), t.filter(pc.equal(t["_b"], j)))
+
+    return x.groupBy(*by, "_i", "_j").applyInArrow(run, schema)
+
+
 def vectors(column: pd.Series) -> np.ndarray:
     """Rows of equal length in double precision."""
     return np.stack([np.asarray(x, np.float64) for x in column])

@@ -8,20 +8,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritrace.functions import columns as C
 from veritrace.functions import fixed
-from veritrace.operators.blocks import meet, vectors
+from veritrace.operators.blocks import meet, meet_within, vectors
 from veritrace.operators.cells import near_pairs
 from veritrace.operators.graph import connected_components
 from veritrace.storage import materialize
 
-
-def _prefixed(df: DataFrame, p: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(p + c) for c in df.columns))
+#: Values of the vectors of a block, pairs that a task reckons at once, and slack of their products against rounding.
+VALUES, TILE, SLACK = 2**19, 2**20, 1e-9
 
 
 def _nodes(rows: DataFrame, by: str | list[str], ident: str, vector: str, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -96,18 +97,132 @@ def deduplicate(signals: DataFrame, by: list[str], vector: str, threshold: float
 
 
 def contradiction_candidates(signals: DataFrame, run: str, vector: str, threshold: float = fixed.CONTRADICTION_COSINE, cap: int = fixed.MAX_PAIRS) -> DataFrame:
-    """(run, a, b, sim): of each run the cap most similar pairs of one entity that are alike, or opposed in one category."""
-    # vectors of length 1, once a row
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    own = F.transform(vector, lambda v: F.when(norm == 0, 0.0).otherwise(v.cast("double") / norm)).alias("_u")
-    one = signals.select(run, "ord", "entity_name", "risk_category", "signal_polarity", own)
-    a, b = _prefixed(one, "a_"), _prefixed(one, "b_")
-    j = a.join(b, (F.col(f"a_{run}") == F.col(f"b_{run}")) & (F.col("a_entity_name") == F.col("b_entity_name")) & (F.col("a_ord") < F.col("b_ord")))
-    j = j.withColumn("sim", F.aggregate(F.zip_with("a__u", "b__u", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v))
-    opposed = (F.col("a_risk_category") == F.col("b_risk_category")) & F.col("a_signal_polarity").isin("POSITIVE", "NEGATIVE") & F.col("b_signal_polarity").isin("POSITIVE", "NEGATIVE") & (F.col("a_signal_polarity") != F.col("b_signal_polarity"))
-    j = j.where(opposed | (F.col("sim") >= threshold))
-    order = W.partitionBy(f"a_{run}").orderBy(F.col("sim").desc(), F.col("a_ord").desc(), F.col("b_ord").desc())
-    return j.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select(F.col(f"a_{run}").alias(run), F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), "sim", "rank")
+    """(run, a, b, sim): of each run the cap most similar pairs of one entity that are alike, or opposed in one category.
+
+    Signals meet in blocks, of each two of which the best cap pairs are kept. Of signals that are equal
+    but for ord only the last can be in these pairs, so more than that do not meet. A pair whose vectors
+    have no product, being null, holding null or of different lengths, has a null sim and comes last.
+    """
+    pole = F.when(F.col("signal_polarity") == "POSITIVE", 1).when(F.col("signal_polarity") == "NEGATIVE", -1).otherwise(0)
+    one = signals.select(F.col(run).alias("run"), "entity_name", "ord", F.col("risk_category").alias("category"), pole.alias("pole"), F.col(vector).cast("array<double>").alias("v"))
+    one = materialize(one.where("run is not null and entity_name is not null and ord is not null"), "signals")
+    alike = ["run", "entity_name", "category", "pole", "v"]
+    h = F.xxhash64(*alike).alias("h")
+    hot = materialize(one.groupBy(h).count().where(F.col("count") > cap + 1).select("h"), "hot")
+    if not hot.isEmpty():
+        one = one.withColumn("h", h)
+        copies = one.join(hot, "h", "left_semi")  # equal rows of one ord are interchangeable
+        copies = copies.withColumn("_r", F.row_number().over(W.partitionBy(*alike, "ord").orderBy("h"))).where(F.col("_r") <= cap)
+        copies = copies.withColumn("_r", F.dense_rank().over(W.partitionBy(*alike).orderBy(F.col("ord").desc()))).where(F.col("_r") <= cap + 1)
+        one = materialize(one.join(hot, "h", "left_anti").drop("h").unionByName(copies.drop("h", "_r")), "signals")
+    kinds = {c: one.schema[c].dataType.simpleString() for c in ("run", "ord")}
+    blocks = F.count("*") * F.greatest(F.lit(1), F.max(F.size("v"))) / VALUES
+    some = meet_within(one, _best_pairs(threshold, cap), f"run {kinds['run']}, a {kinds['ord']}, b {kinds['ord']}, sim double", ("run", "entity_name"), blocks)
+    order = W.partitionBy("run").orderBy(F.col("sim").desc(), F.col("a").desc(), F.col("b").desc())
+    return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select(F.col("run").alias(run), "a", "b", "sim", "rank")
+
+
+def _best_pairs(threshold: float, cap: int):
+    def compare(left: pa.Table, right: pa.Table | None) -> pa.Table:
+        """The best cap pairs of two blocks, or of one; products of all pairs tell which few are reckoned exactly, as a sum in order over the product of the norms."""
+        t = left if right is None else pa.concat_tables([left, right])
+        ords = t["ord"].combine_chunks()
+        place = pc.index_in(ords, ords.take(pc.sort_indices(ords))).to_numpy().astype(np.int64)  # ord as a number that sorts like it, equal ones alike
+        category = pc.fill_null(pc.dictionary_encode(t["category"].combine_chunks()).indices, -1).to_numpy()
+        pole = t["pole"].to_numpy().astype(np.int8)
+        v = t["v"].combine_chunks()
+        length = pc.fill_null(pc.list_value_length(v), -1).to_numpy().copy()
+        parent = pc.list_parent_indices(v).to_numpy()
+        values = pc.list_flatten(v)
+        length[parent[pc.is_null(values).to_numpy(zero_copy_only=False)]] = -1
+        side = np.zeros(len(t), np.int8)
+        side[len(left) :] = 1
+        best = np.empty((0, 4))  # sim or, of a NaN, infinity; known; places
+        for n in np.unique(length[length >= 0]):
+            rows = np.flatnonzero(length == n)
+            x = pc.list_flatten(v.take(pa.array(rows))).to_numpy(zero_copy_only=False).reshape(len(rows), n)
+            best = _products(x, place[rows], category[rows], pole[rows], None if right is None else side[rows], threshold, cap, best)
+        if len(best) < cap and len(np.unique(length)) + (length < 0).sum() > 1:
+            best = _unknown(length, place, category, pole, None if right is None else side, cap, best)
+        back = np.empty(len(t), np.int64)
+        back[place] = np.arange(len(t))
+        a, b = (ords.take(pa.array(back[best[:, k].astype(np.int64)])) for k in (2, 3))
+        sim = np.where(np.isposinf(best[:, 0]), np.nan, best[:, 0])
+        return pa.table({"run": t["run"].take(pa.array(np.zeros(len(best), np.int64))), "a": a, "b": b, "sim": pa.array(sim, pa.float64(), mask=best[:, 1] == 0)})
+
+    return compare
+
+
+def _top(best: np.ndarray, cap: int) -> np.ndarray:
+    """The first cap by sim, known ones first, then by both places, all descending."""
+    return best[np.lexsort((-best[:, 3], -best[:, 2], -best[:, 0], -best[:, 1]))[:cap]]
+
+
+def _opposed(category: np.ndarray, pole: np.ndarray, i, j) -> np.ndarray:
+    return (category[i] == category[j]) & (category[i] >= 0) & (pole[i] * pole[j] < 0)
+
+
+def _tiles(n: int, side: np.ndarray | None):
+    """(rows, columns) that cover the pairs of rows of two sides, or of one side in whose square each pair stands twice."""
+    one, two = (np.arange(n),) * 2 if side is None else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    step = max(1, TILE // max(1, len(two)))
+    for at in range(0, len(one), step):
+        yield one[at : at + step], two[at:] if side is None else two
+
+
+def _products(x, place, category, pole, side, threshold, cap, best):
+    with np.errstate(all="ignore"):
+        norm = np.sqrt(_in_order(x, x))
+        u = x / np.where(norm == 0, 1, np.where(np.isfinite(norm), norm, np.nan))[:, None]
+        odd = not np.isfinite(u).all()
+        for i, j in _tiles(len(x), side):
+            s = u[i] @ u[j].T
+            if odd:
+                s = np.where(np.isnan(s), np.inf, s)
+            bound = best[-1, 0] if len(best) == cap else -np.inf
+            some = s >= max(threshold, bound) - SLACK
+            if bound < threshold:
+                some |= (s >= bound - SLACK) & _opposed(category, pole, i[:, None], j[None, :])
+            p, q = np.nonzero(some)
+            s, p, q = s[p, q], i[p], j[q]
+            apart = (place[p] != place[q]) & ((p < q) if side is None else True)
+            s, p, q = s[apart], p[apart], q[apart]
+            if len(s) > cap:  # pairs at the threshold may fall out, so the bound comes from those that surely stay
+                sure = s[(s >= threshold + SLACK) | _opposed(category, pole, p, q)]
+                if len(sure) >= cap:
+                    keep = s >= np.partition(sure, len(sure) - cap)[len(sure) - cap] - SLACK
+                    p, q = p[keep], q[keep]
+            if not len(p):
+                continue
+            both = norm[p] * norm[q]
+            sim = np.where(both == 0, 0.0, _in_order(x, x, p, q) / both)
+            sim[np.isnan(sim)] = np.inf
+            stay = (sim >= threshold) | _opposed(category, pole, p, q)
+            p, q, sim = p[stay], q[stay], sim[stay]
+            new = np.column_stack((sim, np.ones(len(sim)), np.minimum(place[p], place[q]), np.maximum(place[p], place[q])))
+            best = _top(np.concatenate((best, new)), cap)
+    return best
+
+
+def _in_order(x: np.ndarray, y: np.ndarray, p=slice(None), q=slice(None)) -> np.ndarray:
+    """Inner products of rows, added value after value."""
+    total = np.zeros(len(x[p, :0]))
+    for k in range(x.shape[1]):
+        total += x[p, k] * y[q, k]
+    return total
+
+
+def _unknown(length, place, category, pole, side, cap, best):
+    """Opposed pairs without a product, after those with one."""
+    for i, j in _tiles(len(place), side):
+        none = (length[i][:, None] != length[j][None, :]) | (length[i] < 0)[:, None]
+        p, q = np.nonzero(none & _opposed(category, pole, i[:, None], j[None, :]))
+        p, q = i[p], j[q]
+        apart = (place[p] != place[q]) & ((p < q) if side is None else True)
+        p, q = p[apart], q[apart]
+        new = np.column_stack((np.zeros(len(p)), np.zeros(len(p)), np.minimum(place[p], place[q]), np.maximum(place[p], place[q])))
+        best = _top(np.concatenate((best, new)), cap)
+    return best
 
 
 def nearest(queries: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
