@@ -84,6 +84,26 @@ def test_consistency_matches_brute_force(spark):
         assert got[s] == want
 
 
+@pytest.mark.parametrize(("block", "keys"), [(7, 3), (7, 400), (4_000, 400)])
+def test_consistency_of_many_runs_has_no_row_a_pair(spark, monkeypatch, block, keys):
+    """Runs of a subject meet in blocks, of which a row leaves each two; common and rare keys, one key in all, no common key."""
+    monkeypatch.setattr(similarity, "RUNS", block)
+    made = []
+    keep = similarity.meet_within
+    monkeypatch.setattr(similarity, "meet_within", lambda *a: made.append(keep(*a)) or made[-1])
+    rng = random.Random(keys)
+    runs = [("hot", i, [f"k{rng.randrange(keys)}" for _ in range(rng.randint(1, 5))] + (["all"] if keys > 3 and i else [])) for i in range(50)] + [("apart", i, [f"only{i}"]) for i in range(9)] + [(None, i, ["x"]) for i in range(3)]
+    runs += [("holes", 1, ["a", None]), ("holes", 2, [None, "b"])]
+    got = {r["s"]: (r["pairs"], r["mean_jaccard"], r["min_jaccard"]) for r in similarity.consistency(spark.createDataFrame(runs, "s string, r int, k array<string>"), "s", "r", "k").collect()}
+    assert got[None] == (0, None, None)
+    for s in ("hot", "apart", "holes"):
+        own = [set(k) for x, _, k in runs if x == s]
+        j = [len(a & b) / len(a | b) for i, a in enumerate(own) for b in own[:i]]
+        assert got[s] == (len(j), pytest.approx(sum(j) / len(j)), pytest.approx(min(j)))
+    n = -(-50 // block)
+    assert 1 <= made[0].where("s = 'hot'").count() <= n * (n + 1) // 2
+
+
 def test_all_windows_come_of_one_pass():
     rng = random.Random(2)
     text = lambda n, k: "".join(rng.choice("abcdé日fg"[:k]) for _ in range(n))

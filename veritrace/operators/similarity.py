@@ -23,6 +23,8 @@ from veritrace.storage import materialize
 
 #: Values of the vectors of a block, pairs that a task reckons at once, and slack of their products against rounding.
 VALUES, TILE, SLACK = 2**19, 2**20, 1e-9
+#: Runs of a block, and keys of all its runs.
+RUNS, KEYS = 4_000, 2**19
 
 
 def _nodes(rows: DataFrame, by: str | list[str], ident: str, vector: str, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -248,25 +250,70 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
 def consistency(runs: DataFrame, subject: str, run: str, keys: str) -> DataFrame:
     """(subject, pairs, mean_jaccard, min_jaccard) over all pairs of runs of a subject; null for fewer than two.
 
-    Runs meet in the inverted lists of their keys: a pair is a row for each key that both have, and
-    one that shares none is no row, as its 0 follows from the number of pairs. Two empty runs are alike.
+    Runs with keys meet in blocks, and of each two blocks only count, sum and least leave the task. Pairs
+    with a run without keys are arithmetic: 0, or 1 if both are empty. A null subject has no pairs.
     """
     own = runs.select(F.col(subject).alias("s"), F.col(run).alias("r"), F.array_distinct(F.coalesce(keys, F.array().cast(runs.schema[keys].dataType))).alias("k"))
-    own = own.withColumn("size", F.size("k"))
-    n = own.groupBy("s").agg(F.count("*").alias("runs"), F.count_if(F.col("size") == 0).alias("empty"))
-    lists = own.select("s", F.struct("r", "size").alias("x"), F.explode("k").alias("key")).groupBy("s", "key").agg(F.array_sort(F.collect_list("x")).alias("x")).where(F.size("x") > 1)
-    after = lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: F.struct(a.alias("a"), b.alias("b")))
-    both = lists.select("s", F.explode(F.flatten(F.transform("x", after))).alias("p")).groupBy("s", "p").agg(F.count("*").alias("common"))
-    j = both.select("s", (F.col("common") / (F.col("p.a.size") + F.col("p.b.size") - F.col("common"))).alias("j"))
-    met = j.groupBy("s").agg(F.count("*").alias("met"), F.sum("j").alias("total"), F.min("j").alias("least"))
+    own = materialize(own, "runs")
+    n = own.groupBy("s").agg(F.count("*").alias("runs"), F.count_if(F.size("k") == 0).alias("empty"))
+    some = meet_within(own.where((F.size("k") > 0) & F.col("s").isNotNull()), _jaccards, f"s {own.schema['s'].dataType.simpleString()}, total double, least double", ("s",), F.greatest(F.count("*") / RUNS, F.sum(F.size("k")) / KEYS))
+    met = some.groupBy(F.col("s").alias("_s")).agg(F.sum("total").alias("total"), F.min("least").alias("least"))
     two = lambda c: F.col(c) * (F.col(c) - 1) / 2
     alike = two("empty")  # pairs of empty runs
-    some = F.coalesce("met", F.lit(0)) + alike
-    least = F.when(some < F.col("pairs"), 0.0).otherwise(F.coalesce("least", F.lit(1.0)))
-    out = n.withColumn("pairs", two("runs").cast("long")).join(met.withColumnRenamed("s", "_s"), F.col("s") == F.col("_s"), "left")
+    apart = F.col("empty") * (F.col("runs") - F.col("empty"))  # of an empty one with another
+    least = F.when(apart > 0, 0.0).otherwise(F.coalesce("least", F.lit(1.0)))
+    out = n.withColumn("pairs", F.when(F.col("s").isNull(), 0).otherwise(two("runs")).cast("long")).join(met, F.col("s") == F.col("_s"), "left")
     return out.select(F.col("s").alias(subject), "pairs", F.when(F.col("pairs") > 0, (F.coalesce("total", F.lit(0.0)) + alike) / F.col("pairs")).alias("mean_jaccard"), F.when(F.col("pairs") > 0, least).alias("min_jaccard"))
 
 
+def _jaccards(left: pa.Table, right: pa.Table | None) -> pa.Table:
+    """Sum and least of the similarities of two blocks of runs (s, k), or of one.
+
+    Common keys are counted by products of matrices; a key that few pairs have is counted for those.
+    """
+    t = left if right is None else pa.concat_tables([left, right])
+    k = t["k"].combine_chunks()
+    code = pc.dictionary_encode(pc.list_flatten(k), null_encoding="encode").indices.to_numpy().astype(np.int64)
+    row = pc.list_parent_indices(k).to_numpy()
+    size = np.bincount(row, minlength=len(t)).astype(np.float64)
+    one = row < len(left)
+    x = (row[one], code[one])
+    y = x if right is None else (row[~one] - len(left), code[~one])
+    m, n = len(left), len(left) if right is None else len(right)
+    if not m or not n or right is None and n < 2:
+        return pa.table({"s": t["s"].slice(0, 0), "total": pa.array([], pa.float64()), "least": pa.array([], pa.float64())})
+    held = np.bincount(x[1], minlength=code.max() + 1), np.bincount(y[1], minlength=code.max() + 1)
+    both = held[0] * held[1]
+    common = np.zeros((m, n), np.float32)
+    many = np.flatnonzero(both > m * n / 256)
+    for at in range(0, len(many), 512):
+        some = np.full(len(both), -1)
+        some[many[at : at + 512]] = np.arange(len(many[at : at + 512]))
+        has = [np.zeros((size_, len(many[at : at + 512])), np.float32) for size_ in (m, n)]
+        for h, (r, c) in zip(has, (x, y), strict=True):
+            h[r[some[c] >= 0], some[c[some[c] >= 0]]] = 1
+        common += has[0] @ has[1].T
+    few = (both > 0) & (both <= m * n / 256)
+    p, q = ((r[few[c]][np.argsort(c[few[c]], kind="stable")], np.sort(c[few[c]])) for r, c in (x, y))
+    begin = np.cumsum(held[1] * few) - held[1] * few  # where a key's runs begin on the right
+    step = max(1, TILE // max(1, n // 256))
+    for at in range(0, len(p[0]), step):
+        r, c = p[0][at : at + step], p[1][at : at + step]
+        times = held[1][c]
+        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        np.add.at(common, (np.repeat(r, times), q[0][np.repeat(begin[c], times) + inside]), 1)
+    a, b = size[:m], size[:n] if right is None else size[m:]
+    total, least = 0.0, np.inf
+    step = max(1, TILE // n)
+    for at in range(0, m, step):
+        c = common[at : at + step].astype(np.float64)
+        j = c / (a[at : at + step, None] + b[None, :] - c)
+        if right is None:
+            j = j[np.triu_indices(len(j), at + 1, n)]
+        total, least = total + j.sum(), min(least, j.min(initial=np.inf))
+    return pa.table({"s": t["s"].slice(0, 1), "total": [float(total)], "least": [float(least)]})
+
+
 def fingerprint_key(text: Column | str, matched: Column | None = None) -> Column:
     """t and the matched id, or n: and the first eight normalised words."""
     own = F.concat(F.lit("n:"), F.array_join(F.slice(F.split(C.normalize_text(text), " "), 1, 8), " "))
