@@ -99,3 +99,31 @@ def test_far_cells_are_not_read(spark, tmp_path):
         assert size[read["cell"]].sum() < 0.2 * 8 * len(x)
     plan = i.rows.where("cell in (1, 2)")._jdf.queryExecution().toString()
     assert "PartitionFilters: [cell" in plan
+
+
+@pytest.mark.parametrize(("values", "pairs"), [(96, 40), (2**19, 2**20)])
+def test_queries_travel_once_a_group_of_cells(spark, tmp_path, monkeypatch, values, pairs):
+    """Vectors without nearness, one of them many times: cells in groups, large ones in several, slices of a bounded number of pairs."""
+    import pandas as pd
+    import pyarrow as pa
+
+    monkeypatch.setattr(ix, "VALUES", values)
+    monkeypatch.setattr(ix, "PAIRS", pairs)
+    rng = np.random.default_rng(9)
+    x = [*rng.normal(size=(150, 6)), *np.ones((60, 6))]
+    q = [*x[:30], *np.ones((3, 6)), -np.ones(6)]
+    i = ix.build(table(spark, x), str(tmp_path / "i"), 12)
+    assert answers(i.search(table(spark, q, "query"))) == brute(q, x, 3)
+    facts = i.facts.orderBy("cell").toPandas()
+    most = values // 6
+    place = ix._groups(facts, most)
+    held = {}
+    for cell, first, parts in place.itertuples(index=False):
+        for g in range(first, first + parts):
+            held[g] = held.get(g, 0) + facts.set_index("cell")["n"][cell] / parts
+    assert max(held.values()) <= most and sorted(held) == list(range(len(held)))
+    b = pd.DataFrame({"query": range(len(q)), "v": [list(map(float, v)) for v in q], "s": [-1.0] * len(q), "_q": 0})
+    probes = list(ix._other_cells(facts, 3, place)(iter([b])))
+    assert max(map(len, probes)) <= max(pairs, len(facts))
+    sent = pa.Table.from_batches(ix._sent(ix._other_cells(facts, 3, place), place, most)(iter([pa.RecordBatch.from_pandas(b, preserve_index=False)])))
+    assert len(set(zip(sent["query"].to_pylist(), sent["_g"].to_pylist(), strict=True))) == len(sent) <= len(q) * len(held)

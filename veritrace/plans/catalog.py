@@ -385,7 +385,7 @@ def kb_index_top3(spark, d):
     """As kb_top3 by cosine, through the index on disk: written if the table is new or has changed, then read back and probed."""
     e = read(spark, d, "embeddings")
     i = index.open_or_build(e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), f"{shared_dir(spark)}/knowledge_index")
-    return i.search(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))).withColumn("sim", r6("sim"))
+    return i.search(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))).withColumn("sim", F.round(F.col("sim") * 10**6) / 10**6)  # of 9 digits, so ties are rounded as SQL does
 
 
 @query("""with n as (select vec_id, vec_id % 10 run_id, label, embedding::double[] v, sqrt(list_dot_product(embedding::double[], embedding::double[])) norm, case vec_id % 3 when 0 then 'POSITIVE' when 1 then 'NEGATIVE' else 'NEUTRAL' end pol from embeddings),
