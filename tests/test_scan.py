@@ -119,6 +119,35 @@ def test_all_windows_come_of_one_pass():
     assert fuzzy.partial("", "a") == 0.0 and fuzzy.partial("b", "abc") == 100.0
 
 
+def test_many_pairs_are_combed_side_by_side():
+    """The same scores as one by one, for texts of like and unlike lengths and many letters."""
+    rng = random.Random(12)
+    text = lambda n, k: "".join(rng.choice("ab cdé日fg"[:k]) for _ in range(n))
+    pairs = [(text(rng.randint(0, 40), k), text(rng.randint(0, 70), k)) for k in (2, 5, 10) for _ in range(150)]
+    pairs += [("".join(map(chr, range(300, 300 + n))), "".join(map(chr, range(290, 290 + 2 * n, 2)))) for n in (10, 400)]
+    assert fuzzy.partials(pairs) == [fuzzy.partial(a, b) for a, b in pairs]
+    rows = [{"text": " ".join(t), "words": set(t), "keys": rng.choice([t, t, [], None])} for t in ([rng.choice(["fire", "tax", "in", "the", "river", "plant"]) for _ in range(rng.randint(0, 6))] for _ in range(60))]
+    both = [(a, b) for a in rows for b in rows]
+
+    def one(p, t):
+        shared = len(set(p["keys"] or []) & set(t["keys"] or []))
+        return max(fuzzy.token_set(p["text"], t["text"]), fuzzy.partial(p["text"], t["text"]), shared / min(len(t["keys"]), 12) * 100 if shared >= 2 else 0.0)
+
+    assert fuzzy.match_scores(both) == [one(a, b) for a, b in both]
+
+
+def test_lexical_matches_of_a_hot_run_in_blocks(spark, monkeypatch):
+    rng = random.Random(13)
+    words = ["plant", "fire", "tax", "in", "the", "lawsuit", "river", "of", "bank"]
+    text = lambda: " ".join(rng.choices(words, k=rng.randint(1, 7)))
+    truth, pred = ([(f"r{i // 90}", i, text()) for i in range(100)] for _ in range(2))
+    t, p = spark.createDataFrame(truth, "run_id string, truth_id int, text string"), spark.createDataFrame(pred, "run_id string, pred_id int, text string")
+    whole = [sorted(map(tuple, f(t, p).collect()), key=str) for f in (evaluation.lexical_matches, evaluation.lexical_truths)]
+    for name, n in (("SIDE", 7), ("PAIRS", 300), ("AT_ONCE", 50)):
+        monkeypatch.setattr(evaluation, name, n)
+    assert [sorted(map(tuple, f(t, p).collect()), key=str) for f in (evaluation.lexical_matches, evaluation.lexical_truths)] == whole
+
+
 def test_lexical_matches(spark):
     truth = [("r", 1, "tax hit", "https://a.com/x"), ("r", 2, "factory fire in the northern plant", None), ("r", 3, "zzz", "https://www.b.org/1"), ("q", 4, "tax hit", "https://a.com/x"), ("r", 5, None, None)]
     pred = [("r", 10, "big tax hit", None), ("r", 11, "fire at northern factory plant", "https://c.net"), ("r", 12, "other words", "http://b.org/2"), ("r", 13, "words", "no url")]

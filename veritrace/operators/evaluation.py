@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrace.functions import columns as C
 from veritrace.functions import fixed, fuzzy
-from veritrace.operators.blocks import meet, unit, vectors
+from veritrace.operators.blocks import FEW, meet, unit, vectors
 from veritrace.operators.ranking import first_rows
 from veritrace.operators.scan import percentiles, running
+from veritrace.storage import materialize
 
+#: Texts of a side of a block, pairs of a task, and pairs that are scored at once.
+SIDE, PAIRS, AT_ONCE = 64, 20_000, 8_192
 
 def _best_of(left: DataFrame, right: DataFrame, by: str, a: str, b: str) -> DataFrame:
     """(by, a, b, score): for each row of left (by, a, v) the right row (by, b, v) of highest cosine, the first of equals; null and 0 without one."""
@@ -43,19 +47,73 @@ def best_truths(truth: DataFrame, predicted: DataFrame, by: str, threshold: floa
     return best.select(by, "pred_id", "truth_id", (F.col("score") >= threshold).alias("matched"))
 
 
-def _lexical_pairs(truth: DataFrame, predicted: DataFrame, threshold: float, by: str) -> DataFrame:
-    """(by, truth_id, pred_id, score) of the pairs of a run that share a word or a source's host, which is worth the threshold at least."""
-    word = lambda df, c: df.select(by, c, F.explode(F.array_distinct(F.split(C.normalize_text("text"), " "))).alias("word")).where("word <> ''")
-    pairs = word(truth, "truth_id").join(word(predicted, "pred_id"), [by, "word"]).select(by, "truth_id", "pred_id")
-    same = F.lit(False)
-    if "source_url" in truth.columns and "source_url" in predicted.columns:
-        site = lambda df, c: df.select(by, c, C.display_host("source_url").alias("host")).where("host <> ''")
-        pairs = pairs.union(site(truth, "truth_id").join(site(predicted, "pred_id"), [by, "host"]).select(by, "truth_id", "pred_id"))
-        same = F.coalesce((C.display_host("_tu") == C.display_host("_pu")) & (C.display_host("_tu") != ""), F.lit(False))
-    t, p = ({"text": f"_{x}", "source_url": f"_{x}u"} for x in "tp")
-    j = pairs.distinct().join(truth.withColumnsRenamed(t), [by, "truth_id"]).join(predicted.withColumnsRenamed(p), [by, "pred_id"])
-    score = fuzzy.match_score("_p", "_t")
-    return j.select(by, "truth_id", "pred_id", F.when(same, F.greatest(score, F.lit(threshold))).otherwise(score).alias("score"))
+def _lexical_best(truth: DataFrame, predicted: DataFrame, threshold: float, by: str, each: str) -> DataFrame:
+    """(by, truth_id, pred_id, score): the best pair of each truth or prediction (`each`), among those of a run that share a word or a source's host, which is worth the threshold at least.
+
+    A run's two sides meet in blocks; tasks take as many blocks as have PAIRS pairs, and score the pairs of many runs at once.
+    """
+    hosts = "source_url" in truth.columns and "source_url" in predicted.columns
+    ids = {"truth_id": truth, "pred_id": predicted}
+    other = next(c for c in ids if c != each)
+    number = lambda: (1 + F.floor((F.count("*") - 1) / SIDE)).cast("int")
+    rows = {}
+    for c, df in ids.items():
+        df = df.where(F.col(by).isNotNull() & F.col(c).isNotNull())
+        rows[c] = df.select(by, F.col(c).alias("id"), C.normalize_text("text").alias("text"), C.key_tokens("text").alias("keys"), (C.display_host("source_url") if hosts else F.lit(None).cast("string")).alias("host"))
+    sizes = rows[each].groupBy(by).agg(F.count("*").alias("_x"), number().alias("_m")).join(rows[other].groupBy(by).agg(F.count("*").alias("_y"), number().alias("_n")), by)
+    sizes = materialize(sizes, "sizes")
+    pairs = sizes.agg(F.coalesce(F.sum(F.col("_x") * F.col("_y")), F.lit(0))).first()[0]
+    sizes = sizes.drop("_x", "_y")
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW else sizes
+    dealt = lambda c, own, own_n, met, met_n, side: rows[c].join(sizes, by).withColumn(own, F.pmod(F.xxhash64("id", "text"), own_n).cast("int")).withColumn(met, F.explode(F.sequence(F.lit(0), F.col(met_n) - 1))).select(by, "_i", "_j", F.lit(side).alias("side"), F.col("id").alias(c), "text", "keys", "host")
+    x = dealt(each, "_i", "_m", "_j", "_n", 0).unionByName(dealt(other, "_j", "_n", "_i", "_m", 1), allowMissingColumns=True)
+    # few pairs are not dealt thin, as those of like lengths are scored together
+    tasks = max(1 + int(pairs) // PAIRS, min(int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + 2 * int(pairs) // AT_ONCE))
+    x = x.repartition(tasks, by, "_i", "_j").sortWithinPartitions(by, "_i", "_j", "side")
+    kind = {c: df.schema[c].dataType.simpleString() for c, df in ids.items()}
+    some = x.mapInArrow(_best_pairs(by, each, other, threshold), f"{by} {truth.schema[by].dataType.simpleString()}, truth_id {kind['truth_id']}, pred_id {kind['pred_id']}, score double")
+    return first_rows(some, [by, each], [F.col("score").desc(), F.col(other).asc()], 1)
+
+
+def _best_pairs(by: str, each: str, other: str, threshold: float):
+    """For rows sorted by (by, _i, _j, side): the best partner in its block of each row of side 0."""
+
+    def block(rows: list[dict]):
+        sides = [[r for r in rows if r["side"] == k] for k in (0, 1)]
+        for a in sides[0]:
+            for b in sides[1]:
+                if a["words"] & b["words"] or a["host"] and a["host"] == b["host"]:
+                    yield a, b
+
+    def best(pairs: list[tuple[dict, dict]]) -> list[dict]:
+        out: dict = {}
+        scores = fuzzy.match_scores([(a, b) if each == "pred_id" else (b, a) for a, b in pairs])
+        for (a, b), score in zip(pairs, scores, strict=True):
+            if a["host"] and a["host"] == b["host"]:
+                score = max(score, threshold)
+            key = a[by], a[each]
+            if key not in out or (-score, b[other]) < (-out[key]["score"], out[key][other]):
+                out[key] = {by: a[by], each: a[each], other: b[other], "score": score}
+        return list(out.values())
+
+    def run(batches):
+        schema, rows, pairs = None, [], []
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(c) for c in (by, "truth_id", "pred_id")] + [pa.field("score", pa.float64())])
+            for r in batch.to_pylist():
+                if rows and any(r[c] != rows[0][c] for c in (by, "_i", "_j")):
+                    pairs += block(rows)
+                    rows = []
+                    if len(pairs) >= AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(best(pairs), schema)
+                        pairs = []
+                r["words"] = set(r["text"].split())
+                rows.append(r)
+        pairs += block(rows)
+        if pairs:
+            yield pa.RecordBatch.from_pylist(best(pairs), schema)
+
+    return run
 
 
 def lexical_matches(truth: DataFrame, predicted: DataFrame, threshold: float = fixed.MATCH_LEXICAL, by: str = "run_id") -> DataFrame:
@@ -65,14 +123,14 @@ def lexical_matches(truth: DataFrame, predicted: DataFrame, threshold: float = f
     within a run by any word that they share, or by the host of their source, which counts as a match.
     Texts without a word in common are compared with nothing: their score is 0.
     """
-    top = first_rows(_lexical_pairs(truth, predicted, threshold, by), [by, "truth_id"], [F.col("score").desc(), F.col("pred_id").asc()], 1)
+    top = _lexical_best(truth, predicted, threshold, by, "truth_id")
     out = truth.select(by, "truth_id").join(top, [by, "truth_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return out.withColumn("found", F.col("score") >= threshold)
 
 
 def lexical_truths(truth: DataFrame, predicted: DataFrame, threshold: float = fixed.MATCH_LEXICAL, by: str = "run_id") -> DataFrame:
     """(by, pred_id, truth_id, matched): for each prediction the truth of best lexical score, the first of equals, null below the threshold."""
-    top = first_rows(_lexical_pairs(truth, predicted, threshold, by), [by, "pred_id"], [F.col("score").desc(), F.col("truth_id").asc()], 1)
+    top = _lexical_best(truth, predicted, threshold, by, "pred_id")
     out = predicted.select(by, "pred_id").join(top.where(F.col("score") >= threshold).select(by, "pred_id", "truth_id"), [by, "pred_id"], "left")
     return out.withColumn("matched", F.col("truth_id").isNotNull())
 
